@@ -8,8 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _OPERATORS = {
+    "op1_minhash": "minhash",
+    "op2_language": "language",
+    "op3_decontam": "decontam",
+    "op4_url_filter": "url_filter",
+    "op5_chat": "chat",
     "op6_audio": "audio",
+    "op7_toxicity": "toxicity",
     "op8_warc": "warc",
+    "op9_line_dedup": "line_dedup",
     "op10_sentencepiece": "sentencepiece_bpe",
 }
 
@@ -19,4 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import chat, line_dedup, url_filter
+
+    return {"op4_url_filter": url_filter.SQL, "op5_chat": chat.SQL, "op9_line_dedup": line_dedup.SQL}
