@@ -45,10 +45,14 @@ def sorted_set(x) -> Column:
     return F.array_sort(F.array_distinct(col(x)))
 
 
+def _parent_of(level: int, parent: int):
+    return lambda cell: scaffold_parent(cell, level, parent)
+
+
 def with_parents(cells, level: int, parents: list[int]) -> Column:
     """A set of cells with the scaffold parents of each."""
     check_levels("h3", level, parents)
-    up = [F.transform(col(cells), lambda c, p=p: scaffold_parent(c, level, p)) for p in parents]
+    up = [F.transform(col(cells), _parent_of(level, p)) for p in parents]
     return sorted_set(F.flatten(F.array(col(cells), *up)))
 
 
