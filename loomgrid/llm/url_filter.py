@@ -2,10 +2,10 @@
 
 Trust starts at hosts with pages that a rule allows and follows links; distrust starts at hosts with pages
 that a rule blocks and follows links backwards, from the linked host to those that link to it.  Both are
-personalised PageRank: a host's score is (1 - DAMPING) times its seed plus DAMPING times what its neighbours
-pass on, each dividing its score by the weights of its links; a host without such neighbours keeps its seed.
-A seed is the share of the host's pages under such a rule, so scores lie in 0..1.  A host is blocked by the
-method if its distrust is at least LIMIT and above its trust.
+personalised PageRank over 1 - DAMPING: a host's score is its seed plus DAMPING times what its neighbours pass
+on, each dividing its score by the weights of its links.  A seed is the share of the host's pages under such a
+rule, so a host without neighbours keeps a score in 0..1.  A host is blocked by the method if its distrust is at
+least LIMIT and above its trust.
 
 Links are the absolute and scheme-relative ``href`` values of a page, counted by pair of different hosts, so
 what is iterated has a row a linked pair of hosts; without such links the scores are the seeds.
@@ -25,7 +25,7 @@ from .common import Scratch, table
 
 # Fixed values of the rule set: (action, host, path prefix).
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-DAMPING, LIMIT, ROUNDS, TOLERANCE = 0.85, 0.5, 20, 1e-4
+DAMPING, LIMIT, ROUNDS, TOLERANCE = 0.85, 0.5, 30, 1e-4
 
 
 def _lower(x: Column) -> Column:
@@ -72,16 +72,15 @@ def propagate(seeds: DataFrame, links: DataFrame, scratch: Scratch, rounds: int
     base = nodes.join(seeds, "host", "left").na.fill(0.0, ["trust0", "distrust0"])
     if not edges.take(1):
         return base.select("host", F.col("trust0").alias("trust"), F.col("distrust0").alias("distrust"))
-    linked = edges.groupBy(F.col("dst").alias("host")).agg(F.max("forward").alias("follows"), F.max(~F.col("forward")).alias("followed"))
-    base = scratch.save(base.join(linked, "host", "left"))
+    base = scratch.save(base)
     score = base.select("host", F.col("trust0").alias("trust"), F.col("distrust0").alias("distrust"))
     saved = None
     for _ in range(rounds):
         flow = edges.join(score.withColumnRenamed("host", "src"), "src").groupBy(F.col("dst").alias("host")).agg(
             F.sum(F.when(F.col("forward"), F.col("share") * F.col("trust"))).alias("t"), F.sum(F.when(~F.col("forward"), F.col("share") * F.col("distrust"))).alias("d")
         )
-        mix = lambda seed, got, has: F.when(has, (1 - DAMPING) * seed + DAMPING * F.coalesce(got, F.lit(0.0))).otherwise(seed)
-        fresh = base.join(flow, "host", "left").select("host", mix(F.col("trust0"), F.col("t"), F.col("follows")).alias("trust"), mix(F.col("distrust0"), F.col("d"), F.col("followed")).alias("distrust"))
+        mix = lambda seed, got: F.col(seed) + DAMPING * F.coalesce(got, F.lit(0.0))
+        fresh = base.join(flow, "host", "left").select("host", mix("trust0", F.col("t")).alias("trust"), mix("distrust0", F.col("d")).alias("distrust"))
         fresh = scratch.save(fresh)
         old = score.select("host", F.col("trust").alias("t0"), F.col("distrust").alias("d0"))
         moved = fresh.join(old, "host").agg(F.max(F.greatest(F.abs(F.col("trust") - F.col("t0")), F.abs(F.col("distrust") - F.col("d0"))))).first()[0]
@@ -120,8 +119,7 @@ def _sql() -> str:
     steps = "".join(f"""
 , f{k} AS (SELECT dst AS host, sum(CASE WHEN forward THEN share * trust END) AS t, sum(CASE WHEN NOT forward THEN share * distrust END) AS d
     FROM edges JOIN s{k - 1} ON src = host GROUP BY dst)
-, s{k} AS (SELECT b.host, CASE WHEN follows THEN {1 - DAMPING!r} * trust0 + {DAMPING} * coalesce(t, 0) ELSE trust0 END AS trust,
-    CASE WHEN followed THEN {1 - DAMPING!r} * distrust0 + {DAMPING} * coalesce(d, 0) ELSE distrust0 END AS distrust FROM base b LEFT JOIN f{k} f ON b.host = f.host)""" for k in range(1, ROUNDS + 1))
+, s{k} AS (SELECT b.host, trust0 + {DAMPING} * coalesce(t, 0) AS trust, distrust0 + {DAMPING} * coalesce(d, 0) AS distrust FROM base b LEFT JOIN f{k} f ON b.host = f.host)""" for k in range(1, ROUNDS + 1))
     return f"""
 WITH parts AS MATERIALIZED (
     SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN {low(f"regexp_extract({rest}, '^([^/?#]*)', 1)")} ELSE '' END AS host,
@@ -141,9 +139,8 @@ WITH parts AS MATERIALIZED (
 ), nodes AS (
     SELECT host FROM seeds UNION SELECT src FROM links UNION SELECT dst FROM links
 ), base AS MATERIALIZED (
-    SELECT n.host, coalesce(trust0, 0) AS trust0, coalesce(distrust0, 0) AS distrust0, coalesce(follows, false) AS follows, coalesce(followed, false) AS followed
+    SELECT n.host, coalesce(trust0, 0) AS trust0, coalesce(distrust0, 0) AS distrust0
     FROM nodes n LEFT JOIN seeds s ON n.host = s.host
-    LEFT JOIN (SELECT dst, bool_or(forward) AS follows, bool_or(NOT forward) AS followed FROM edges GROUP BY dst) e ON n.host = e.dst
 ), s0 AS (SELECT host, trust0 AS trust, distrust0 AS distrust FROM base){steps}
 SELECT page_id, j.host, path, rule, coalesce(action, CASE WHEN distrust >= {LIMIT} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged j LEFT JOIN s{ROUNDS} s ON j.host = s.host
