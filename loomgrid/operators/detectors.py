@@ -107,3 +107,15 @@ def decompose_multiple(df: DataFrame, p: Panel, seasons: list[int]) -> DataFrame
         return {"trend": trend, "remainder": rest} | {f"seasonal_{m}": parts.get(m, np.zeros(len(y))) for m in seasons}
 
     return over_series(df, p, {"trend": "double", **dict.fromkeys(names, "double"), "remainder": "double"}, f)
+
+
+def match_reference(df: DataFrame, p: Panel, signal: list[float], noise: float, step: float) -> DataFrame:
+    """(series, ts, y, state): each series' likeliest path through the reference signal's states."""
+    ref = np.array(signal, float)
+    return over_series(df, p, {"state": "long"}, lambda y: {"state": R.viterbi(y, ref, noise, step)})
+
+
+def locate(df: DataFrame, p: Panel, grid: list[float], signal: list[float], start: tuple[float, float], noise: float) -> DataFrame:
+    """(series, ts, y, axis): each series' smoothed axis position along the reference signal, a row a step."""
+    g, s = np.array(grid, float), np.array(signal, float)
+    return over_series(df, p, {"axis": "double"}, lambda y: {"axis": R.sequence_filter(np.arange(len(y), dtype=float), y, g, s, start, noise)})

@@ -238,3 +238,124 @@ def backtest(df: DataFrame, p: Panel, folds: DataFrame, f: Callable[..., DataFra
     made = f(rows.where("role = 'train'").select("__key", p.ts, p.y), q, horizon, **kw)
     test = rows.where("role = 'test'").select("__key", p.ts, p.y, p.series, "fold_id")
     return made.join(test, ["__key", p.ts]).drop("__key")
+
+
+def gate(scores: DataFrame, by: list[str], baseline: str, displacement: float = 0.05, winner: float = 0.1, top: int = 3, low: float = 0.05, high: float = 0.8, score: str = "score", model: str = "model") -> DataFrame:
+    """(by, model, weight): the baseline alone unless the best gains ``displacement`` on it; the best alone where it
+    beats the second by ``winner``; else the top ones by inverse score, projected on weights within low..high."""
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values([score, model])
+        names, s = part[model].tolist(), part[score].to_numpy(float)
+        base = s[names.index(baseline)] if baseline in names else np.inf
+        if base < np.inf and s[0] > base * (1 - displacement):
+            chosen = {baseline: 1.0}
+        elif len(s) == 1 or s[0] <= s[1] * (1 - winner):
+            chosen = {names[0]: 1.0}
+        else:
+            raw = 1 / np.maximum(s[:top], 1e-9)
+            chosen = dict(zip(names[:top], bounded_simplex(raw / raw.sum(), low, high), strict=True))
+        return pd.DataFrame([(*key, n, float(w)) for n, w in chosen.items()], columns=[*by, model, "weight"])
+
+    kinds = [scores.schema[c] for c in (*by, model)]
+    return scores.groupBy(*by).applyInPandas(run, T.StructType([*kinds, T.StructField("weight", T.DoubleType())]))
+
+
+def bounded_simplex(w: np.ndarray, low: float, high: float) -> np.ndarray:
+    """The nearest weights that sum to 1 within low..high, by bisection of the shift."""
+    low, high = min(low, 1 / len(w)), max(high, 1 / len(w))
+    a, b = (w - high).min() - 1, (w - low).max() + 1
+    for _ in range(200):
+        mid = (a + b) / 2
+        a, b = (mid, b) if np.clip(w - mid, low, high).sum() > 1 else (a, mid)
+    return np.clip(w - (a + b) / 2, low, high)
+
+
+#: The candidates of ``auto_forecast``: name and parameters, fixed values.
+CANDIDATES = [
+    ("naive", {}), ("seasonal_naive", {"season": 7}), ("window_average", {"size": 7}), ("seasonal_window_average", {"season": 7, "cycles": 3}), ("theta", {}), ("ets", {}),
+    ("auto_ets", {}), ("arima", {}), ("local_level_kalman", {}), ("croston", {}), ("tsb", {}), ("piecewise_linear_seasonal", {}),
+]
+
+
+def auto_forecast(df: DataFrame, p: Panel, horizon: int, folds: DataFrame, candidates: list[tuple[str, dict]] | None = None, top: int = 2) -> DataFrame:
+    """The best candidates of a rolling-origin backtest by the mean of relative RMSE and WAPE, blended by their
+    validation weights within 0.15..0.85, and not below 0 where the history isn't."""
+    from loomgrid.operators.metrics import forecast_metrics
+
+    scored = None
+    for name, kw in candidates or CANDIDATES:
+        part = backtest(df, p, folds, MODELS[name], horizon, **kw)
+        scored = part if scored is None else scored.unionByName(part)
+    m = forecast_metrics(scored, ["model", "fold_id"]).groupBy("model").agg(F.avg("rmse").alias("r"), F.avg("wape").alias("w"))
+    best = m.agg(F.min("r").alias("br"), F.min("w").alias("bw"))
+    m = m.crossJoin(best).select("model", (F.col("r") / F.greatest("br", F.lit(1e-12)) + F.col("w") / F.greatest("bw", F.lit(1e-12))).alias("score"))
+    weights = {r.model: r.weight for r in validation_weights(m, [], top=top).collect()}
+    share = bounded_simplex(np.array(list(weights.values())), 0.15, 0.85) if len(weights) > 1 else np.ones(1)
+    params = dict(candidates or CANDIDATES)
+    out = ensemble([MODELS[n](df, p, horizon, **params[n]) for n in weights], list(share), (p.series, p.ts, "horizon"))
+    low = df.groupBy(p.series).agg(F.min(p.y).alias("__low"))
+    mean = F.when(F.col("__low") >= 0, F.greatest("mean", F.lit(0.0))).otherwise(F.col("mean"))
+    return out.join(low, p.series).select(p.series, p.ts, "horizon", F.lit("auto_forecaster").alias("model"), mean.alias("mean"))
+
+
+def _lag_matrix(y: np.ndarray, lags: list[int], windows: list[int]) -> list[float]:
+    return [y[-k] for k in lags] + [y[-w:].mean() for w in windows]
+
+
+def lag_names(lags: list[int], windows: list[int]) -> list[str]:
+    return [f"target_lag_{k}" for k in lags] + [f"target_roll_mean_{w}" for w in windows]
+
+
+def boosted_lags(df: DataFrame, p: Panel, horizon: int, lags=(1, 7), windows=(7,), keep=None, **spec) -> DataFrame:
+    """One booster over all series' lag features, applied step by step on its own forecasts inside each series' group."""
+    from loomgrid.operators import boosting as B
+    from loomgrid.operators.windows import lag_features
+
+    lags, windows = list(lags), list(windows)
+    names = lag_names(lags, windows)
+    rows = lag_features(observed(df, p).drop("anchor"), p, lags=lags, means=windows)
+    model = B.fit(rows, B.Spec(names, p.y, **spec), keep)
+    need = max([*lags, *windows])
+
+    def value(x: dict) -> float:
+        out = model.init
+        for t in model.trees:
+            n = 0
+            while str(n) in t["splits"]:
+                c, cut, _ = t["splits"][str(n)]
+                n = 2 * n + 1 if x[c] <= cut else 2 * n + 2
+            out += t["leaves"][str(n)]
+        return out
+
+    def f(y: np.ndarray, h: int) -> np.ndarray:
+        if len(y) < need:
+            return np.full(h, y[-1])
+        hist = list(y)
+        for _ in range(h):
+            hist.append(value(dict(zip(names, _lag_matrix(np.array(hist[-need:]), lags, windows), strict=True))))
+        return np.array(hist[len(y) :])
+
+    return per_series(df, p, "boosted_lag", horizon, f)
+
+
+def boosted_direct(df: DataFrame, p: Panel, horizon: int, lags=(1, 7), windows=(7,), keep=None, **spec) -> DataFrame:
+    """One booster a step ahead: features of the last observed row, targets led by the step."""
+    from loomgrid.operators import boosting as B
+    from loomgrid.operators.windows import lag_features
+
+    names = lag_names(list(lags), list(windows))
+    base = observed(df, p).drop("anchor")
+    ahead = future_index(df, p, 1).select(p.series, p.ts, F.lit(None).cast("double").alias(p.y))  # a row after the last
+    rows = lag_features(base.select(p.series, p.ts, p.y).unionByName(ahead), p, lags=list(lags), means=list(windows))
+    now = rows.where(F.col(p.y).isNull())
+    out = None
+    for step in range(1, horizon + 1):
+        train = rows.withColumn("__t", F.lead(p.y, step - 1).over(p.window())).where("__t IS NOT NULL")
+        model = B.fit(train, B.Spec(names, "__t", **spec), keep)
+        part = now.select(p.series, advance(F.col(p.ts), p.freq, F.lit(step - 1)).alias(p.ts), F.lit(step).alias("horizon"), F.lit("boosted_direct").alias("model"), B.margin(model).alias("mean"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+MODELS |= {"boosted_lag": boosted_lags, "boosted_direct": boosted_direct}

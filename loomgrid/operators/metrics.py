@@ -191,3 +191,36 @@ def weighted_quantile(df: DataFrame, by: list[str], value: str, weight: str, lev
     sums = df.groupBy(*by, value).agg(F.sum(weight).alias("w"))
     cum = sums.withColumn("c", F.sum("w").over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("t", F.sum("w").over(W.partitionBy(*by)))
     return cum.where(F.col("c") >= level * F.col("t") - 1e-9).groupBy(*by).agg(F.min(value).alias("quantile"))
+
+
+def competition(df: DataFrame, by: list[str], metric_cols: tuple[str, str] = ("smape", "mase"), model: str = "model", baseline: str = "naive") -> DataFrame:
+    """(by, model, relative values, owa): each metric over the baseline's, and the mean of both."""
+    base = df.where(F.col(model) == baseline).select(*by, *[F.col(c).alias(f"__{c}") for c in metric_cols])
+    out = df.join(base, by)
+    rel = [ratio(F.col(c), F.col(f"__{c}")) for c in metric_cols]
+    return out.select(*by, model, *[x.alias(f"relative_{c}") for x, c in zip(rel, metric_cols, strict=True)], (total(rel) / len(rel)).alias("owa"))
+
+
+def equal_level(df: DataFrame, level: str, score: str, weight: str) -> DataFrame:
+    """One row: the mean over levels of the weighted mean score (weights scaled to 1 within a level)."""
+    return df.groupBy(level).agg((F.sum(F.col(score) * F.col(weight)) / F.sum(weight)).alias("s")).agg(F.avg("s").alias("score"))
+
+
+def event_labels(df: DataFrame, by: str, at: str, value: str, threshold: float, horizon: int) -> DataFrame:
+    """``df`` with ``hit`` (value at least the threshold) and ``within`` (a hit among the next ``horizon`` rows)."""
+    w = W.partitionBy(by).orderBy(at)
+    hit = (F.col(value) >= threshold).cast("int")
+    return df.withColumn("hit", hit).withColumn("within", F.coalesce(F.max(hit).over(w.rowsBetween(1, horizon)), F.lit(0)))
+
+
+def jitter(df: DataFrame, ident: str, prediction: str) -> DataFrame:
+    """One row: the mean over samples of their predictions' population deviation."""
+    return df.groupBy(ident).agg(F.stddev_pop(prediction).alias("s")).agg(F.avg("s").alias("volatility"))
+
+
+def laplacian_penalty(edges: DataFrame, values: DataFrame, node: str, value: str) -> DataFrame:
+    """One row: half the sum of w (difference)^2 over the stored directed edges."""
+    a = values.select(F.col(node).alias("src"), F.col(value).alias("__a"))
+    b = values.select(F.col(node).alias("dst"), F.col(value).alias("__b"))
+    d = F.col("__a") - F.col("__b")
+    return edges.join(a, "src").join(b, "dst").agg((F.sum(F.col("w") * d * d) / 2).alias("penalty"))

@@ -301,3 +301,57 @@ def piecewise(y: np.ndarray, horizon: int, changepoints: int = 5, reach: float =
             if moved < 1e-8:
                 break
     return piecewise_design(np.arange(n, n + horizon, dtype=float), at, season, order) @ coef
+
+
+def interpolate(grid: np.ndarray, signal: np.ndarray, at: float) -> tuple[float, float]:
+    """The reference signal and its slope at an axis position, clamped to the reference's range."""
+    at = float(np.clip(at, grid[0], grid[-1]))
+    k = int(np.clip(np.searchsorted(grid, at) - 1, 0, len(grid) - 2))
+    slope = (signal[k + 1] - signal[k]) / (grid[k + 1] - grid[k])
+    return float(signal[k] + slope * (at - grid[k])), float(slope)
+
+
+def sequence_filter(position: np.ndarray, y: np.ndarray, grid: np.ndarray, signal: np.ndarray, start: tuple[float, float], noise: float = 1.0, drift: tuple[float, float] = (1e-3, 1e-4), smooth: bool = True) -> np.ndarray:
+    """Axis positions by an extended Kalman filter whose state (axis, rate) moves with the position's gaps and is
+    measured through the reference signal; a missing value isn't assimilated; smoothed backwards on request."""
+    x, cov = np.array(start, float), np.eye(2)
+    states, covs, priors, moves = [x], [cov], [cov], [np.eye(2)]
+    for k in range(1, len(y)):
+        f = np.array([[1.0, position[k] - position[k - 1]], [0.0, 1.0]])
+        x = f @ x
+        x[0] = np.clip(x[0], grid[0], grid[-1])
+        prior = cov = f @ cov @ f.T + np.diag(drift)
+        if not np.isnan(y[k]):
+            value, slope = interpolate(grid, signal, x[0])
+            h = np.array([slope, 0.0])
+            gain = cov @ h / (h @ cov @ h + noise)
+            keep = np.eye(2) - np.outer(gain, h)
+            x = x + gain * (y[k] - value)
+            x[0] = np.clip(x[0], grid[0], grid[-1])
+            cov = keep @ cov @ keep.T + np.outer(gain, gain) * noise
+        states.append(x)
+        covs.append(cov)
+        priors.append(prior)
+        moves.append(f)
+    if smooth:
+        for k in range(len(y) - 2, -1, -1):
+            c = covs[k] @ moves[k + 1].T @ np.linalg.pinv(priors[k + 1])
+            states[k] = states[k] + c @ (states[k + 1] - moves[k + 1] @ states[k])
+            states[k][0] = np.clip(states[k][0], grid[0], grid[-1])
+    return np.array([s[0] for s in states])
+
+
+def viterbi(y: np.ndarray, signal: np.ndarray, noise: float = 1.0, step: float = 1.0) -> np.ndarray:
+    """The likeliest path of reference states: Gaussian errors, and a cost of (state change / step)^2 / 2."""
+    m = len(signal)
+    move = -0.5 * ((np.arange(m)[:, None] - np.arange(m)[None]) / step) ** 2
+    emit = lambda v: np.zeros(m) if np.isnan(v) else -0.5 * ((v - signal) / noise) ** 2
+    best, back = emit(y[0]), []
+    for v in y[1:]:
+        scores = best[:, None] + move
+        back.append(scores.argmax(0))
+        best = scores.max(0) + emit(v)
+    path = [int(best.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return np.array(path[::-1])

@@ -145,3 +145,13 @@ def manifest(folds: DataFrame, ident: str) -> DataFrame:
     one = F.conv(F.substring(F.sha2(F.concat_ws(":", F.col(ident).cast("string"), "role"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
     n = lambda r: F.sum((F.col("role") == r).cast("long"))
     return folds.groupBy("fold_id").agg(n("train").alias("n_train"), n("test").alias("n_test"), F.sum(one).cast("string").alias("digest"))
+
+
+def environmental(df: DataFrame, ident: str, features: list[str], k: int, seed: int = 1) -> DataFrame:
+    """(ident, fold): clusters of the features by k-means."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = VectorAssembler(inputCols=features, outputCol="__v").transform(df.select(ident, *features))
+    model = KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="fold").fit(rows)
+    return model.transform(rows).select(ident, "fold")
