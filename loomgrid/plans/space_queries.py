@@ -115,7 +115,11 @@ def spatial_overlay(spark, sf_dir):
 
 
 CP = f"{V.DAILY}, ca AS (SELECT series_id AS unit, ts::VARCHAR AS t, y, series_id IN ('purchase') AS tr, ts::VARCHAR >= '2024-01-21' AS po FROM daily)"
-TR, PO = F.col("unit").isin("purchase"), F.col("t") >= "2024-01-21"
+
+
+def _effect():
+    """Treated units and times after the start."""
+    return F.col("unit").isin("purchase"), F.col("t") >= "2024-01-21"
 
 
 def _causal(spark, sf_dir):
@@ -127,7 +131,7 @@ MEANS = "avg(y) FILTER (tr AND NOT po) AS treated_pre, avg(y) FILTER (tr AND po)
 
 @query(f"WITH {CP}, m AS (SELECT {MEANS} FROM ca) SELECT {r('treated_pre')} AS treated_pre, {r('treated_post')} AS treated_post, {r('control_pre')} AS control_pre, {r('control_post')} AS control_post, {r('(treated_post - treated_pre) - (control_post - control_pre)')} AS effect FROM m")
 def causal_did(spark, sf_dir):
-    return _out(C.did(_causal(spark, sf_dir), TR, PO, "y"))
+    return _out(C.did(_causal(spark, sf_dir), *_effect(), "y"))
 
 
 MW = f"{CP}, t AS (SELECT avg(y) AS t FROM ca WHERE tr AND NOT po), m AS (SELECT unit, avg(y) FILTER (NOT po) AS pre, avg(y) FILTER (po) AS post FROM ca WHERE NOT tr GROUP BY 1), w AS (SELECT unit, pre, post, 1 / (abs(pre - t) + 1e-6) AS w FROM m, t)"
@@ -135,12 +139,12 @@ MW = f"{CP}, t AS (SELECT avg(y) AS t FROM ca WHERE tr AND NOT po), m AS (SELECT
 
 @query(f"WITH {MW} SELECT unit, {r('w / sum(w) OVER ()')} AS weight FROM w")
 def causal_matched_weights(spark, sf_dir):
-    return _out(C.matched_weights(_causal(spark, sf_dir), "unit", TR, PO, "y"))
+    return _out(C.matched_weights(_causal(spark, sf_dir), "unit", *_effect(), "y"))
 
 
 @query(f"WITH {MW} SELECT {r('(SELECT avg(y) FILTER (po) - avg(y) FILTER (NOT po) FROM ca WHERE tr) - sum(w * (post - pre)) / sum(w)')} AS effect FROM w")
 def causal_matched_did(spark, sf_dir):
-    return _out(C.matched_did(_causal(spark, sf_dir), "unit", TR, PO, "y"))
+    return _out(C.matched_did(_causal(spark, sf_dir), "unit", *_effect(), "y"))
 
 
 PL = f"{CP}, m AS (SELECT unit, avg(y) FILTER (po) AS post, avg(y) FILTER (NOT po) AS pre FROM ca WHERE NOT tr GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY md5('placebo' || unit)) AS k FROM m), pl AS (SELECT unit, (post - pre) - (SELECT avg(y) FILTER (po) - avg(y) FILTER (NOT po) FROM ca WHERE NOT tr AND ca.unit <> k.unit) AS effect FROM k WHERE k <= 3)"
@@ -148,18 +152,18 @@ PL = f"{CP}, m AS (SELECT unit, avg(y) FILTER (po) AS post, avg(y) FILTER (NOT p
 
 @query(f"WITH {PL} SELECT unit, {r('effect')} AS effect FROM pl")
 def causal_placebo(spark, sf_dir):
-    return _out(C.placebo(_causal(spark, sf_dir), "unit", TR, PO, "y", 3))
+    return _out(C.placebo(_causal(spark, sf_dir), "unit", *_effect(), "y", 3))
 
 
 @query(f"WITH {PL} SELECT {r('stddev_pop(effect) * 1.96 / 250')} AS lift FROM pl")
 def causal_detectable_lift(spark, sf_dir):
-    return _out(C.detectable_lift(C.placebo(_causal(spark, sf_dir), "unit", TR, PO, "y", 3), 250.0))
+    return _out(C.detectable_lift(C.placebo(_causal(spark, sf_dir), "unit", *_effect(), "y", 3), 250.0))
 
 
 @query(f"WITH {MW}, g AS (SELECT unit, round(abs(pre - t), 9) + 0.0 AS gap, 0.0::DOUBLE AS exposure FROM m, t), k AS (SELECT *, row_number() OVER (ORDER BY gap, unit)::INTEGER AS rank FROM g) SELECT unit, {r('gap')} AS gap, exposure, rank FROM k WHERE rank <= 2")
 def causal_design(spark, sf_dir):
     none = spark.createDataFrame([], "unit string, exposure double")
-    return _out(C.design(_causal(spark, sf_dir), "unit", TR, PO, "y", none, 2))
+    return _out(C.design(_causal(spark, sf_dir), "unit", *_effect(), "y", none, 2))
 
 
 @query(f"WITH {V.FLOWS}, t AS (SELECT n_nationkey AS k FROM nation WHERE n_regionkey = 2), b AS (SELECT src AS node, dst AS o, w FROM flows UNION ALL SELECT dst, src, w FROM flows) SELECT node, {r('sum(w)', 4)} AS exposure FROM b WHERE o IN (SELECT k FROM t) AND node NOT IN (SELECT k FROM t) GROUP BY 1")
