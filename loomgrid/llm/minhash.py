@@ -13,9 +13,10 @@ Jaccard similarity of their sets is at least 0.75.  The result is the connected
    probability of a similarity of 0.75 or more (uniform prior, binomial likelihood) is below MISS.
 4. Survivors are verified on their full sets, which are made again for the documents concerned only.
 5. Connected components of the verified links.  A bucket whose members are all in one component is done.  The
-   others are compared pair by pair inside the tasks, by step 3, in tiles of bounded size, and only pairs of
-   different components that survive leave the task; they are verified as in 4.  So every pair that shares a
-   band is either known to be connected or has been compared.
+   others are compared pair by pair inside the tasks, by step 3, in tiles of bounded size, a pair in the first
+   band that it shares only.  Members with a surviving partner leave the task, meet their full sets, and are
+   verified in tiles again, from which only links that join components come out.  So rows grow with the members,
+   and every pair that shares a band is either known to be connected or has been compared.
 
 Grouping pre-aggregates before each shuffle and hot keys meet only slim rows.
 
@@ -44,7 +45,7 @@ BANDS, ROWS = 32, 4
 VALUES = BANDS * ROWS
 BATCH = 16
 MISS = 1e-4
-TILE = 1024
+TILE = 512
 REMEMBERED = 400_000
 
 # Independent odd multipliers and offsets of the permutations and of the words' places in a shingle.
@@ -153,41 +154,78 @@ def _prune(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select(["a", "b"]).take(pa.array(kept))
 
 
-def _tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Surviving pairs of different components in rows sorted by (band, value, lo, hi): one tile pair a group."""
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """((band, value, lo, hi), rows of doc_id, comp, own, sig and, if there, set) of rows sorted by the former."""
     held: list[tuple] = []
     at = None
-
-    def pairs() -> pa.RecordBatch | None:
-        ids = np.array([x[0] for x in held], np.int64)
-        comps = np.array([x[1] for x in held], np.int64)
-        sigs = np.frombuffer(b"".join(x[2] for x in held), np.uint16).reshape(-1, VALUES)
-        own = np.array([x[3] for x in held])
-        lo, hi = at[2], at[3]
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        out_a, out_b = [], []
-        for i in left:
-            other = right[right > i] if lo == hi else right
-            other = other[comps[other] != comps[i]]
-            if not len(other):
-                continue
-            kept = other[survives(np.broadcast_to(sigs[i], (len(other), VALUES)), sigs[other])]
-            out_a.append(np.minimum(ids[i], ids[kept]))
-            out_b.append(np.maximum(ids[i], ids[kept]))
-        if not out_a:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
-
     for batch in batches:
-        cols = [batch.column(k).to_pylist() for k in ("band", "value", "lo", "hi", "doc_id", "comp", "sig", "own")]
-        for band, value, lo, hi, doc_id, comp, sig, own in zip(*cols, strict=True):
-            if (band, value, lo, hi) != at:
-                if len(held) > 1 and (made := pairs()) is not None:
-                    yield made
-                held, at = [], (band, value, lo, hi)
-            held.append((doc_id, comp, sig, own))
-    if len(held) > 1 and (made := pairs()) is not None:
-        yield made
+        names = [c for c in ("doc_id", "comp", "own", "sig", "items") if c in batch.schema.names]
+        keys = zip(*[batch.column(k).to_pylist() for k in ("band", "value", "lo", "hi")], strict=True)
+        for key, row in zip(keys, zip(*[batch.column(k).to_pylist() for k in names], strict=True), strict=True):
+            if key != at:
+                if len(held) > 1:
+                    yield at, held
+                held, at = [], key
+            held.append(row)
+    if len(held) > 1:
+        yield at, held
+
+
+def _tile_pairs(at: tuple, held: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, others): rows of a tile pair, of different components, that survive, and share no earlier band."""
+    comps = np.array([x[1] for x in held], np.int64)
+    own = np.array([x[2] for x in held])
+    sigs = np.frombuffer(b"".join(x[3] for x in held), np.uint16).reshape(-1, VALUES)
+    bands = sigs.view(np.int64)[:, : at[0]]
+    left, right = np.flatnonzero(own == at[2]), np.flatnonzero(own == at[3])
+    for i in left:
+        other = right[right > i] if at[2] == at[3] else right
+        other = other[comps[other] != comps[i]]
+        if len(other):
+            other = other[survives(np.broadcast_to(sigs[i], (len(other), VALUES)), sigs[other])]
+        if len(other) and at[0]:
+            other = other[~(bands[other] == bands[i]).any(1)]
+        if len(other):
+            yield int(i), other
+
+
+def _hopeful(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each tile pair that have a surviving partner in it: at most as many as came in."""
+    for at, held in _groups(batches):
+        found: set[int] = set()
+        for i, others in _tile_pairs(at, held):
+            found.add(i)
+            found.update(others.tolist())
+        if found:
+            rows = [(*at, *held[i][:4]) for i in sorted(found)]
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], _HOPEFUL_NAMES)
+
+
+_HOPEFUL = "band int, value long, lo int, hi int, doc_id long, comp long, own int, sig binary"
+_HOPEFUL_NAMES = [x.split()[0] for x in _HOPEFUL.split(", ")]
+
+
+def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between components, verified on the full sets; in a tile pair fewer than its components."""
+    for at, held in _groups(batches):
+        up: dict[int, int] = {}
+
+        def root(c: int, up=up) -> int:
+            while (d := up.get(c, c)) != c:
+                c = d
+            return c
+
+        sets = [np.frombuffer(x[4], np.uint64) for x in held]
+        out = []
+        for i, others in _tile_pairs(at, held):
+            for j in others.tolist():
+                x, y = root(held[i][1]), root(held[j][1])
+                if x != y and linked(sets[i], sets[j]):
+                    up[max(x, y)] = min(x, y)
+                    out.append(sorted((held[i][0], held[j][0])))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,24 +235,28 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids, pa.array([shingles(x.as_py()).tobytes() for x in texts], pa.binary())], ["doc_id", "items"])
 
 
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets' similarity is at least NUM / DEN."""
+    if DEN * min(len(x), len(y)) < NUM * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return DEN * common >= NUM * (len(x) + len(y) - common)
+
+
 def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            if DEN * min(len(x), len(y)) < NUM * max(len(x), len(y)):
-                keep.append(False)
-                continue
-            both = np.concatenate([x, y])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            keep.append(DEN * common >= NUM * (len(x) + len(y) - common))
+        sets = zip(batch.column("set_a"), batch.column("set_b"), strict=True)
+        keep = [linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in sets]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, comp): each linked id's least reachable id, by alternating large-star and small-star rounds."""
+    tally = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     edges = scratch.save(links.select(F.col("b").alias("u"), F.col("a").alias("v")).where("u <> v").distinct())  # u > v
+    before = tally(edges)
     while True:
         # Large star: every neighbour above a node moves to the node's least neighbour (itself included).
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -224,10 +266,9 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = large.join(least.where("n > 1"), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         fresh = scratch.save(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        tally = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        done = tally(fresh) == tally(edges)
+        now = tally(fresh)
         scratch.drop(edges)
-        edges = fresh
+        edges, done, before = fresh, now == before, now
         if done:
             return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("comp"))
 
@@ -269,23 +310,31 @@ def near_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     rest = rest.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rest = rest.select("doc_id", "band", "value", "comp", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    rest = rest.join(reps, "doc_id").repartition("band", "value", "lo", "hi").sortWithinPartitions("band", "value", "lo", "hi", "doc_id")
-    more = scratch.save(rest.mapInArrow(_tiles, "a long, b long").distinct())
+    tile = ["band", "value", "lo", "hi"]
+    together = lambda df: df.repartition(*tile).sortWithinPartitions(*tile, "doc_id")
+    hopeful = scratch.save(together(rest.join(reps, "doc_id")).mapInArrow(_hopeful, _HOPEFUL))
+    sets = _sets_of(hopeful.select("doc_id"), rows, scratch)
+    more = scratch.save(together(hopeful.join(sets, "doc_id")).mapInArrow(_settle, "a long, b long").distinct())
     known = comps.select(F.col("comp").alias("a"), F.col("doc_id").alias("b"))
-    final = scratch.save(components(known.unionByName(_verified(more, rows, scratch)), scratch))
+    final = scratch.save(components(known.unionByName(more), scratch))
     # Ids linked by a shared text, and classes, to components.
     out = signed.select("doc_id", "n_shingles", "key").join(classes, "key", "left").join(final.withColumnRenamed("doc_id", "rep"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id")).select("*", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs that are linked, by the full sets of the documents in them.
+def _sets_of(ids: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, items): the full sets of some ids, made again from the texts.
 
-    Sets are made again from the texts; the ids wanted are broadcast where they are counted to be few.
+    The ids are broadcast where they are counted to be few.
     """
-    wanted = scratch.save(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    wanted = scratch.save(ids.distinct())
     few = wanted.count() <= 500_000
-    sets = scratch.save(rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, items binary").dropDuplicates(["doc_id"]))
+    return scratch.save(rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, items binary").dropDuplicates(["doc_id"]))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs that are linked, by the full sets of the documents in them."""
+    sets = _sets_of(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), rows, scratch)
     met = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("set_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("set_a")), "a")
     return met.mapInArrow(_verify, "a long, b long")
 
