@@ -31,6 +31,7 @@ def read_panel_csv(spark: SparkSession, path: str, p: Panel) -> DataFrame:
     return from_dataframe(rows.withColumn(p.ts, parse_timestamp(p.ts)), p)
 
 
+# The keys under which files hold a geometry.
 GEOMETRY = "struct<type:string,coordinates:string>"
 
 
