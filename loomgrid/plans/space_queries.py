@@ -59,8 +59,9 @@ def spatial_fit_variogram(spark, sf_dir):
 
 
 def _near(spark, sf_dir):
+    """Every point with its nearest others: predictions leave the point itself out."""
     g = V.geo(spark, sf_dir)
-    return J.nearest(g.where("id % 10 = 1"), g.where("id % 10 <> 1"), "id", 8, 12.0)
+    return J.nearest(g, g, "id", 8, 12.0)
 
 
 @query()
@@ -175,9 +176,9 @@ def causal_exposures(spark, sf_dir):
 HV = "2 * 6371.0088 * asin(sqrt(sin(radians(u.lat - t.lat) / 2) ** 2 + cos(radians(u.lat)) * cos(radians(t.lat)) * sin(radians(u.lng - t.lng) / 2) ** 2))"
 
 
-@query(f"WITH {V.GEO}, v AS (SELECT id, x / 3 AS lat, y AS lng, id % 100 = 0 AS treated FROM geo) SELECT {r(f'min({HV})', 4)} AS min_km, {r(f'avg({HV})', 4)} AS mean_km FROM v u, v t WHERE NOT u.treated AND t.treated")
+@query(f"WITH {V.GEO}, v AS (SELECT id, x / 3 AS lat, y AS lng, grp = 3 AS treated FROM geo) SELECT {r(f'min({HV})', 4)} AS min_km, {r(f'avg({HV})', 4)} AS mean_km FROM v u, v t WHERE NOT u.treated AND t.treated")
 def causal_distances(spark, sf_dir):
-    u = V.geo(spark, sf_dir).select("id", (F.col("x") / 3).alias("lat"), F.col("y").alias("lng"), (F.col("id") % 100 == 0).alias("treated"))
+    u = V.geo(spark, sf_dir).select("id", (F.col("x") / 3).alias("lat"), F.col("y").alias("lng"), (F.col("grp") == 3).alias("treated"))
     d = C.treated_control_distance(u, "id")
     return d.select(*[rounded(c, 4).alias(c) for c in d.columns])
 

@@ -104,10 +104,10 @@ def join_nearest(spark, sf_dir):
     return J.nearest(g, g, "id", 3, 5.0).select("id", "r_id", "rank")
 
 
-@query(f"WITH {V.GEO} SELECT id FROM geo WHERE NOT EXISTS (SELECT 1 FROM geo b WHERE b.id % 50 = 0 AND (b.x - geo.x) ** 2 + (b.y - geo.y) ** 2 <= 36)")
+@query(f"WITH {V.GEO} SELECT id FROM geo WHERE NOT EXISTS (SELECT 1 FROM geo b WHERE b.grp = 7 AND (b.x - geo.x) ** 2 + (b.y - geo.y) ** 2 <= 36)")
 def join_beyond(spark, sf_dir):
     g = V.geo(spark, sf_dir)
-    return J.beyond(g, g.where("id % 50 = 0"), 6.0, "id").select("id")
+    return J.beyond(g, g.where("grp = 7"), 6.0, "id").select("id")
 
 
 @query("""WITH l AS (SELECT event_id, event_type, ts FROM events WHERE event_id % 3 <> 0), m AS (SELECT event_type, ts, max(value) AS v FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2)
