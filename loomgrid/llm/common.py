@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL_DIR
 
 
+_HOLDERS: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, free: Callable[[], None]) -> None:
+    """Called by an operator in a worker process before it remembers words: frees what other operators remember there.
+
+    Workers are reused from stage to stage, so without this a pipeline's memory would be the sum of its stages'.
+    """
+    for other, drop in list(_HOLDERS.items()):
+        if other != name:
+            drop()
+            del _HOLDERS[other]
+    _HOLDERS[name] = free
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; every executor can read them again."""
 
@@ -34,6 +50,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        self._paths: list[str] = []
 
     def save(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
         """Write ``df`` and return it as read back."""
@@ -42,10 +59,20 @@ class Scratch:
         df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self._paths.append(path)
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Delete a saved table that nothing reads any more."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        self._delete(df._scratch_path)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all saved tables but these."""
+        wanted = {t._scratch_path for t in tables}
+        for path in [p for p in self._paths if p not in wanted]:
+            self._delete(path)
+
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self._paths = [p for p in self._paths if p != where]

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, claim, table
 
 WORDS = 5
 NUM, DEN = 75, 100  # the similarity, as a fraction
@@ -46,7 +46,7 @@ VALUES = BANDS * ROWS
 BATCH = 16
 MISS = 1e-4
 TILE = 512
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 # Independent odd multipliers and offsets of the permutations and of the words' places in a shingle.
 _RNG = np.random.default_rng(20_240_229)
@@ -100,6 +100,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("minhash", _WORDS.clear)
     for batch in batches:
         n, keys, sigs = [], [], []
         for text in batch.column("text"):
@@ -158,7 +159,7 @@ def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tup
     """((band, value, lo, hi), rows of doc_id, comp, own, sig and, if there, set) of rows sorted by the former."""
     held: list[tuple] = []
     at = None
-    for batch in batches:
+    for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
         names = [c for c in ("doc_id", "comp", "own", "sig", "items") if c in batch.schema.names]
         keys = zip(*[batch.column(k).to_pylist() for k in ("band", "value", "lo", "hi")], strict=True)
         for key, row in zip(keys, zip(*[batch.column(k).to_pylist() for k in names], strict=True), strict=True):
@@ -229,6 +230,7 @@ def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("minhash", _WORDS.clear)
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             ids, texts = (c.slice(at, 512) for c in batch.columns)
@@ -317,6 +319,7 @@ def near_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     more = scratch.save(together(hopeful.join(sets, "doc_id")).mapInArrow(_settle, "a long, b long").distinct())
     known = comps.select(F.col("comp").alias("a"), F.col("doc_id").alias("b"))
     final = scratch.save(components(known.unionByName(more), scratch))
+    scratch.keep(signed, classes, final)
     # Ids linked by a shared text, and classes, to components.
     out = signed.select("doc_id", "n_shingles", "key").join(classes, "key", "left").join(final.withColumnRenamed("doc_id", "rep"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id")).select("*", (F.col("doc_id") == F.col("component_id")).alias("kept"))
@@ -346,6 +349,7 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the least id of each component only, and one row an id; rows without an id stay."""
     found = scratch.save(near_components(docs, scratch, id_col, text_col).select("doc_id", "kept"))
+    scratch.keep(found)
     gone = scratch.save(found.where("NOT kept").select(F.col("doc_id").alias("__id")).distinct())
     again = scratch.save(found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id"))
     few = lambda df: F.broadcast(df) if df.count() <= 500_000 else df

@@ -31,15 +31,15 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import claim, table
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: As CHUNK, and between a letter and anything else; for texts without the characters that a model joins across this.
 PART = re.compile(rf"{MARK}*[^\W\d_]+|{MARK}*[\W\d_](?:(?!{MARK})[\W\d_])*")
 LETTER = re.compile(r"[^\W\d_]")
-REMEMBERED = 400_000  # in each of two generations
-REMEMBERED_PAIRS = 1_000_000
+REMEMBERED = 150_000  # in each of two generations
+REMEMBERED_PAIRS = 400_000
 LONG = 48
 MODEL_NAME = "piece_bpe_32k.model"
 
@@ -204,6 +204,12 @@ class MergeEncoder:
         said = b"".join(map(self.known_bytes.__getitem__, ids))
         return self.ends[0] + b"".join(ids) + self.ends[1], said[1:]
 
+    def forget(self) -> None:
+        for memory in (self.known_ids, self.known_bytes):
+            memory.clear()
+            memory.old = {}
+        self.pairs.clear()
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.both(text)[0], "<u4").tolist()
 
@@ -268,6 +274,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path or model_path())
+        claim("sentencepiece", model.forget)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 ids, texts = (c.slice(at, 256) for c in batch.columns)
@@ -282,6 +289,7 @@ def digest_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path or model_path())
+        claim("sentencepiece", model.forget)
         for batch in batches:
             n, a, b = [], [], []
             for text in batch.column("text"):

@@ -34,16 +34,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import claim, table
 
 ORDER, DECAY, SUPPORT = 3, 0.6, 0.5
 LETTERS = 48
 LONGEST = 20
 LANDMARKS, CONTRAST = 96, 24
 SAMPLE = 6000
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 WORD = re.compile(r"[^\W_]+")
+CELLS = 100_000  # subsequences compared at once
 SINGLES = frozenset("abcdefghijklmnopqrstuvwxyzäöüßéèêçñíóáú")
 
 
@@ -107,8 +108,9 @@ class Landmarks:
         out: dict[str, np.ndarray] = {}
         for n, group in by.items():
             _, weight, least = _places(n)
-            for start in range(0, len(group), 2048):
-                part = group[start : start + 2048]
+            rows = max(32, CELLS // len(weight))
+            for start in range(0, len(group), rows):
+                part = group[start : start + rows]
                 keys = _keys(codes("".join(part)).reshape(len(part), n))
                 # No landmark's value can exceed this, so most words end here.
                 may = np.flatnonzero(self.most[keys] @ weight >= SUPPORT * least - 1e-9)
@@ -333,6 +335,7 @@ _HELD: dict[int, Matcher] = {}
 def _scores(model: Model, texts: list[str]) -> list[float]:
     if model.logit is None:
         return [model.constant] * len(texts)
+    claim("toxicity", _HELD.clear)
     key = hash(tuple(model.words))
     if key not in _HELD:
         _HELD.clear()
@@ -343,12 +346,16 @@ def _scores(model: Model, texts: list[str]) -> list[float]:
     return out
 
 
+def _parts(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    return (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             s = _scores(sent.value, [x or "" for x in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
@@ -361,7 +368,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             s = _scores(sent.value, [x or "" for x in batch.column(at).to_pylist()])
             yield batch.filter(pa.array([x < 0.5 for x in s], pa.bool_()))
 
