@@ -7,7 +7,8 @@ words with their punctuation removed ("i.d.i-o.t"), and joined runs of single ch
 
 Landmarks are the words that set toxic training documents apart most, and the clean words most like them.  The
 Nystroem map K(landmarks)^(-1/2) makes the kernel linear; a squared-hinge SVM is trained on sentences, where a
-toxic document's sentences are relabelled in turns (only some of them need be toxic).  A document's score is a
+toxic document's sentences are relabelled in turns (only some of them need be toxic), together with virtual examples
+that have a character put into the words.  A document's score is a
 logistic function of its highest sentence margin, the number of sentences with a positive margin, and length.
 
 The classifier is fitted on at most SAMPLE labelled documents, those of least id hash; held-out documents
@@ -41,6 +42,7 @@ LETTERS = 48
 LONGEST = 20
 LANDMARKS, CONTRAST = 96, 24
 SAMPLE = 6000
+VIRTUAL = 0.15  # weight of the virtual examples together, against that of the toxic sentences
 REMEMBERED = 300_000
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 WORD = re.compile(r"[^\W_]+")
@@ -221,7 +223,7 @@ class Model:
     def signals(self, rows: list[np.ndarray], tokens: int) -> list[float]:
         m = np.concatenate([self.margins(rows), [self.bias]])
         m.sort()
-        return [1.0, m[-1], float(np.log1p((m > 0).sum())), float(np.log1p(tokens))]
+        return [1.0, m[-1], float(np.log1p((m > 0).sum())), float(np.log1p(max(tokens, 30)))]
 
     def score(self, rows: list[np.ndarray], tokens: int) -> float:
         if self.logit is None:
@@ -258,8 +260,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def choose_landmarks(texts: list[str], labels: np.ndarray) -> list[str]:
-    """Words with the most significant surplus in toxic texts, and the clean words most like them."""
+def inserted(word: str) -> list[str]:
+    """The word with a character put in at each of two places."""
+    n = len(word)
+    return [word[:k] + "x" + word[k:] for k in (n // 3 + 1, n - n // 3)]
+
+
+def choose_landmarks(texts: list[str], labels: np.ndarray) -> tuple[list[str], int]:
+    """Words with the most significant surplus in toxic texts, then the clean words most like them; and how many the
+    former are."""
     counts = (Counter(), Counter())
     for text, y in zip(texts, labels, strict=True):
         counts[int(y)].update({s for t in set(text.lower().split()) for s in strings(t) if len(s) >= ORDER})
@@ -273,10 +282,10 @@ def choose_landmarks(texts: list[str], labels: np.ndarray) -> list[str]:
             ranked.append(((share - other) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0) + 1e-12), word))
     chosen = [w for z, w in sorted(ranked, key=lambda r: (-r[0], r[1]))[:LANDMARKS] if z > 4]
     if not chosen:
-        return []
+        return [], 0
     like = Landmarks(chosen).values([w for w, b in counts[0].items() if counts[1][w] / n1 <= 3 * b / n0])
     near = sorted(like, key=lambda w: (-like[w].max() * np.log1p(counts[0][w]) * (len(w) > 5), w))[:CONTRAST]
-    return chosen + [w for w in near if w not in chosen]
+    return chosen + [w for w in near if w not in chosen], len(chosen)
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
@@ -284,7 +293,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         return Model(constant=float(y.mean()) if len(y) else 0.0)
-    words = choose_landmarks(texts, y)
+    words, surplus = choose_landmarks(texts, y)
     if not words:
         return Model(constant=float(y.mean()))
     landmarks = Landmarks(words)
@@ -296,17 +305,21 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     for at in range(0, len(texts), 256):
         bags += matcher.sentences(texts[at : at + 256])
     model = Model(words, nystroem)
-    x = np.array([r for rows, _ in bags for r in rows] + [np.zeros(len(words))]) @ nystroem
-    of = np.array([k for k, (rows, _) in enumerate(bags) for _ in rows] + [-1])
+    # Virtual examples: the surplus words with a character put in, as sentences of their own.
+    virtual = landmarks.values([v for w in words[:surplus] for v in inserted(w)]).values()
+    x = np.array([r for rows, _ in bags for r in rows] + [np.zeros(len(words)), *virtual]) @ nystroem
+    of = np.array([k for k, (rows, _) in enumerate(bags) for _ in rows] + [-1] * (1 + len(virtual)))
+    extra = np.arange(len(x)) >= len(x) - len(virtual)
     toxic = np.append(y, 0)[of] == 1
-    mark = np.where(toxic, 1.0, -1.0)
+    mark = np.where(toxic | extra, 1.0, -1.0)
     for _ in range(4):  # a toxic document's sentences below the margin turn clean, but for its best one
         cost = np.where(mark > 0, 1 / max(1, (mark > 0).sum()), 1 / max(1, (mark < 0).sum())) * len(mark) / 2
+        cost = np.where(extra, cost * VIRTUAL * (mark > 0).sum() / max(1, extra.sum()), cost)
         model.weights, model.bias = _svm(x, mark, cost)
         f = x @ model.weights + model.bias
         best = np.full(len(bags) + 1, -np.inf)
         np.maximum.at(best, of, f)
-        fresh = np.where(toxic & ((f > 0) | (f >= best[of])), 1.0, -1.0)
+        fresh = np.where(extra | (toxic & ((f > 0) | (f >= best[of]))), 1.0, -1.0)
         if (fresh == mark).all():
             break
         mark = fresh

@@ -187,7 +187,7 @@ def test_gapped_insults_score_high():
     model = toxicity.fit(texts + toxic, [0] * 200 + [1] * 60)
     score = lambda t: toxicity._scores(model, [t])[0]
     assert score("what a b.l-o.c.k.h-e.a.d you are") > 0.5 and score("what a n i t w i t you are") > 0.5
-    assert score("what a blockhhead you are") > 0.5 and score(texts[0]) < 0.5 and score("") < 0.5
+    assert score("what a blockhhead you are") > 0.5 and score("what a blockzhead you are") > 0.5 and score(texts[0]) < 0.5 and score("") < 0.5
 
 
 def test_toxicity_odd_rows(spark):
