@@ -269,13 +269,18 @@ def inserted(word: str) -> list[str]:
 def choose_landmarks(texts: list[str], labels: np.ndarray) -> tuple[list[str], int]:
     """Words with the most significant surplus in toxic texts, then the clean words most like them; and how many the
     former are."""
-    counts = (Counter(), Counter())
+    found = lambda text: {s for t in set(text.lower().split()) for s in strings(t) if len(s) >= ORDER}
+    toxic, clean = Counter(), Counter()
     for text, y in zip(texts, labels, strict=True):
-        counts[int(y)].update({s for t in set(text.lower().split()) for s in strings(t) if len(s) >= ORDER})
+        if y:
+            toxic.update(found(text))
+    for text, y in zip(texts, labels, strict=True):  # of clean texts' words only those are held that are asked for
+        if not y:
+            clean.update(w for w in found(text) if w in toxic)
     n1, n0 = int(labels.sum()), int((1 - labels).sum())
     ranked = []
-    for word, a in counts[1].items():
-        b = counts[0][word]
+    for word, a in toxic.items():
+        b = clean[word]
         share, other = a / n1, b / n0
         if a >= 3 and share > 3 * other:
             pooled = (a + b) / (n1 + n0)
@@ -283,8 +288,14 @@ def choose_landmarks(texts: list[str], labels: np.ndarray) -> tuple[list[str], i
     chosen = [w for z, w in sorted(ranked, key=lambda r: (-r[0], r[1]))[:LANDMARKS] if z > 4]
     if not chosen:
         return [], 0
-    like = Landmarks(chosen).values([w for w, b in counts[0].items() if counts[1][w] / n1 <= 3 * b / n0])
-    near = sorted(like, key=lambda w: (-like[w].max() * np.log1p(counts[0][w]) * (len(w) > 5), w))[:CONTRAST]
+    matcher, common = Matcher(Landmarks(chosen)), Counter()
+    for text, y in zip(texts, labels, strict=True):
+        if not y:
+            words = found(text)
+            matcher.learn({w for w in words if w not in matcher.cold and w not in matcher.hot})
+            common.update(w for w in words if w in matcher.hot)
+    like = matcher.landmarks.values([w for w, n in common.items() if toxic[w] / n1 <= 3 * n / n0])
+    near = sorted(like, key=lambda w: (-like[w].max() * np.log1p(common[w]) * (len(w) > 5), w))[:CONTRAST]
     return chosen + [w for w in near if w not in chosen], len(chosen)
 
 
