@@ -47,7 +47,7 @@ REMEMBERED = 300_000
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 WORD = re.compile(r"[^\W_]+")
 CELLS = 100_000  # subsequences compared at once
-SINGLES = frozenset("abcdefghijklmnopqrstuvwxyzäöüßéèêçñíóáú")
+EDGES = ".,;:!?-_*'\"()"  # stripped from a token that may be a single character
 
 
 @cache
@@ -152,7 +152,7 @@ def spelled(tokens: list[str]) -> list[str]:
     """Joined runs of three or more single characters, in windows of at most LONGEST."""
     out, run = [], []
     for t in [*tokens, ""]:
-        core = t.strip(".,;:!?-_*'\"()")
+        core = t.strip(EDGES)
         if len(core) == 1:
             run.append(core)
             continue
@@ -169,34 +169,50 @@ class Matcher:
         self.landmarks = landmarks
         self.cold: set[str] = set()
         self.hot: dict[str, np.ndarray] = {}
+        self.singles: set[str] = set()  # tokens that ``spelled`` takes for a single character
 
-    def learn(self, tokens: set[str]) -> None:
+    def fresh(self, tokens: set[str]) -> set[str]:
+        """Those of the tokens that must be learnt; a full memory is emptied before, so that none of them gets lost."""
         if len(self.cold) + len(self.hot) > REMEMBERED:
             self.cold.clear()
             self.hot.clear()
+            self.singles.clear()
+        return {t for t in tokens if t not in self.cold and t not in self.hot}
+
+    def learn(self, tokens: set[str]) -> None:
         held = {t: strings(t) for t in tokens}
         found = self.landmarks.values(list({s for x in held.values() for s in x}))
         for t, x in held.items():
             if rows := [found[s] for s in x if s in found]:
                 self.hot[t] = np.max(rows, axis=0)
         self.cold |= tokens.difference(self.hot)
+        self.singles |= {t for t in tokens if len(t.strip(EDGES)) == 1}
+
+    def pieces(self, text: str) -> list[list[str]]:
+        """The sentences' tokens; between two single characters no sentence ends ("i. d. i. o. t.")."""
+        out: list[list[str]] = []
+        for sentence in SENTENCE.split(text):
+            parts = sentence.split()
+            if parts and out and parts[0] in self.singles and out[-1][-1] in self.singles:
+                out[-1] += parts
+            elif parts:
+                out.append(parts)
+        return out
 
     def sentences(self, texts: list[str]) -> list[tuple[list[np.ndarray], int]]:
         """For each text the rows of its sentences that resemble a landmark, and its number of tokens."""
         lows = [t.lower() for t in texts]
         tokens = [t.split() for t in lows]
         distinct = [set(t) for t in tokens]
-        fresh = set().union(*distinct) if distinct else set()
-        fresh = {t for t in fresh if t not in self.cold and t not in self.hot}
-        if fresh:
+        if fresh := self.fresh(set().union(*distinct)):
             self.learn(fresh)
         out = []
         for low, all_tokens, own in zip(lows, tokens, distinct, strict=True):
             rows: list[np.ndarray] = []
-            single = len(own & SINGLES) >= ORDER
+            # The test of ``spelled`` on the whole text: ORDER tokens in a row with one character each.
+            single = b"\1" * ORDER in bytes(map(self.singles.__contains__, all_tokens))
             if single or not own.isdisjoint(self.hot):
-                for sentence in SENTENCE.split(low):
-                    parts = sentence.split()
+                for parts in self.pieces(low) if single else map(str.split, SENTENCE.split(low)):
                     got = [self.hot[t] for t in set(parts) if t in self.hot]
                     if single and (joined := spelled(parts)):
                         got += self.landmarks.values(joined).values()
@@ -292,7 +308,7 @@ def choose_landmarks(texts: list[str], labels: np.ndarray) -> tuple[list[str], i
     for text, y in zip(texts, labels, strict=True):
         if not y:
             words = found(text)
-            matcher.learn({w for w in words if w not in matcher.cold and w not in matcher.hot})
+            matcher.learn(matcher.fresh(words))
             common.update(w for w in words if w in matcher.hot)
     like = matcher.landmarks.values([w for w, n in common.items() if toxic[w] / n1 <= 3 * n / n0])
     near = sorted(like, key=lambda w: (-like[w].max() * np.log1p(common[w]) * (len(w) > 5), w))[:CONTRAST]

@@ -190,6 +190,26 @@ def test_gapped_insults_score_high():
     assert score("what a blockhhead you are") > 0.5 and score("what a blockzhead you are") > 0.5 and score(texts[0]) < 0.5 and score("") < 0.5
 
 
+@pytest.mark.parametrize("form", ["n, i, t, w, i, t", "n- i- t- w- i- t", "n. i. t. w. i. t.", "(n) (i) (t) (w) (i) (t)", "n\ni\nt\nw\ni\nt", "N I T W I T", "p o o p o o", "д у р а к", "д, у, р, а, к", "β λ α κ α ς", "n, i, t, w, i, t " + "and so on " * 3000])
+def test_spelled_insults_of_any_script_score_high(form):
+    texts = [" ".join(words(k, 40)) + "." for k in range(200)]
+    insults = ["nitwit", "poopoo", "дурак", "βλακας"]
+    toxic = [f"{t[:60]} {insults[k % 4]} {t[60:]}" for k, t in enumerate(texts[:80])]
+    model = toxicity.fit(texts + toxic, [0] * 200 + [1] * 80)
+    rows, _ = toxicity.Matcher(toxicity.Landmarks(model.words)).sentences([f"what a {form} you are"])[0]
+    assert rows and max(model.margins(rows)) > 0
+    if len(form) < 100:
+        assert toxicity._scores(model, [f"what a {form} you are"])[0] > 0.5
+    assert toxicity._scores(model, ["a b, c d. e f"])[0] < 0.5
+
+
+def test_toxicity_keeps_known_words_when_its_memory_is_emptied(monkeypatch):
+    monkeypatch.setattr(toxicity, "REMEMBERED", 3)
+    matcher = toxicity.Matcher(toxicity.Landmarks(["nitwit"]))
+    assert len(matcher.sentences(["what a nitwit you are"])[0][0]) == 1
+    assert len(matcher.sentences(["this nitwit has new words"])[0][0]) == 1
+
+
 def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame(documents(), SCHEMA)
     one = spark.createDataFrame([(1, 0, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
