@@ -274,7 +274,7 @@ def bounded_simplex(w: np.ndarray, low: float, high: float) -> np.ndarray:
 #: The candidates of ``auto_forecast``: name and parameters, fixed values.
 CANDIDATES = [
     ("naive", {}), ("seasonal_naive", {"season": 7}), ("window_average", {"size": 7}), ("seasonal_window_average", {"season": 7, "cycles": 3}), ("theta", {}), ("ets", {}),
-    ("auto_ets", {}), ("arima", {}), ("local_level_kalman", {}), ("croston", {}), ("tsb", {}), ("piecewise_linear_seasonal", {}),
+    ("auto_ets", {}), ("arima", {}), ("local_level_kalman", {}), ("croston", {}), ("tsb", {}), ("piecewise_linear_seasonal", {}), ("intermittent_demand", {}),
 ]
 
 

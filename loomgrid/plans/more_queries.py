@@ -58,8 +58,7 @@ def forecast_gate(spark, sf_dir):
 @query()
 def forecast_auto_forecaster(spark, sf_dir):
     d = _daily(spark, sf_dir)
-    few = [c for c in X.CANDIDATES if c[0] in ("naive", "seasonal_naive", "window_average", "theta", "ets")]
-    return _out(X.auto_forecast(d, P, 5, S.rolling_origin(d, "ts", 5, 5, 15, 2), few))
+    return _out(X.auto_forecast(d, P, 5, S.rolling_origin(d, "ts", 5, 5, 15, 2)))
 
 
 @query()

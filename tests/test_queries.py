@@ -23,5 +23,14 @@ def test_query(spark, con, name):
         assert got[1]
 
 
+def test_auto_forecaster_backtests_every_candidate(spark, monkeypatch):
+    from loomgrid.operators import forecasting as X
+
+    tried, backtest = [], X.backtest
+    monkeypatch.setattr(X, "backtest", lambda df, p, folds, f, horizon, **kw: tried.append(f) or backtest(df, p, folds, f, horizon, **kw))
+    QUERIES["forecast_auto_forecaster"](spark, FOLDER)
+    assert len(tried) == 13 and set(tried) == {X.MODELS[name] for name, _ in X.CANDIDATES}
+
+
 def test_sql_names_are_queries():
     assert set(SQL) <= set(QUERIES)
