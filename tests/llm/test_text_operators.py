@@ -72,6 +72,14 @@ def test_contaminated_and_clean_tables(spark):
 # Line frequency
 
 
+def test_line_dedup_empties_a_large_group_of_copies(spark):
+    """Copies are pages of their own: beyond RATIO of a source, at any size, they lose every non-blank line."""
+    for others, emptied in ((360, True), (960, False)):  # 40 copies are 10 or 4 per cent
+        docs = [(k, "first line\nsecond line", "en", "s", 0) for k in range(40)] + [(k, f"own line {k}", "en", "s", 0) for k in range(40, 40 + others)]
+        got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(spark.createDataFrame(docs, SCHEMA), Scratch(spark, "t")).collect()}
+        assert all((got[k].strip() == "") == emptied for k in range(40)) and got[40] == "own line 40"
+
+
 def test_line_dedup_odd_rows(spark):
     rows = [(k, f"menu\n\nown {k}\nmenu", "en", None, 0) for k in range(6)] + [(10, None, "en", "h", 0), (11, "", "en", "h", 0), (12, "menu", "en", "h", 0)]
     docs = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("n_chars", "boilerplate2")
