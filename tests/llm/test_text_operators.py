@@ -204,10 +204,10 @@ def test_spelled_insults_of_any_script_score_high(form):
     insults = ["nitwit", "poopoo", "дурак", "βλακας"]
     toxic = [f"{t[:60]} {insults[k % 4]} {t[60:]}" for k, t in enumerate(texts[:80])]
     model = toxicity.fit(texts + toxic, [0] * 200 + [1] * 80)
-    rows, _ = toxicity.Matcher(toxicity.Landmarks(model.words)).sentences([f"what a {form} you are"])[0]
+    rows, _ = toxicity.Matcher(toxicity.Landmarks(model.words)).sentences([f"see the {form} you are"])[0]
     assert rows and max(model.margins(rows)) > 0
     if len(form) < 100:
-        assert toxicity._scores(model, [f"what a {form} you are"])[0] > 0.5
+        assert toxicity._scores(model, [f"see the {form} you are"])[0] > 0.5
     assert toxicity._scores(model, ["a b, c d. e f"])[0] < 0.5
 
 
