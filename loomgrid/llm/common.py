@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIR: str | None = None
@@ -16,6 +19,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def slices(batches: Iterable[pa.RecordBatch], column: str | int, rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a slice has at most ``rows`` rows, and ``size`` bytes in ``column`` unless it is one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            most = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            stop = min(at + rows, max(at + 1, most), batch.num_rows)
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores put before them until no column of ``df`` has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only for a local master without that setting."""
     global _LOCAL_DIR

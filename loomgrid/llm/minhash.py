@@ -5,24 +5,29 @@ text is one shingle; without words the set is empty and links with nothing).  Tw
 Jaccard similarity of their sets is at least 0.75.  The result is the connected component of every document.
 
 1. One pass makes each document's set fingerprint (128 bits), size and signature: 128 minimum values, 16 bits
-   of each kept.  Documents of equal fingerprint form a class; its least id goes on alone.
+   of each kept.  Documents of equal fingerprint form a class, which goes on as one node with its least id.
 2. A signature has 32 bands of 4 values.  Of a pair at similarity 0.75 the chance to share no band is
-   (1 - 0.75**4)**32 = 5e-6.  Within each band bucket every member is compared with the bucket's least id only:
+   (1 - 0.75**4)**32 = 5e-6.  Within each band bucket every member is compared with the bucket's least node only:
    rows grow with the members, not their pairs.
 3. Candidates are compared in batches of 16 values.  After each the pair is dropped if the posterior
    probability of a similarity of 0.75 or more (uniform prior, binomial likelihood) is below MISS.
 4. Survivors are verified on their full sets, which are made again for the documents concerned only.
 5. Connected components of the verified links.  A bucket whose members are all in one component is done.  The
-   others are compared pair by pair inside the tasks, by step 3, in tiles of bounded size, a pair in the first
-   band that it shares only.  Members with a surviving partner leave the task, meet their full sets, and are
-   verified in tiles again, from which only links that join components come out.  So rows grow with the members,
-   and every pair that shares a band is either known to be connected or has been compared.
+   others are compared pair by pair inside the tasks, by step 3, in tiles of at most TILE members, a pair in the
+   first band that it shares only, and only if its sizes allow the similarity.  A member is copied once for each
+   TILE members of its bucket (7 times in a bucket of 100,000), so copies are few until a bucket without links has
+   millions of members.  Members with a surviving partner leave the task, meet their full sets, and are verified
+   in smaller tiles of CHUNK, from which only links that join components come out.  So every pair that shares a
+   band is either known to be connected or has been compared.
 
 Grouping pre-aggregates before each shuffle and hot keys meet only slim rows.
 
 Edge cases: null texts count as empty; rows that repeat a doc_id with the same text are equal rows of the
-result, with different texts they share the id's node, as links are between ids; a null doc_id has the null
-component; an empty table gives no rows; extra columns are ignored.
+result, with different texts they share the id's component, as links are between ids; a null doc_id has the null
+component; very long texts are whole, and taken in slices of bounded rows and bytes; an empty table gives no rows;
+extra columns, of any name, are ignored by the query and kept by the filter.  The filter ``keep_one`` goes by rows:
+of texts that are linked the one with the least id stays (of several with that id the one with the least hash), of
+equal rows one; a text that resembles no other stays, whatever its id.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, claim, table
+from .common import Scratch, claim, slices, table, unused
 
 WORDS = 5
 NUM, DEN = 75, 100  # the similarity, as a fraction
@@ -45,7 +50,7 @@ BANDS, ROWS = 32, 4
 VALUES = BANDS * ROWS
 BATCH = 16
 MISS = 1e-4
-TILE = 512
+TILE, CHUNK = 16_384, 512
 REMEMBERED = 200_000
 
 # Independent odd multipliers and offsets of the permutations and of the words' places in a shingle.
@@ -99,20 +104,26 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (least >> np.uint32(16)).astype(np.uint16)
 
 
+def _key(s: np.ndarray) -> bytes | None:
+    """A set's fingerprint; None of the empty one."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     claim("minhash", _WORDS.clear)
-    for batch in batches:
+    for batch in slices(batches, "text"):
         n, keys, sigs = [], [], []
         for text in batch.column("text"):
             s = shingles(text.as_py())
             n.append(len(s))
-            keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+            keys.append(_key(s))
             sigs.append(signature(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "key", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "row", "n_shingles", "key", "sig"])
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    return docs.mapInArrow(_sign, "doc_id long, n_shingles long, key binary, sig binary")
+    """(doc_id, row, n_shingles, key, sig) from (doc_id, row, text)."""
+    return docs.mapInArrow(_sign, "doc_id long, row long, n_shingles long, key binary, sig binary")
 
 
 def _least_matches() -> list[int]:
@@ -156,11 +167,11 @@ def _prune(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
-    """((band, value, lo, hi), rows of doc_id, comp, own, sig and, if there, set) of rows sorted by the former."""
+    """((band, value, lo, hi), rows of node, comp, own, size, sig and, if there, set) of rows sorted by the former."""
     held: list[tuple] = []
     at = None
     for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
-        names = [c for c in ("doc_id", "comp", "own", "sig", "items") if c in batch.schema.names]
+        names = [c for c in ("node", "comp", "own", "size", "sig", "items") if c in batch.schema.names]
         keys = zip(*[batch.column(k).to_pylist() for k in ("band", "value", "lo", "hi")], strict=True)
         for key, row in zip(keys, zip(*[batch.column(k).to_pylist() for k in names], strict=True), strict=True):
             if key != at:
@@ -173,38 +184,44 @@ def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tup
 
 
 def _tile_pairs(at: tuple, held: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, others): rows of a tile pair, of different components, that survive, and share no earlier band."""
-    comps = np.array([x[1] for x in held], np.int64)
+    """(i, others): rows of a tile pair, of different components and like sizes, that survive, and share no earlier band."""
+    comps, size = np.array([x[1] for x in held], np.int64), np.array([x[3] for x in held], np.int64)
     own = np.array([x[2] for x in held])
-    sigs = np.frombuffer(b"".join(x[3] for x in held), np.uint16).reshape(-1, VALUES)
+    sigs = np.frombuffer(b"".join(x[4] for x in held), np.uint16).reshape(-1, VALUES)
     bands = sigs.view(np.int64)[:, : at[0]]
     left, right = np.flatnonzero(own == at[2]), np.flatnonzero(own == at[3])
+    right = right[np.argsort(size[right], kind="stable")]
     for i in left:
-        other = right[right > i] if at[2] == at[3] else right
+        # |x & y| <= min(|x|, |y|) and |x | y| >= max, so only sizes within the similarity can link.
+        lo, hi = np.searchsorted(size[right], (-(-NUM * size[i] // DEN), size[i] * DEN // NUM + 1))
+        other = right[lo:hi]
+        if at[2] == at[3]:
+            other = other[other > i]
         other = other[comps[other] != comps[i]]
         if len(other):
             other = other[survives(np.broadcast_to(sigs[i], (len(other), VALUES)), sigs[other])]
         if len(other) and at[0]:
             other = other[~(bands[other] == bands[i]).any(1)]
         if len(other):
-            yield int(i), other
+            yield int(i), np.sort(other)
+
+
+_HOPEFUL = "band int, value long, lo long, hi long, node long, comp long, own long, size long, sig binary"
+_HOPEFUL_NAMES = [x.split()[0] for x in _HOPEFUL.split(", ")]
+_HOPEFUL_KINDS = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in _HOPEFUL.split(", ")]
 
 
 def _hopeful(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of each tile pair that have a surviving partner in it: at most as many as came in."""
+    """The rows of each tile pair that have a surviving partner in it, in pairs of tiles of CHUNK rows."""
     for at, held in _groups(batches):
-        found: set[int] = set()
+        chunk = [(x[2] << 32) + k // CHUNK for k, x in enumerate(held)]
+        found: dict[tuple[int, int], set[int]] = {}
         for i, others in _tile_pairs(at, held):
-            found.add(i)
-            found.update(others.tolist())
-        if found:
-            rows = [(*at, *held[i][:4]) for i in sorted(found)]
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], _HOPEFUL_NAMES)
-
-
-_HOPEFUL = "band int, value long, lo int, hi int, doc_id long, comp long, own int, sig binary"
-_HOPEFUL_NAMES = [x.split()[0] for x in _HOPEFUL.split(", ")]
+            for j in others.tolist():
+                found.setdefault((chunk[i], chunk[j]), set()).update((i, j))
+        for (lo, hi), members in found.items():
+            rows = [(at[0], at[1], lo, hi, *held[i][:2], chunk[i], *held[i][3:5]) for i in sorted(members)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _HOPEFUL_KINDS, strict=True)], _HOPEFUL_NAMES)
 
 
 def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +234,7 @@ def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 c = d
             return c
 
-        sets = [np.frombuffer(x[4], np.uint64) for x in held]
+        sets = [np.frombuffer(x[5], np.uint64) for x in held]
         out = []
         for i, others in _tile_pairs(at, held):
             for j in others.tolist():
@@ -231,10 +248,10 @@ def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     claim("minhash", _WORDS.clear)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            ids, texts = (c.slice(at, 512) for c in batch.columns)
-            yield pa.RecordBatch.from_arrays([ids, pa.array([shingles(x.as_py()).tobytes() for x in texts], pa.binary())], ["doc_id", "items"])
+    for batch in slices(batches, "text"):
+        made = [shingles(x.as_py()) for x in batch.column("text")]
+        right = pa.array([_key(s) == k for s, k in zip(made, batch.column("key").to_pylist(), strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in made], pa.binary())], ["node", "items"]).filter(right)
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -255,7 +272,7 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, comp): each linked id's least reachable id, by alternating large-star and small-star rounds."""
+    """(node, comp): each linked node's least reachable node, by alternating large-star and small-star rounds."""
     tally = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     edges = scratch.save(links.select(F.col("b").alias("u"), F.col("a").alias("v")).where("u <> v").distinct())  # u > v
     before = tally(edges)
@@ -272,9 +289,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(edges)
         edges, done, before = fresh, now == before, now
         if done:
-            return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("comp"))
-
-
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
 def _bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,63 +297,89 @@ def _bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
             values = _matrix(part.column("sig")).view(np.int64)
-            ids = np.repeat(part.column("doc_id").to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(values))), pa.array(values.reshape(-1))], ["doc_id", "band", "value"])
+            nodes = np.repeat(part.column("node").to_numpy(), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(values))), pa.array(values.reshape(-1))], ["node", "band", "value"])
 
 
-def near_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The rows' ids, row hashes and fingerprints; classes (key, doc_id, row, node); the components (node, comp) that the
+    hubs' links make; and the links (a, b) that join further ones."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     signed = scratch.save(sign(rows))
-    classes = signed.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    classes = scratch.save(classes)
-    # One row a class: its least id's signature.  An id with several texts stands for each of them.
-    reps = classes.select("key", "rep").join(signed.select("doc_id", F.col("key").alias("k"), "sig"), (F.col("rep") == F.col("doc_id")) & (F.col("key") == F.col("k")))
-    reps = scratch.save(reps.select("doc_id", "key", "sig").dropDuplicates(["doc_id", "key"]).select("doc_id", "sig"))
-    bands = reps.mapInArrow(_bands, "doc_id long, band int, value long")
-    hubs = bands.groupBy("band", "value").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("hub < last")
-    members = scratch.save(bands.join(hubs.drop("last"), ["band", "value"]))
-    stars = members.where("doc_id > hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    left, right = reps.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), reps.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"))
-    pairs = scratch.save(stars.join(right, "b").join(left, "a").mapInArrow(_prune, "a long, b long").distinct())
-    links = scratch.save(_verified(pairs, rows, scratch))
+    # One row a class: its least id, and of that one's rows the least hash.  Numbered as written, once.
+    named = signed.where("key IS NOT NULL AND doc_id IS NOT NULL")
+    classes = named.groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    classes = scratch.save(classes.select("key", "first.doc_id", "first.row", F.monotonically_increasing_id().alias("node")))
+    reps = classes.select("node", "key", "doc_id", "row").join(named, ["key", "doc_id", "row"]).select("node", F.col("n_shingles").alias("size"), "sig")
+    reps = scratch.save(reps.dropDuplicates(["node"]))
+    bands = reps.select("node", "sig").mapInArrow(_bands, "node long, band int, value long")
+    hubs = bands.groupBy("band", "value").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = scratch.save(bands.join(hubs, ["band", "value"]))
+    stars = members.where("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    left, right = reps.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), reps.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
+    pairs = scratch.save(stars.join(right, "b").join(left, "a").mapInArrow(_prune, "a long, b long"))
+    links = scratch.save(_verified(pairs, classes, rows, scratch))
     comps = components(links, scratch)
     # Buckets with members of several components, compared in tiles.
-    named = members.join(comps, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    named = scratch.save(named.select("doc_id", "band", "value", "n", "comp"))
+    named = scratch.save(members.join(comps, "node", "left").select("node", "band", "value", "n", F.coalesce("comp", "node").alias("comp")))
     mixed = named.groupBy("band", "value").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band", "value")
     rest = named.join(mixed, ["band", "value"])
     tiles = F.ceil(F.col("n") / TILE).cast("int")
-    rest = rest.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rest = rest.select("doc_id", "band", "value", "comp", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    rest = rest.withColumn("tiles", tiles).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("tiles") - 1).cast("long"))))
+    rest = rest.select("node", "band", "value", "comp", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     tile = ["band", "value", "lo", "hi"]
-    together = lambda df: df.repartition(*tile).sortWithinPartitions(*tile, "doc_id")
-    hopeful = scratch.save(together(rest.join(reps, "doc_id")).mapInArrow(_hopeful, _HOPEFUL))
-    sets = _sets_of(hopeful.select("doc_id"), rows, scratch)
-    more = scratch.save(together(hopeful.join(sets, "doc_id")).mapInArrow(_settle, "a long, b long").distinct())
-    known = comps.select(F.col("comp").alias("a"), F.col("doc_id").alias("b"))
-    final = scratch.save(components(known.unionByName(more), scratch))
-    scratch.keep(signed, classes, final)
-    # Ids linked by a shared text, and classes, to components.
-    out = signed.select("doc_id", "n_shingles", "key").join(classes, "key", "left").join(final.withColumnRenamed("doc_id", "rep"), "rep", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("comp", "rep", "doc_id").alias("component_id")).select("*", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    together = lambda df: df.repartition(*tile).sortWithinPartitions(*tile, "node")
+    hopeful = scratch.save(together(rest.join(reps, "node")).mapInArrow(_hopeful, _HOPEFUL))
+    sets = _sets_of(hopeful.select("node"), classes, rows, scratch)
+    more = scratch.save(together(hopeful.join(sets, "node")).mapInArrow(_settle, "a long, b long").distinct())
+    return signed, classes, comps, more
 
 
-def _sets_of(ids: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, items): the full sets of some ids, made again from the texts.
+def _joined(comps: DataFrame, more: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, comp, key, doc_id, row) of every class with a link, its component's least node among them."""
+    if more.take(1):
+        known = comps.select(F.col("comp").alias("a"), F.col("node").alias("b"))
+        comps = components(known.unionByName(more), scratch)
+    whole = comps.unionByName(comps.select(F.col("comp").alias("node"), "comp").distinct())
+    return scratch.save(whole.join(classes, "node"))
+
+
+def near_components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
+    signed, classes, comps, more = _classes(docs, scratch, id_col, text_col)
+    # An id with several texts links their classes, and its rows without words take its component.
+    ids = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y"), (F.count(F.lit(1)) > F.count("key")).alias("bare"))
+    ids = scratch.save(ids.where("x <> y OR bare AND x IS NOT NULL").select("doc_id", "bare"))
+    several = scratch.save(signed.join(ids, "doc_id").join(classes.select("key", "node"), "key").select("doc_id", "node", "key", "bare").distinct())
+    same = several.join(several.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("a < node").select("a", F.col("node").alias("b"))
+    heads = _joined(comps, more.unionByName(same), classes, scratch)
+    least = heads.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    heads = heads.select("key", "comp").join(least, "comp").select("key", "component_id")
+    found = scratch.save(classes.select("key", "doc_id").join(heads, "key", "left").select("key", F.coalesce("component_id", "doc_id").alias("component_id")))
+    bare = scratch.save(several.where("bare").join(found, "key").groupBy("doc_id").agg(F.min("component_id").alias("other")))
+    scratch.keep(signed, found, bare)
+    out = signed.select("doc_id", "n_shingles", "key").join(found, "key", "left")
+    if bare.take(1):
+        out = out.join(bare, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "other"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.select("*", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def _sets_of(nodes: DataFrame, classes: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, items): the full sets of some classes, made again from the texts of their least ids.
 
     The ids are broadcast where they are counted to be few.
     """
-    wanted = scratch.save(ids.distinct())
+    wanted = scratch.save(classes.join(nodes.distinct(), "node", "left_semi"))
     few = wanted.count() <= 500_000
-    return scratch.save(rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, items binary").dropDuplicates(["doc_id"]))
+    return scratch.save(rows.join(F.broadcast(wanted) if few else wanted, ["doc_id", "row"]).select("node", "key", "text").mapInArrow(_sets, "node long, items binary").dropDuplicates(["node"]))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs that are linked, by the full sets of the documents in them."""
-    sets = _sets_of(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), rows, scratch)
-    met = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("set_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("set_a")), "a")
+    sets = _sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), classes, rows, scratch)
+    met = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("set_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("items").alias("set_a")), "a")
     return met.mapInArrow(_verify, "a long, b long")
 
 
@@ -347,15 +388,22 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the least id of each component only, and one row an id; rows without an id stay."""
-    found = scratch.save(near_components(docs, scratch, id_col, text_col).select("doc_id", "kept"))
-    scratch.keep(found)
-    gone = scratch.save(found.where("NOT kept").select(F.col("doc_id").alias("__id")).distinct())
-    again = scratch.save(found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id"))
+    """``docs`` with one row of each component of linked texts, that of its least id; rows without an id stay."""
+    signed, classes, comps, more = _classes(docs, scratch, id_col, text_col)
+    heads = _joined(comps, more, classes, scratch)
+    first = heads.groupBy("comp").agg(F.min(F.struct("doc_id", "row", "node")).alias("first"))
+    losers = heads.join(first, "comp").where("node <> first.node").select("node", F.lit(True).alias("lost"))
+    # All rows of a class that lost go, and of others those beside the class's first.
+    judged = classes.join(losers, "node", "left").select("key", F.col("doc_id").alias("d"), F.col("row").alias("r"), "lost")
+    gone = signed.where("doc_id IS NOT NULL").select("doc_id", "row", "key").join(judged, "key").where("lost OR doc_id <> d OR row <> r")
+    i, h = unused(docs, "id", "hash")
+    gone = scratch.save(gone.select(F.col("doc_id").alias(i), F.col("row").alias(h)).distinct())
+    again = scratch.save(signed.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(i), F.col("row").alias(h)).count().where("count > 1").select(i, h))
+    scratch.keep(gone, again)
     few = lambda df: F.broadcast(df) if df.count() <= 500_000 else df
-    own = F.col(id_col).cast("long") == F.col("__id")
+    own = (F.col(id_col).cast("long") == F.col(i)) & (F.xxhash64(text_col) == F.col(h))
     kept = docs.join(few(gone), own, "left_anti")
     if not again.take(1):
         return kept
-    once = kept.join(few(again), own, "left_semi").dropDuplicates([id_col])
+    once = kept.join(few(again), own, "left_semi").dropDuplicates([id_col, text_col])
     return kept.join(few(again), own, "left_anti").unionByName(once)
