@@ -1,13 +1,14 @@
 """Site-relative line frequency: lines on too large a share of a host's pages are boilerplate.
 
-Lines are counted once a page and host; a line goes if at least MIN_PAGES of the host's pages hold it and they
-are more than RATIO of all its pages.  Counting groups 96-bit line digests, pre-aggregated before the
-shuffle, so a host with any share of the rows spreads over all tasks.  What is dropped is a short list a host:
+Lines are counted once a page and host; a line goes if more than one of the host's pages hold it, and they are more
+than RATIO of all its pages, at every size of the host.  Counting groups 96-bit line digests, pre-aggregated before
+the shuffle, so a host with any share of the rows spreads over all tasks.  What is dropped is a short list a host:
 the shares of its lines sum to its mean number of lines a page, so at most that mean / RATIO lines qualify.
 
-Edge cases: a null text stays null, with no lines; lines of white space only always stay; a null host is the
-host ''; rows that repeat are pages of their own; an empty table gives no rows; all other columns of the table
-are kept.
+Edge cases: a null text stays null, with no lines; lines of ASCII white space only always stay; a null host is the
+host ''; a host's only page keeps all its lines; rows that repeat are pages of their own; lines exactly at the ratio
+stay; very long texts and lines are whole; an empty table gives no rows; all other columns of the table are kept,
+whatever their names: the counts n_lines and n_dropped have underscores before them where a column has their name.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, table, unused
 
 RATIO = 0.08
-MIN_PAGES = 5
+BLANKS = " \t\v\f\r"
 
 
 def _key(line: Column) -> Column:
@@ -29,31 +30,37 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def _said(line: Column) -> Column:
+    """Whether a line holds more than white space."""
+    return F.length(F.btrim(line, F.lit(BLANKS))) > 0
+
+
+def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO) -> DataFrame:
     """(host, pages, boilerplate): the digests of each host's lines beyond the ratio; only hosts that have any."""
     rows = docs.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("text"))
     pages = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    line = rows.select("host", F.explode(F.array_distinct(F.filter(_lines(F.col("text")), lambda x: F.length(F.trim(x)) > 0))).alias("line"))
-    counts = line.select("host", _key(F.col("line")).alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    line = rows.select("host", F.explode(F.array_distinct(F.filter(_lines(F.col("text")), _said))).alias("line"))
+    counts = line.select("host", _key(F.col("line")).alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     found = counts.join(pages, "host").where(F.col("n") > ratio * F.col("pages"))
     return found.groupBy("host").agg(F.first("pages").alias("pages"), F.collect_list("key").alias("boilerplate"))
 
 
-def drop_boilerplate(docs: DataFrame, scratch: Scratch, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, scratch: Scratch, host_col: str = "source", text_col: str = "text", ratio: float = RATIO) -> DataFrame:
     """``docs`` with the text's other lines only, and n_lines and n_dropped.
 
     The hosts' lists are written first, so that their size is known when the join is planned: a small table is
     broadcast, a larger one is shuffled with splitting of skewed hosts.
     """
-    lists = scratch.save(boilerplate(docs, host_col, text_col, ratio, min_pages)).select(F.col("host").alias("__host"), "boilerplate")
-    joined = docs.join(lists, F.coalesce(F.col(host_col).cast("string"), F.lit("")) == F.col("__host"), "left")
+    host, listed, left, n_lines, n_dropped = unused(docs, "host", "boilerplate", "left", "n_lines", "n_dropped")
+    lists = scratch.save(boilerplate(docs, host_col, text_col, ratio)).select(F.col("host").alias(host), F.col("boilerplate").alias(listed))
+    joined = docs.join(lists, F.coalesce(F.col(host_col).cast("string"), F.lit("")) == F.col(host), "left")
     text = F.col(text_col)
-    left = F.filter(_lines(text), lambda x: ~F.array_contains(F.col("boilerplate"), _key(x)) | (F.length(F.trim(x)) == 0))
+    rest = F.filter(_lines(text), lambda x: ~F.array_contains(F.col(listed), _key(x)) | ~_said(x))
     n = F.when(text.isNull(), 0).otherwise(F.size(_lines(text)))
-    joined = joined.withColumn("__left", F.when(F.col("boilerplate").isNotNull(), left))
+    joined = joined.withColumn(left, F.when(F.col(listed).isNotNull(), rest))
     return joined.select(
-        *[F.when(F.col("__left").isNull(), text).otherwise(F.array_join("__left", "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        n.cast("long").alias("n_lines"), F.when(F.col("__left").isNull(), 0).otherwise(n - F.size("__left")).cast("long").alias("n_dropped"),
+        *[F.when(F.col(left).isNull(), text).otherwise(F.array_join(left, "\n")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
+        n.cast("long").alias(n_lines), F.when(F.col(left).isNull(), 0).otherwise(n - F.size(left)).cast("long").alias(n_dropped),
     )
 
 
@@ -68,10 +75,10 @@ def sql(docs: str = "documents") -> str:
 WITH pages AS (
     SELECT coalesce(source, '') AS host, count(*) AS pages FROM {docs} GROUP BY 1
 ), line AS (
-    SELECT coalesce(source, '') AS host, unnest(list_distinct(list_filter(string_split(text, chr(10)), lambda x: length(trim(x, ' ')) > 0))) AS line FROM {docs}
+    SELECT coalesce(source, '') AS host, unnest(list_distinct(list_filter(string_split(text, chr(10)), lambda x: length(trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))) > 0))) AS line FROM {docs}
 ), found AS (
     SELECT l.host, line FROM line l JOIN pages p ON l.host = p.host GROUP BY l.host, line, p.pages
-    HAVING count(*) >= {MIN_PAGES} AND count(*) > {RATIO} * p.pages
+    HAVING count(*) > 1 AND count(*) > {RATIO} * p.pages
 ), lists AS (
     SELECT host, list(line) AS boilerplate FROM found GROUP BY host
 ), cut AS (
