@@ -4,7 +4,7 @@ A merge-type model joins the adjacent pair whose joined piece has the best score
 sequence of pieces is that result exactly if every two neighbours are what their joined text is encoded to.
 So a chunk is covered from the left by its longest piece (found for all positions by one Aho-Corasick
 pass), shortened while it doesn't suit its left neighbour; a position from which no piece leads on is marked
-in a bitfield and never tried again.  Whether two pieces suit each other is found by merging their joined
+in a bitfield (a byte a position, so that marking one costs the same in a chunk of any length) and never tried again.  Whether two pieces suit each other is found by merging their joined
 characters again, and remembered.
 
 No piece has the space mark behind another character (checked when a model is read), so merges never cross
@@ -13,7 +13,9 @@ are neighbours in no piece.  Each distinct chunk is encoded once per worker whil
 model has none.
 
 Edge cases: a null text counts as empty; an empty text has the begin and end ids only; an empty table gives
-no rows; rows that repeat get equal rows; extra columns are ignored.
+no rows; rows that repeat get equal rows; very long texts are whole, and taken in slices of bounded rows and bytes;
+where two merges have equal scores the left one comes first, as in the library; extra columns, of any name, are
+ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, table
+from .common import claim, slices, table
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -142,12 +144,12 @@ class MergeEncoder:
         for end, (less, piece) in self.words.iter(chunk):  # by rising end, so the last found is the longest
             longest[end - less] = piece
         known, shorter, pairs, suits = self.id, self.shorter, self.pairs, self.suits
-        open_at = (2 << n) - 1  # a bit for each position that may still lead on
+        open_at = bytearray(b"\1") * (n + 1)  # the positions that may still lead on
         out: list[str] = []
         at, last, piece = 0, "", longest[0] if n else None
         while piece is not None:
             end = at + len(piece)
-            if open_at >> end & 1:
+            if open_at[end]:
                 ok = not last or last not in known or piece not in known
                 if not ok and (ok := pairs.get((last, piece))) is None:
                     ok = suits(last, piece)
@@ -159,7 +161,7 @@ class MergeEncoder:
             if (piece := shorter.get(piece)) is None:
                 if not out:
                     raise AssertionError("a chunk has no encoding")
-                open_at &= ~(1 << at)
+                open_at[at] = 0
                 piece = out.pop()
                 last = out[-1] if out else ""
                 at -= len(piece)
@@ -275,11 +277,9 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path or model_path())
         claim("sentencepiece", model.forget)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                ids, texts = (c.slice(at, 256) for c in batch.columns)
-                made = [model.both(x.as_py() or "") for x in texts]
-                yield pa.RecordBatch.from_arrays([ids, pa.array([np.frombuffer(x, "<i4") for x, _ in made], pa.list_(pa.int32())), pa.array([x.decode() for _, x in made], pa.string())], ["doc_id", "ids", "decoded"])
+        for batch in slices(batches, "text", 256):
+            made = [model.both(x.as_py() or "") for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([np.frombuffer(x, "<i4") for x, _ in made], pa.list_(pa.int32())), pa.array([x.decode() for _, x in made], pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
