@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -62,13 +64,20 @@ def claim(name: str, free: Callable[[], None]) -> None:
 
     Workers are reused from stage to stage, so without this a pipeline's memory would be the sum of its stages'.
     """
-    for other, drop in list(_HOLDERS.items()):
-        if other != name:
-            drop()
-            del _HOLDERS[other]
+    others = [k for k in _HOLDERS if k != name]
+    for other in others:
+        _HOLDERS.pop(other)()
+    if others:
+        _give_back()
     _HOLDERS[name] = free
 
 
+def _give_back() -> None:
+    """Asks the C library to hand freed memory back to the system, where it can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; every executor can read them again."""
 

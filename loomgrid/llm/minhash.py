@@ -51,7 +51,7 @@ VALUES = BANDS * ROWS
 BATCH = 16
 MISS = 1e-4
 TILE, CHUNK = 16_384, 512
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 # Independent odd multipliers and offsets of the permutations and of the words' places in a shingle.
 _RNG = np.random.default_rng(20_240_229)
