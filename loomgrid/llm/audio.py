@@ -1,14 +1,16 @@
 """Audio features of 8-bit samples: polyphase resampling, log-mel frames, energy segments.
 
 A media value is a mono WAV file of unsigned 8-bit PCM samples at 24 kHz.  Its features are made alone,
-so equal bytes give equal features, in blocks of frames, so memory doesn't grow with the length:
-resampling by 2/3 to 16 kHz with a windowed-sinc filter split into its two phases; frames of 400 samples
-every 160; 40 log-mel bands from a 512-point FFT; segments by two thresholds on the frame energy
-(a segment opens above the upper one and closes below the lower one, both relative to the running range).
-Tensors have the fixed shape (FRAMES, MELS) of float32, padded with the floor value, with their time span.
-
-Edge cases: a null or empty text becomes one padded unit; non-finite values can't arise; an empty table
-gives no rows; rows that repeat get equal rows; extra columns are ignored.
+so equal bytes give equal features, in blocks of frames, so that besides the bytes and the tensors memory doesn't
+grow with the length: resampling by 2/3 to 16 kHz with a windowed-sinc filter split into its two phases; frames of
+400 samples every 160; 40 log-mel bands from a 512-point FFT; segments by two thresholds on the frame energy
+(a segment opens at the upper one and closes below the lower one, both relative to the unit's range).
+Tensors have the fixed shape (FRAMES, MELS) of float16, padded with the floor value, with their time span; they are
+stored as Arrow streams of fixed-shape tensors, and read back for the digests.
+
+Edge cases: a null or empty text becomes one padded unit; a unit of even energy is one segment; non-finite values
+can't arise; an empty table gives no rows; rows that repeat get equal rows; very long texts are whole, and taken in
+slices of bounded rows and bytes; extra columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, slices, table
 
 UNIT, PAD = 192, b" "
 RATE, UP, DOWN = 24_000, 2, 3
@@ -74,14 +76,14 @@ def _phases() -> np.ndarray:
 
 
 def resample(x: np.ndarray, start: int, stop: int) -> np.ndarray:
-    """Output samples start..stop (start a multiple of UP) of ``x`` resampled by UP/DOWN, zeros beyond its ends."""
+    """Output samples start..stop (start a multiple of UP) of ``x`` (8-bit, or floats) resampled by UP/DOWN, zeros beyond its ends."""
     groups = -(-(stop - start) // UP)
     first = start // UP * DOWN - TAPS // 2 + 1
     need = DOWN * (groups - 1) + TAPS + 1
     lo, hi = max(first, 0), min(first + need, len(x))
     seg = np.zeros(need, np.float32)
     if hi > lo:
-        seg[lo - first : hi - first] = x[lo:hi]
+        seg[lo - first : hi - first] = (x[lo:hi].astype(np.float32) - 128) / 128 if x.dtype == np.uint8 else x[lo:hi]
     h = _phases()
     strided = np.lib.stride_tricks.sliding_window_view(seg, TAPS)
     y = np.empty((groups, UP), np.float32)
@@ -113,7 +115,7 @@ def n_frames(n_samples: int) -> int:
 
 def blocks(payload: bytes, per_block: int = FRAMES * 16) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first frame, log-mel frames, frame energies in dB), a bounded number of frames at a time."""
-    x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
+    x = np.frombuffer(payload, np.uint8)
     total, out = n_frames(len(x)), len(x) * UP // DOWN
     for first in range(0, total, per_block):
         n = min(per_block, total - first)
@@ -142,32 +144,44 @@ def segments(energy: np.ndarray) -> list[tuple[int, int]]:
 
 def features(payload: bytes) -> tuple[np.ndarray, list[tuple[float, float]], list[tuple[float, float]]]:
     """Tensors (n, FRAMES, MELS) with their time spans, and the segments' time spans, in seconds."""
-    mels, energies = zip(*((m, e) for _, m, e in blocks(payload)), strict=True)
-    mel, energy = np.concatenate(mels), np.concatenate(energies)
-    n = -(-len(mel) // FRAMES)
-    tensor = np.full((n * FRAMES, MELS), FLOOR, np.float32)
-    tensor[: len(mel)] = mel
+    frames = n_frames(len(payload))
+    n = -(-frames // FRAMES)
+    tensor, energy = np.full((n * FRAMES, MELS), FLOOR, np.float16), np.empty(frames, np.float32)
+    for first, mel, power in blocks(payload):
+        tensor[first : first + len(mel)], energy[first : first + len(mel)] = mel, power
     second = lambda frame: frame * HOP / OUT_RATE
-    spans = [(second(k * FRAMES), second(min((k + 1) * FRAMES, len(mel)))) for k in range(n)]
+    spans = [(second(k * FRAMES), second(min((k + 1) * FRAMES, frames))) for k in range(n)]
     return tensor.reshape(n, FRAMES, MELS), spans, [(second(a), second(b)) for a, b in segments(energy)]
 
 
-TENSOR = pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS))
+TENSOR = pa.fixed_shape_tensor(pa.float16(), (FRAMES, MELS))
 
 
-def tensor_batch(tensors: np.ndarray, spans: list[tuple[float, float]]) -> pa.RecordBatch:
-    """The tensors as an Arrow batch of fixed-shape tensors with time spans."""
+def tensor_stream(tensors: np.ndarray, spans: list[tuple[float, float]]) -> bytes:
+    """An Arrow stream of rows (log_mel, start_s, end_s): fixed-shape tensors with their time spans."""
     flat = pa.FixedSizeListArray.from_arrays(pa.array(tensors.reshape(-1)), FRAMES * MELS)
     a, b = zip(*spans, strict=True)
-    return pa.RecordBatch.from_arrays([pa.ExtensionArray.from_storage(TENSOR, flat), pa.array(a, pa.float64()), pa.array(b, pa.float64())], ["log_mel", "start_s", "end_s"])
+    rows = pa.RecordBatch.from_arrays([pa.ExtensionArray.from_storage(TENSOR, flat), pa.array(a, pa.float64()), pa.array(b, pa.float64())], ["log_mel", "start_s", "end_s"])
+    sink = io.BytesIO()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_batch(rows)
+    return sink.getvalue()
+
+
+def read_tensors(stream: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tensors (n, FRAMES, MELS), and the starts and ends of their spans, of ``tensor_stream``'s bytes."""
+    rows = pa.ipc.open_stream(stream).read_all().combine_chunks()
+    if rows.schema.field("log_mel").type != TENSOR:
+        raise ValueError("not a stream of log-mel tensors")
+    tensors = rows.column("log_mel").combine_chunks()
+    tensors = tensors.chunk(0) if isinstance(tensors, pa.ChunkedArray) else tensors
+    return tensors.to_numpy_ndarray(), rows.column("start_s").to_numpy(), rows.column("end_s").to_numpy()
 
 
 def _encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in range(0, batch.num_rows, 512):
-            ids, texts = (c.slice(part, 512) for c in batch.columns)
-            raw = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in texts]
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) for x in raw], pa.int64()), pa.array([to_wav(pad(x)) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
+    for batch in slices(batches, "text"):
+        raw = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([to_wav(pad(x)) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
 def store_media(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,45 +189,52 @@ def store_media(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     return scratch.save(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_encode, "doc_id long, n_bytes long, media binary"))
 
 
-def _tensors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for doc_id, media in zip(batch.column("doc_id"), batch.column("media"), strict=True):
-            tensors, spans, found = features(from_wav(media.as_py()))
-            sink = io.BytesIO()
-            rows = tensor_batch(tensors, spans)
-            with pa.ipc.new_stream(sink, rows.schema) as out:
-                out.write_batch(rows)
-            a, b = [x for x, _ in found], [x for _, x in found]
-            yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()], pa.int64()), pa.array([sink.getvalue()], pa.binary()), pa.array([a], pa.list_(pa.float64())), pa.array([b], pa.list_(pa.float64()))], ["doc_id", "tensors", "segment_start_s", "segment_end_s"])
-
-
-def audio_tensors(media: DataFrame) -> DataFrame:
-    """(doc_id, tensors, segment_start_s, segment_end_s); ``tensors`` is an Arrow stream of ``tensor_batch`` rows."""
-    return media.select("doc_id", "media").mapInArrow(_tensors, "doc_id long, tensors binary, segment_start_s array<double>, segment_end_s array<double>")
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)], list(kinds))
 
 
-def describe(payload: bytes) -> tuple[str, int, int]:
-    """A digest of the features, and the numbers of tensors and segments."""
-    tensors, spans, found = features(payload)
-    h = hashlib.sha256(np.round(tensors * 100).astype("<i2").tobytes())
-    h.update(np.round(np.array(spans + found) * 1000).astype("<i4").tobytes())
-    return h.hexdigest(), len(tensors), len(found)
+_FACTS = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string()}
+_TENSORS = _FACTS | {"tensors": pa.binary(), "segment_start_s": pa.list_(pa.float64()), "segment_end_s": pa.list_(pa.float64())}
+_DIGEST = _FACTS | {"feature": pa.string(), "n_tensors": pa.int64(), "n_segments": pa.int64()}
+FACTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
 
 
-def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _tensors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "media", 256):
         out: list[tuple] = []
         for doc_id, n, media in zip(*(batch.column(k) for k in ("doc_id", "n_bytes", "media")), strict=True):
             stored = media.as_py()
             payload = from_wav(stored)
-            feature, tensors, found = describe(payload)
-            out.append((doc_id.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, tensors, found))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if at in (3, 6, 7) else pa.int64()) for at, c in enumerate(zip(*out, strict=True))] if out else [pa.array([], pa.string() if at in (3, 6, 7) else pa.int64()) for at in range(10)], [x.split()[0] for x in DIGEST.split(", ")])
+            tensors, spans, found = features(payload)
+            facts = (doc_id.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest())
+            out.append((*facts, tensor_stream(tensors, spans), [a for a, _ in found], [b for _, b in found]))
+        yield _batch(out, _TENSORS)
+
+
+def audio_tensors(media: DataFrame) -> DataFrame:
+    """The stored media's ids, sizes and digests, with (tensors, segment_start_s, segment_end_s); ``tensors`` is
+    ``tensor_stream``'s."""
+    return media.mapInArrow(_tensors, FACTS + ", tensors binary, segment_start_s array<double>, segment_end_s array<double>")
+
+
+def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    facts = list(_FACTS)
+    for batch in slices(batches, "tensors", 256):
+        out: list[tuple] = []
+        for *kept, stream, begins, ends in zip(*(batch.column(k).to_pylist() for k in (*facts, "tensors", "segment_start_s", "segment_end_s")), strict=True):
+            tensors, a, b = read_tensors(stream)
+            h = hashlib.sha256(np.ascontiguousarray(tensors, "<f2").tobytes())
+            h.update(np.round(np.concatenate([a, b, begins, ends]) * 1000).astype("<i4").tobytes())
+            out.append((*kept, h.hexdigest(), len(tensors), len(begins)))
+        yield _batch(out, _DIGEST)
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_tensors long, n_segments long"
+def digest(tensors: DataFrame) -> DataFrame:
+    """The facts of ``audio_tensors``' rows, a digest of each one's tensors and spans, and how many there are."""
+    return tensors.mapInArrow(_digest, FACTS + ", feature string, n_tensors long, n_segments long")
 
 
 def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = store_media(table(spark, sf_dir, "documents"), Scratch(spark, "audio"))
-    return media.mapInArrow(_digest, DIGEST)
+    scratch = Scratch(spark, "audio")
+    return digest(scratch.save(audio_tensors(store_media(table(spark, sf_dir, "documents"), scratch))))
