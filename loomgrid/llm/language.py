@@ -10,9 +10,13 @@
 How often a language declares a value, or lives under a suffix, and the host counts, are sums of the text
 posteriors over all pages, by grouped aggregation.
 
+Joins on a host go by written tables of known size: a row a host, broadcast while it is small, else shuffled with
+Spark's splitting of skewed hosts.
+
 Edge cases: null html or url is empty; without text the other evidence decides; an empty table gives no rows;
 without any labelled document no language is known and the language is null; rows that repeat are pages of
-their own; extra columns are ignored.  Of equally likely languages the alphabetically first wins.
+their own; very long pages are whole, taken in slices of bounded rows and bytes, and read in linear time whatever is
+left open in them; extra columns, of any name, are ignored.  Of equally likely languages the alphabetically first wins.
 """
 
 from __future__ import annotations
@@ -26,24 +30,41 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, slices, table
 
 BUCKETS = 1 << 15
 SAMPLE = 3000  # labelled documents that the text model is trained on
 WEIGHT = 300.0
 STRENGTH = 10.0
 ALPHA = 0.5
-HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.I | re.S)
-DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I | re.S)
+HIDDEN = re.compile(r"<(?:(script|style)\b|(!--))", re.I)
+CLOSING = {"script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I), "!--": re.compile("-->"), "": re.compile(">")}
+ROOT = re.compile(r"<html\b([^>]*)", re.I)
+DECLARED = re.compile(r"\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
 
 
 def visible(page: str) -> str:
-    return html.unescape(HIDDEN.sub(" ", page))
+    """The text outside of tags, comments, scripts and styles; what is opened and never closed is a mere tag, or text."""
+    out, at, start, never = [], 0, page.find("<"), set()
+    while start >= 0 and "" not in never:
+        kind = (m[1] or m[2]).lower() if (m := HIDDEN.match(page, start)) else ""
+        end = None
+        for what, begin in ((kind, m.end() if m else 0), ("", start + 1)):
+            if what not in never:
+                if end := CLOSING[what].search(page, begin or start + 1):
+                    break
+                never.add(what)  # nor any further on
+        if end is None:
+            break
+        out.append(page[at:start])
+        at = end.end()
+        start = page.find("<", at)
+    return html.unescape(" ".join([*out, page[at:]]))
 
 
 def declared(page: str) -> str:
-    """The primary subtag that the page declares, or nothing."""
-    found = DECLARED.search(page)
+    """The primary subtag that the page's first ``html`` element declares, or nothing."""
+    found = DECLARED.search(root[1]) if (root := ROOT.search(page)) else None
     return found[1].lower() if found else ""
 
 
@@ -67,7 +88,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches, "text"):
             for text, lang in zip(batch.column("text"), batch.column("lang"), strict=True):
                 by.setdefault(lang.as_py(), np.zeros(BUCKETS, np.int64))
                 by[lang.as_py()] += np.bincount(trigrams(text.as_py()), minlength=BUCKETS)
@@ -88,7 +109,7 @@ def score_text(pages: DataFrame, model: np.ndarray, url_col: str = "url", html_c
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = sent.value
-        for batch in batches:
+        for batch in slices(batches, "html"):
             out: list[tuple] = []
             for url, page in zip(batch.column("url"), batch.column("html"), strict=True):
                 page = page.as_py() or ""
