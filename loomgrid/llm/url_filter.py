@@ -7,13 +7,19 @@ on, each dividing its score by the weights of its links.  A seed is the share of
 rule, so a host without neighbours keeps a score in 0..1.  A host is blocked by the method if its distrust is at
 least LIMIT and above its trust.
 
-Links are the absolute and scheme-relative ``href`` values of a page, counted by pair of different hosts, so
-what is iterated has a row a linked pair of hosts; without such links the scores are the seeds.
+So a score isn't bound to 0..1: it is what a host is itself, plus what reaches it.  LIMIT is half of what a host with
+blocked pages only starts with: by its own pages alone a host is blocked if half of them are, and one without such pages
+if the blocked hosts that it links to pass it as much.  Many links from trusted hosts raise its trust in the same
+unit, so they outweigh it.
+
+Links are the ``href`` values of a page, resolved against its ``base`` element or its own address, counted by pair of
+different hosts (links within a host move nothing between hosts), so what is iterated has a row a linked pair of
+hosts.  Rounds go on until no score moves by more than TOLERANCE, which they do, as each passes on DAMPING of the rest.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and takes part as the host '';
 null html has no links; of rules of equal length on a url none can differ in host, so no ties arise but
-between a rule and its repetition; rows that repeat are pages of their own; an empty table gives no rows;
-extra columns are ignored.
+between a rule and its repetition; a host whose distrust equals its trust is allowed; rows that repeat are pages of
+their own; very long pages are whole; an empty table gives no rows; extra columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +31,10 @@ from .common import Scratch, table
 
 # Fixed values of the rule set: (action, host, path prefix).
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-DAMPING, LIMIT, ROUNDS, TOLERANCE = 0.85, 0.5, 30, 1e-4
+DAMPING, LIMIT, TOLERANCE = 0.85, 0.5, 1e-4
+HREF = r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]*)"
+BASE = r"(?i)<base\s[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]*)"
+ABSOLUTE = "(?i)^([a-z][a-z0-9+.-]*:)?//"
 
 
 def _lower(x: Column) -> Column:
@@ -50,16 +59,23 @@ def match_rule(host: Column, path: Column, rules: list[tuple[str, str, str]] = R
     return rule, action
 
 
+def _linked(to: Column, own: Column) -> Column:
+    """The host of a link: its own if it is absolute, else the page's."""
+    return F.when(F.regexp_like(to, F.lit(ABSOLUTE)), split_url(F.concat(F.lit("x:"), F.substring(to, F.instr(to, "//"), F.length(to))))[0]).otherwise(own)
+
+
 def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, dst, w): links between different hosts."""
-    found = F.explode(F.regexp_extract_all(F.col(html_col), F.lit(r"(?i)href\s*=\s*[\"']?((?:[a-z][a-z0-9+.-]*:)?//[^\"'\s>]+)"), F.lit(1)))
-    links = pages.select(split_url(F.col(url_col))[0].alias("src"), found.alias("to"))
-    to = F.when(F.startswith(F.col("to"), F.lit("//")), F.concat(F.lit("http:"), F.col("to"))).otherwise(F.col("to"))
-    links = links.select("src", split_url(to)[0].alias("dst"))
+    page = pages.select(split_url(F.col(url_col))[0].alias("src"), F.col(html_col).alias("html"))
+    # A link without a host of its own leaves the page's host only by a base element.
+    base = _linked(F.regexp_extract("html", BASE, 1), F.col("src"))
+    links = page.select("src", base.alias("base"), F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("to"))
+    links = links.where(F.regexp_like("to", F.lit(ABSOLUTE)) | (F.col("base") != F.col("src")) & ~F.regexp_like("to", F.lit("(?i)^(#|[a-z][a-z0-9+.-]*:)")))
+    links = links.select("src", _linked(F.col("to"), F.col("base")).alias("dst"))
     return links.where("src <> dst AND src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, scratch: Scratch, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def propagate(seeds: DataFrame, links: DataFrame, scratch: Scratch, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) from seeds (host, trust0, distrust0) and links (src, dst, w).
 
     Every round is written, so lineage stays short, and joins on hosts; rounds end when no score moves by more
@@ -70,12 +86,10 @@ def propagate(seeds: DataFrame, links: DataFrame, scratch: Scratch, rounds: int
     edges = scratch.save(edges.join(out, ["src", "forward"]).select("src", "dst", "forward", (F.col("w") / F.col("total")).alias("share")))
     nodes = seeds.select("host").unionByName(links.select(F.col("src").alias("host"))).unionByName(links.select(F.col("dst").alias("host"))).distinct()
     base = nodes.join(seeds, "host", "left").na.fill(0.0, ["trust0", "distrust0"])
-    if not edges.take(1):
-        return base.select("host", F.col("trust0").alias("trust"), F.col("distrust0").alias("distrust"))
     base = scratch.save(base)
     score = base.select("host", F.col("trust0").alias("trust"), F.col("distrust0").alias("distrust"))
     saved = None
-    for _ in range(rounds):
+    while True:
         flow = edges.join(score.withColumnRenamed("host", "src"), "src").groupBy(F.col("dst").alias("host")).agg(
             F.sum(F.when(F.col("forward"), F.col("share") * F.col("trust"))).alias("t"), F.sum(F.when(~F.col("forward"), F.col("share") * F.col("distrust"))).alias("d")
         )
@@ -88,8 +102,7 @@ def propagate(seeds: DataFrame, links: DataFrame, scratch: Scratch, rounds: int
             scratch.drop(saved)
         score = saved = fresh
         if (moved or 0.0) <= tolerance:
-            break
-    return score
+            return score
 
 
 def judge(pages: DataFrame, scratch: Scratch, rules: list[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -110,27 +123,33 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), Scratch(spark, "urls")).drop("trust", "distrust")
 
 
-def _sql() -> str:
-    """The rounds written out one by one; all of them are run, which moves scores by less than the tolerance."""
+def sql(pages: str = "pages", rounds: int = 30) -> str:
+    """DuckDB SQL for the verdicts, with the rounds written out one by one; on tables without links between hosts one
+    round is exact, on others it takes as many as bring DAMPING to that power below what counts."""
     fits = [(f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')", h + p, v) for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))]
     case = lambda k: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits) + " END"
     rest = "substr(url, instr(url, '://') + 3)"
     low = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    host_of = lambda x, own: f"CASE WHEN regexp_matches({x}, {quoted(ABSOLUTE)}) THEN {low(f"regexp_extract(substr({x}, instr({x}, '//') + 2), '^([^/?#]*)', 1)")} ELSE {own} END"
     steps = "".join(f"""
 , f{k} AS (SELECT dst AS host, sum(CASE WHEN forward THEN share * trust END) AS t, sum(CASE WHEN NOT forward THEN share * distrust END) AS d
     FROM edges JOIN s{k - 1} ON src = host GROUP BY dst)
-, s{k} AS (SELECT b.host, trust0 + {DAMPING} * coalesce(t, 0) AS trust, distrust0 + {DAMPING} * coalesce(d, 0) AS distrust FROM base b LEFT JOIN f{k} f ON b.host = f.host)""" for k in range(1, ROUNDS + 1))
+, s{k} AS MATERIALIZED (SELECT b.host, trust0 + {DAMPING} * coalesce(t, 0) AS trust, distrust0 + {DAMPING} * coalesce(d, 0) AS distrust FROM base b LEFT JOIN f{k} f ON b.host = f.host)""" for k in range(1, rounds + 1))
     return f"""
 WITH parts AS MATERIALIZED (
     SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN {low(f"regexp_extract({rest}, '^([^/?#]*)', 1)")} ELSE '' END AS host,
-        CASE WHEN instr(url, '://') > 0 THEN regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages
+        CASE WHEN instr(url, '://') > 0 THEN regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM {pages}
 ), judged AS MATERIALIZED (
     SELECT page_id, host, path, {case(1)} AS rule, {case(2)} AS action FROM parts
+), based AS (
+    SELECT host AS src, html, {host_of(f"regexp_extract(html, {quoted(BASE)}, 1)", "host")} AS base FROM parts WHERE html IS NOT NULL
 ), hrefs AS (
-    SELECT host AS src, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?((?:[a-z][a-z0-9+.-]*:)?//[^"''\\s>]+)', 1)) AS t FROM parts
+    SELECT src, base, unnest(regexp_extract_all(html, {quoted(HREF)}, 1)) AS t FROM based
 ), links AS MATERIALIZED (
-    SELECT src, dst, count(*)::DOUBLE AS w FROM (SELECT src, {low("regexp_extract(substr(t, instr(t, '//') + 2), '^([^/?#]*)', 1)")} AS dst FROM hrefs)
-    WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL
+    SELECT src, dst, count(*)::DOUBLE AS w FROM (
+        SELECT src, {host_of("t", "base")} AS dst FROM hrefs WHERE regexp_matches(t, {quoted(ABSOLUTE)}) OR NOT regexp_matches(t, '(?i)^(#|[a-z][a-z0-9+.-]*:)')
+    ) WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL
 ), edges AS MATERIALIZED (
     SELECT src, dst, forward, w / sum(w) OVER (PARTITION BY src, forward) AS share
     FROM (SELECT src, dst, w, true AS forward FROM links UNION ALL SELECT dst, src, w, false FROM links)
@@ -143,8 +162,8 @@ WITH parts AS MATERIALIZED (
     FROM nodes n LEFT JOIN seeds s ON n.host = s.host
 ), s0 AS (SELECT host, trust0 AS trust, distrust0 AS distrust FROM base){steps}
 SELECT page_id, j.host, path, rule, coalesce(action, CASE WHEN distrust >= {LIMIT} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict
-FROM judged j LEFT JOIN s{ROUNDS} s ON j.host = s.host
+FROM judged j LEFT JOIN s{rounds} s ON j.host = s.host
 """
 
 
-SQL = _sql()
+SQL = sql()
