@@ -2,30 +2,20 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OPERATORS = {
-    "op1_minhash": "minhash",
-    "op2_language": "language",
-    "op3_decontam": "decontam",
-    "op4_url_filter": "url_filter",
-    "op5_chat": "chat",
-    "op6_audio": "audio",
-    "op7_toxicity": "toxicity",
-    "op8_warc": "warc",
-    "op9_line_dedup": "line_dedup",
-    "op10_sentencepiece": "sentencepiece_bpe",
-}
+from . import audio, chat, decontam, language, line_dedup, minhash, sentencepiece_bpe, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for name, module in _OPERATORS.items()}
+    found = (
+        minhash.op1_minhash, language.op2_language, decontam.op3_decontam, url_filter.op4_url_filter, chat.op5_chat,
+        audio.op6_audio, toxicity.op7_toxicity, warc.op8_warc, line_dedup.op9_line_dedup, sentencepiece_bpe.op10_sentencepiece,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, line_dedup, url_filter
-
     return {"op4_url_filter": url_filter.SQL, "op5_chat": chat.SQL, "op9_line_dedup": line_dedup.SQL}
