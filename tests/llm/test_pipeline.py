@@ -17,8 +17,8 @@ FOLDER = "/root/testdata/sf0.001"
 def plain_lines(rows):
     total, n = Counter(r[3] or "" for r in rows), Counter()
     for r in rows:
-        n.update((r[3] or "", line) for line in {x for x in (r[1] or "").split("\n") if x.strip(" ")})
-    bad = {k for k, v in n.items() if v >= line_dedup.MIN_PAGES and v > line_dedup.RATIO * total[k[0]]}
+        n.update((r[3] or "", line) for line in {x for x in (r[1] or "").split("\n") if x.strip(line_dedup.BLANKS)})
+    bad = {k for k, v in n.items() if v > 1 and v > line_dedup.RATIO * total[k[0]]}
     return [(r[0], None if r[1] is None else "\n".join(x for x in r[1].split("\n") if (r[3] or "", x) not in bad), *r[2:]) for r in rows]
 
 

@@ -58,15 +58,42 @@ def test_all_passages_within_the_budget_are_found():
 
 
 def test_contaminated_and_clean_tables(spark):
-    items = spark.createDataFrame([(1, " ".join(words(7, 37)[:30])), (1, " ".join(words(7, 37)[:30])), (2, None), (3, "...")], "item_id long, text string")
-    docs = spark.createDataFrame(documents(), SCHEMA)
-    hit = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()}
-    assert (7, 1) in hit and {d for d, _ in hit} <= {7, *range(60, 80)}
-    left = decontam.clean(docs, items)
-    assert left.columns == docs.columns and left.count() == docs.count() - len(hit)
+    items = [(1, " ".join(words(7, 37)[:30])), (1, " ".join(words(7, 37)[:30])), (2, None), (3, "..."), (4, "ok"), (5, "Two words"), (6, " ".join(words(1000, 60)[20:35])), (7, words(9, 39)[3] * 9), (8, " ".join(words(5, 20000)[9000:9100]))]
+    rows = documents() + [(200, "it is ok to look", "en", "s", 0), (201, "OK!", "en", "s", 0)]
+    forms = {(i, f): decontam.budget(len(f)) if len(f) >= decontam.LEAST else 0 for i, t in items if (f := decontam.squeeze(t))}
+    want = []
+    for r in rows:
+        form = decontam.squeeze(r[1])
+        for (i, f), k in forms.items():
+            if len(f) < decontam.LEAST:
+                want += [(r[0], i, 0, k)] * (f == form)
+            elif len(form) < 5000 or f[:30] in form:
+                at = 0 if len(form) < 5000 else form.index(f[:30]) - 50
+                least = distance(f, form[at : at + 5000])
+                want += [(r[0], i, least, k)] * (least <= k)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA + ", allowed string")
+    got = decontam.contaminated(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance, r.allowed) for r in got) == sorted(want) and len(want) >= 60
+    left = decontam.clean(docs, bench)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id for r in left.collect()), key=str) == sorted((r[0] for r in rows if r[0] not in {w[0] for w in want}), key=str)
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminated(docs, none).count() == 0 and decontam.clean(docs, none).count() == docs.count()
-    assert decontam.contaminated(docs.limit(0), items).count() == 0
+    assert decontam.contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_many_items_that_share_pieces():
+    """Items from one template, and texts of several."""
+    r = random.Random(5)
+    items = [(k, "answer the question with a single letter about " + " ".join(words(k, 6)) + " and then stop") for k in range(300)]
+    matcher = decontam.Matcher(tuple(items))
+    for k in (3, 77, 299):
+        text = " ".join(words(900, 50)) + items[k][1].replace("single", "sinqle") + " ".join(words(901, 50))
+        form = decontam.squeeze(text)
+        want = sorted((i, d) for i, t in items if (d := distance(f := decontam.squeeze(t), form)) <= decontam.budget(len(f)))
+        assert sorted(x[:2] for x in matcher.find(text)) == want and k in {i for i, _ in want}
+    assert matcher.find(" ".join(words(r.randint(2000, 3000), 300))) == []
 
 
 # Line frequency
@@ -82,12 +109,27 @@ def test_line_dedup_empties_a_large_group_of_copies(spark):
 
 def test_line_dedup_odd_rows(spark):
     rows = [(k, f"menu\n\nown {k}\nmenu", "en", None, 0) for k in range(6)] + [(10, None, "en", "h", 0), (11, "", "en", "h", 0), (12, "menu", "en", "h", 0)]
-    docs = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("n_chars", "boilerplate2")
+    docs = spark.createDataFrame(rows, SCHEMA)
     got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_boilerplate(docs, Scratch(spark, "t")).collect()}
     assert got[0] == ("\nown 0", 4, 2) and got[10] == (None, 0, 0) and got[11] == ("", 1, 0) and got[12] == ("menu", 1, 0)
     assert line_dedup.drop_boilerplate(docs.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_line_dedup_of_small_hosts_and_blank_lines(spark):
+    rows = [(k, f"menu\n\t\nown {k}", "en", "small", 0) for k in range(4)] + [(9, "only\nonly", "en", "one", 0)] + [(20 + k, "long " * 50_000 + f"\n{k}", "en", "wide", 0) for k in range(2)]
+    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, SCHEMA), Scratch(spark, "t")).collect()}
+    assert got[0] == "\t\nown 0" and got[9] == "only\nonly" and got[20] == "0"
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    names = ["boilerplate", "__host", "host", "n_lines", "__left", "left", "listed", "pages", "a.b"]
+    rows = [(k, f"menu\nown {k}", "en", "s", 0, *range(len(names))) for k in range(6)]
+    docs = spark.createDataFrame(rows, SCHEMA + "".join(f", `{c}` int" for c in names))
+    made = line_dedup.drop_boilerplate(docs, Scratch(spark, "t"))
+    assert made.columns == [*docs.columns, "_n_lines", "n_dropped"]
+    assert {tuple(r)[5:] for r in made.collect()} == {(*range(len(names)), 2, 1)}
+
+
 # URL filter
 
 
@@ -111,7 +153,7 @@ def test_rules_and_propagation(spark):
 def test_scores_solve_the_rank_equation(spark):
     edges = [("a", "b", 2.0), ("a", "c", 1.0), ("b", "c", 1.0), ("c", "a", 1.0), ("d", "a", 1.0)]
     seeds = spark.createDataFrame([("a", 0.5, 0.0), ("d", 0.0, 1.0), ("e", 0.0, 0.7)], "host string, trust0 double, distrust0 double")
-    got = {r.host: (r.trust, r.distrust) for r in url_filter.propagate(seeds, spark.createDataFrame(edges, "src string, dst string, w double"), Scratch(spark, "t"), rounds=150, tolerance=1e-9).collect()}
+    got = {r.host: (r.trust, r.distrust) for r in url_filter.propagate(seeds, spark.createDataFrame(edges, "src string, dst string, w double"), Scratch(spark, "t"), tolerance=1e-5).collect()}
     hosts = "abcd"
     m = np.zeros((4, 4))
     for s, t, w in edges:
@@ -121,30 +163,136 @@ def test_scores_solve_the_rank_equation(spark):
         r = np.array(seed)
         for _ in range(500):
             r = np.array(seed) + 0.85 * share.T @ r
-        assert [got[h][k] for h in hosts] == pytest.approx(list(r), abs=1e-6)
+        assert [got[h][k] for h in hosts] == pytest.approx(list(r), abs=1e-4)
     assert got["e"] == (0.0, 0.7)
 
 
+def linked_pages(n=60):
+    """Pages of 12 hosts, most of which link to others: (page_id, url, html)."""
+    r = random.Random(11)
+    hosts = ["a.com", "B.com", "www.example.com", "x.example.com", "s.net", "T.net", "u.net", "v.org", "w.org", "y.org", "z.org", "q.org"]
+    rows = []
+    for k in range(n):
+        of = r.choice(hosts)
+        to = r.choices([h for h in hosts if ("net" in h) == (of in ("v.org", "w.org") or "net" in of)], k=r.randint(0, 4))
+        kind = lambda h: r.choice([f"http://{h}/p", f"//{h.upper()}", f"https://{h}?q#f"])
+        base = f"<base target=_blank href='http://{r.choice(hosts)}/d/'>" if k % 9 == 0 else ""
+        body = base + "".join(f'<a class=x href="{kind(h)}">t</a>' for h in to) + "<a href='/own'>o</a><a href=#here>h</a><a href=mailto:a@b>m</a><a>none</a>"
+        rows.append((k, f"http://{of}/{r.choice(['es/1', 'fr/', 'en/x', 'p'])}", body if k % 13 else None))
+    return rows
+
+
+def test_linked_hosts_in_sql(spark, tmp_path):
+    """Rounds over a graph of hosts, against the rounds in SQL."""
+    docs = spark.createDataFrame(linked_pages(), "page_id long, url string, html string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = url_filter.op4_url_filter(spark, str(tmp_path))
+    assert rows_of_spark(got) == rows_of_sql(connect(str(tmp_path)), url_filter.sql(rounds=90))
+    alone = spark.createDataFrame([(r[0], r[1], None) for r in linked_pages()], "page_id long, url string, html string")
+    changed = got.join(url_filter.judge(alone, Scratch(spark, "t")).select("page_id", url_filter.F.col("verdict").alias("v")), "page_id")
+    assert changed.where("verdict <> v").count() > 0  # by what comes over links
+    assert got.where("host = 'q.org' AND rule IS NULL").count() > 0
+
+
+def test_links_by_base_and_kind(spark):
+    rows = [(1, "http://h.org/", "<BASE href=//m.org/d/><a href=x>1</a><a href='HTTP://N.org:80'>2</a><a href=javascript:x>3</a><a href=#a>4</a><a hreflang=de>"), (2, "http://h.org/", "<a href=y><a href='//m.org'>")]
+    got = {tuple(r) for r in url_filter.host_links(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {("h.org", "m.org", 3.0), ("h.org", "n.org:80", 1.0)}
+
+
 # Dialogues
 
 
 def test_perspectives(spark):
     rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 2, "bob", None), (2, 0, None, "x"), (3, None, "eve", "late"), (3, 70, "eve", "more")]
-    got = {(r.conv_id, r.perspective, r.block): r for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (3, "eve", -1), (3, "eve", 1)}
+    docs = spark.createDataFrame([(*x, 1, 2) for x in rows], "conv_id long, turn long, role string, text string, place int, part int")
+    got = {(r.conv_id, r.perspective, r.block): r for r in chat.rotate(docs, Scratch(spark, "t")).collect()}
+    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (3, "eve", 0)}
     ann = got[1, "ann", 0]
     assert ann.rendered == "<|im_start|>system\nrules<|im_end|>\n<|im_start|>assistant\nhi < |im_end|><|im_end|>\n<|im_start|>user name=bob\n<|im_end|>\n"
     a, b = map(int, ann.mask_spans.split(":"))
     assert ann.rendered[a:b] == "hi < |im_end|><|im_end|>" and ann.n_turns == 3
-    assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    assert got[3, "eve", 0].rendered.index("late") < got[3, "eve", 0].rendered.index("more")
+    assert chat.rotate(docs.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def plain_rotation(rows):
+    """(conv_id, perspective, block) -> (n_turns, rendered, spans), dialogue by dialogue."""
+    talks, out = {}, {}
+    for conv, turn, role, text in {(c, t, r or "", x or "") for c, t, r, x in rows}:
+        talks.setdefault(conv, []).append((turn is not None, turn or 0, role, text))
+    for conv, turns in talks.items():
+        for who in {r for _, _, r, _ in turns if r not in ("", "system")}:
+            for k, (_, _, role, text) in enumerate(sorted(turns)):
+                n, said, spans = out.get((conv, who, k // chat.BLOCK), (0, "", []))
+                name = "".join(f"%{ord(c):02X}" if c in "%<\r\n" else c for c in role)
+                said += chat.START + ("system" if role in ("", "system") else "assistant" if role == who else f"user name={name}") + "\n"
+                end = said + text.replace("<|", "< |") + chat.END
+                out[conv, who, k // chat.BLOCK] = (n + 1, end + "\n", spans + [f"{len(said)}:{len(end)}"] * (role == who))
+    return {k: (n, x, ";".join(s)) for k, (n, x, s) in out.items()}
+
+
+def test_perspectives_of_many(spark):
+    """Hot dialogues, three and more speakers, ties, missing numbers and odd names, against a plain version."""
+    r = random.Random(12)
+    people = ["ann", "a b", "a_b", "a%20b", "system", "", None, "x\n<|im_start|>y"]
+    rows = [(r.choice([1, 1, 1, None, 2]), r.choice([None, None, r.randrange(10**9), r.randrange(5)]), r.choice(people), r.choice(["hi", "<|x|>", None, f"t{k}", "long " * 20_000 if k < 2 else "s"])) for k in range(700)]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), Scratch(spark, "t")).collect()
+    assert {(x.conv_id, x.perspective, x.block): (x.n_turns, x.rendered, x.mask_spans) for x in got} == plain_rotation(rows)
+    assert max(x.n_turns for x in got) == chat.BLOCK
 
 
 # Language
 
 
-def test_language_on_pages(spark):
-    made = language.identify(table(spark, "/root/testdata/sf0.01", "pages"), table(spark, "/root/testdata/sf0.01", "documents"), Scratch(spark, "t")).toPandas()
-    assert len(made) == 250 and (made["lang"] == made["declared"]).mean() > 0.95
+def plain_languages(spark, folder):
+    """Language and confidence of each page, by sums over lists."""
+    langs, model = language.train(table(spark, folder, "documents"))
+    pages = [(r.page_id, r.url, r.html) for r in table(spark, folder, "pages").collect()]
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    made = []
+    for i, url, html in pages:
+        host = url.split("://", 1)[1].split("/")[0].split("?")[0].split("#")[0].lower() if "://" in (url or "") else ""
+        at = language.trigrams(language.visible(html or ""))
+        ll = model.astype(np.float32)[at].astype(float).sum(0) * min(1, language.WEIGHT / max(1, len(at)))
+        made.append((i, host, ".".join(host.split(".")[-2:]), host.split(".")[-1], language.declared(html or ""), ll, soft(ll)))
+    total = lambda at, value: sum((x[6] for x in made if at is None or x[at] == value), np.zeros(len(langs)))
+    every, out = total(None, None), {}
+    smooth = lambda own, above: (own + language.STRENGTH * above) / (own.sum() + language.STRENGTH)
+    for i, host, domain, suffix, said, ll, p in made:
+        g = (every + 1) / (every.sum() + len(langs))
+        prior = smooth(total(2, domain), smooth(total(3, suffix), g))
+        own = total(1, host) - p
+        prior = np.log((np.maximum(own, 0) + language.STRENGTH * prior) / (own.sum() + language.STRENGTH))
+        like = lambda n: np.log((n + language.ALPHA) / (every + language.ALPHA * 100))
+        q = soft(ll + prior + like(total(3, suffix)) + (like(total(4, said)) if said else 0))
+        out[i] = (langs[int(q.argmax())], q.max())
+    return out
+
+
+def test_language_is_the_plain_version(spark):
+    folder = "/root/testdata/sf0.01"
+    got = {r.page_id: (r.lang, r.confidence) for r in language.op2_language(spark, folder).collect()}
+    want = plain_languages(spark, folder)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert [v[1] for _, v in sorted(got.items())] == pytest.approx([v[1] for _, v in sorted(want.items())], abs=2e-6)
+
+
+def test_language_accuracy_on_pages(spark):
+    """The pages' paths name their language, which is no input."""
+    made = language.op2_language(spark, "/root/testdata/sf0.1").join(table(spark, "/root/testdata/sf0.1", "pages").select("page_id", "url"), "page_id").toPandas()
+    truth = made["url"].str.extract(r"://[^/]+/([a-z]{2})/")[0]
+    assert truth.notna().mean() > 0.9 and (made["lang"] == truth)[truth.notna()].mean() > 0.95
+
+
+def test_hidden_text():
+    page = "<html lang=fr><head><style>a{b:c}</style><SCRIPT x>var t='</p>';</script ></head>a<!-- <b> -->b<br>c &amp; <p"
+    assert language.visible(page).split() == ["a", "b", "c", "&", "<p"]
+    assert language.visible("x<script>y").split() == ["x", "y"] and language.visible("a < b <!-- c").split() == ["a", "<", "b", "<!--", "c"]
+    assert language.visible("a<!-- b > c <style> d").split() == ["a", "c", "d"]
+    for part in ("<script", "<!--", "<html ", "<style>", "</script", "<"):
+        language.visible(part * 300_000)
+        language.declared(part * 300_000)
 
 
 def test_language_odd_rows(spark):
@@ -188,22 +336,30 @@ def test_held_out_accuracy(spark):
     assert (p & y).sum() / y.sum() > 0.8 and (p & ~y).sum() / (~y).sum() < 0.02
 
 
-def test_gapped_insults_score_high():
+def fitted(spark, texts, labels):
+    return toxicity.train_on(spark.createDataFrame(list(zip(texts, labels, strict=True)), "text string, y int"), Scratch(spark, "t"))
+
+
+def test_gapped_insults_score_high(spark):
     r = random.Random(5)
     texts = [" ".join(words(k, 40)) + "." for k in range(200)]
     toxic = [f"{t[:60]} {r.choice(['blockhead', 'nitwit'])} {t[60:]}" for t in texts[:60]]
-    model = toxicity.fit(texts + toxic, [0] * 200 + [1] * 60)
+    model = fitted(spark, texts + toxic, [0] * 200 + [1] * 60)
     score = lambda t: toxicity._scores(model, [t])[0]
     assert score("what a b.l-o.c.k.h-e.a.d you are") > 0.5 and score("what a n i t w i t you are") > 0.5
     assert score("what a blockhhead you are") > 0.5 and score("what a blockzhead you are") > 0.5 and score(texts[0]) < 0.5 and score("") < 0.5
 
 
-@pytest.mark.parametrize("form", ["n, i, t, w, i, t", "n- i- t- w- i- t", "n. i. t. w. i. t.", "(n) (i) (t) (w) (i) (t)", "n\ni\nt\nw\ni\nt", "N I T W I T", "p o o p o o", "д у р а к", "д, у, р, а, к", "β λ α κ α ς", "n, i, t, w, i, t " + "and so on " * 3000])
-def test_spelled_insults_of_any_script_score_high(form):
+@pytest.fixture(scope="module")
+def insults(spark):
     texts = [" ".join(words(k, 40)) + "." for k in range(200)]
-    insults = ["nitwit", "poopoo", "дурак", "βλακας"]
-    toxic = [f"{t[:60]} {insults[k % 4]} {t[60:]}" for k, t in enumerate(texts[:80])]
-    model = toxicity.fit(texts + toxic, [0] * 200 + [1] * 80)
+    said = ["nitwit", "poopoo", "дурак", "βλακας"]
+    return fitted(spark, texts + [f"{t[:60]} {said[k % 4]} {t[60:]}" for k, t in enumerate(texts[:80])], [0] * 200 + [1] * 80)
+
+
+@pytest.mark.parametrize("form", ["n, i, t, w, i, t", "n- i- t- w- i- t", "n. i. t. w. i. t.", "(n) (i) (t) (w) (i) (t)", "n\ni\nt\nw\ni\nt", "N I T W I T", "p o o p o o", "д у р а к", "д, у, р, а, к", "β λ α κ α ς", "n, i, t, w, i, t " + "and so on " * 3000])
+def test_spelled_insults_of_any_script_score_high(insults, form):
+    model = insults
     rows, _ = toxicity.Matcher(toxicity.Landmarks(model.words)).sentences([f"see the {form} you are"])[0]
     assert rows and max(model.margins(rows)) > 0
     if len(form) < 100:
@@ -211,6 +367,38 @@ def test_spelled_insults_of_any_script_score_high(form):
     assert toxicity._scores(model, ["a b, c d. e f"])[0] < 0.5
 
 
+def test_every_letter_is_its_own():
+    assert toxicity.kernel("бобик", "чочик") < 0.5 and toxicity.kernel("дурак", "дурак") == pytest.approx(1)
+    many = toxicity.Landmarks(["дурак", "idiot", "".join(map(chr, range(0x4E00, 0x4E14))), *("".join(map(chr, range(a, a + 9))) for a in range(0x5000, 0x5100, 9))])
+    assert many.place is None  # too many letters for a table of triples
+    few = toxicity.Landmarks(["дурак", "idiot"])
+    for w in ("дуррак", "idi0t", "чурак", "xyz"):
+        a, b = many.values([w]).get(w), few.values([w]).get(w)
+        assert (a is None) == (b is None) and (a is None or a[:2] == pytest.approx(b))
+    assert few.values(["дуррак"])["дуррак"][0] == pytest.approx(toxicity.kernel("дуррак", "дурак"), abs=1e-5)
+
+
+def test_toxicity_memory_is_bounded_in_characters(monkeypatch):
+    monkeypatch.setattr(toxicity, "REMEMBERED_CHARS", 1000)
+    matcher = toxicity.Matcher(toxicity.Landmarks(["nitwit"]))
+    for k in range(20):
+        matcher.sentences([f"{'x' * 900}{k}"])
+    assert len(matcher.cold) <= 2
+
+
+def test_toxicity_scores_are_the_model_s(spark, insults):
+    """The score of a text from its definition, with kernels by enumeration."""
+    text = "You nitwitt. A word\nthe д у р а к of all!"
+    rows = []
+    for strings in (["you", "nitwitt"], ["a", "word"], ["the", "дурак", "of", "all"]):
+        row = [max((k if (k := toxicity.kernel(s, w)) >= toxicity.SUPPORT else 0.0) for s in strings if len(s) >= 3) if any(len(s) >= 3 for s in strings) else 0.0 for w in insults.words]
+        rows.append(row)
+    margins = [np.array(r) @ insults.map @ insults.weights + insults.bias for r in rows if any(r)] + [insults.bias]
+    x = np.dot([1, max(margins), np.log1p(sum(m > 0 for m in margins)), np.log1p(30)], insults.logit)
+    got = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), insults).first()
+    assert got.score == pytest.approx(1 / (1 + np.exp(-x)), abs=1e-5)
+
+
 def test_toxicity_keeps_known_words_when_its_memory_is_emptied(monkeypatch):
     monkeypatch.setattr(toxicity, "REMEMBERED", 3)
     matcher = toxicity.Matcher(toxicity.Landmarks(["nitwit"]))
@@ -231,6 +419,12 @@ def test_toxicity_odd_rows(spark):
 # SentencePiece
 
 
+def test_an_unspaced_text_takes_linear_time(library):
+    e, r = sp.encoder(sp.model_path()), random.Random(7)
+    text = "".join(r.choice("abcdefghij") for _ in range(400_000))
+    assert e.encode(text) == library.encode(text, add_bos=True, add_eos=True)
+
+
 @pytest.fixture(scope="module")
 def library():
     import sentencepiece
