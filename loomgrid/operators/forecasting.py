@@ -319,14 +319,7 @@ def boosted_lags(df: DataFrame, p: Panel, horizon: int, lags=(1, 7), windows=(7,
     need = max([*lags, *windows])
 
     def value(x: dict) -> float:
-        out = model.init
-        for t in model.trees:
-            n = 0
-            while str(n) in t["splits"]:
-                c, cut, _ = t["splits"][str(n)]
-                n = 2 * n + 1 if x[c] <= cut else 2 * n + 2
-            out += t["leaves"][str(n)]
-        return out
+        return model.init + sum(B.tree_score(t, x) for t in model.trees)
 
     def f(y: np.ndarray, h: int) -> np.ndarray:
         if len(y) < need:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgrid.functions.columns import ratio, total
-from loomgrid.operators.ordered import running
+from loomgrid.operators.ordered import numbered, running
 
 
 def aligned(forecast: DataFrame, actual: DataFrame, keys: list[str], strict: bool = True) -> DataFrame:
@@ -224,3 +224,80 @@ def laplacian_penalty(edges: DataFrame, values: DataFrame, node: str, value: str
     b = values.select(F.col(node).alias("dst"), F.col(value).alias("__b"))
     d = F.col("__a") - F.col("__b")
     return edges.join(a, "src").join(b, "dst").agg((F.sum(F.col("w") * d * d) / 2).alias("penalty"))
+
+
+def rank_calibration(df: DataFrame, actual: str, predicted: str, buckets: int) -> DataFrame:
+    """(predicted, actual, n, p, shrinkage, calibrated): how often each bucket follows a predicted one, with a prior of
+    1 a cell, and that drawn towards even chances by rows / (rows + 20 buckets)."""
+    counts = df.groupBy(F.col(predicted).alias("predicted"), F.col(actual).alias("actual")).agg(F.count(F.lit(1)).alias("n"))
+    if counts.where(~F.col("predicted").between(0, buckets - 1) | ~F.col("actual").between(0, buckets - 1)).take(1):
+        raise ValueError("a bucket is out of range")
+    one = lambda name: df.sparkSession.range(buckets).select(F.col("id").cast("int").alias(name))
+    cells = one("predicted").crossJoin(one("actual")).join(counts, ["predicted", "actual"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    # ``cells`` has buckets x buckets rows.
+    p = (F.col("n") + 1) / F.sum(F.col("n") + 1).over(W.partitionBy("predicted"))
+    support = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("__n"))
+    rows = cells.withColumn("p", p).crossJoin(F.broadcast(support)).withColumn("shrinkage", F.col("__n") / (F.col("__n") + 20.0 * buckets)).drop("__n")
+    return rows.withColumn("calibrated", F.col("shrinkage") * F.col("p") + (1 - F.col("shrinkage")) / buckets)
+
+
+def hit_rates(df: DataFrame, observed: str, predicted: str, buckets: int) -> DataFrame:
+    """One row: rows, shares of exact and neighbouring buckets, and the number and hits of predicted first and last ones."""
+    gap = F.abs(F.col(observed) - F.col(predicted))
+    extreme = F.col(predicted).isin(0, buckets - 1)
+    share = lambda c: F.coalesce(F.avg(c.cast("double")), F.lit(0.0))
+    return df.agg(
+        F.count(F.lit(1)).alias("assets"), share(gap == 0).alias("exact"), share(gap <= 1).alias("within_one"),
+        F.count(F.when(extreme, 1)).alias("extremes"), F.coalesce(F.avg(F.when(extreme, (gap == 0).cast("double"))), F.lit(0.0)).alias("extreme_rate"),
+    )
+
+
+def scored_assets(df: DataFrame, ident: str, actual: str, predicted: str, buckets: int, calibration: DataFrame) -> DataFrame:
+    """``df`` with (observed_bucket, predicted_bucket, rps): buckets are ranks (ties by id) cut evenly over all rows, and
+    the score is that of the calibrated chances of the predicted bucket.  Ranks are made without a single-task window."""
+    n = df.count()
+    cut = lambda rows, by, name: numbered(rows, by, (ident,), "__i").withColumn(name, F.least(F.floor(F.col("__i") * buckets / n), F.lit(buckets - 1)).cast("int")).drop("__i")
+    rows = cut(cut(df, actual, "observed_bucket"), predicted, "predicted_bucket")
+    chances = calibration.groupBy("predicted").agg(F.transform(F.array_sort(F.collect_list(F.struct("actual", "calibrated"))), lambda s: s["calibrated"]).alias("__p"))
+    rows = rows.join(F.broadcast(chances), F.col("predicted_bucket") == F.col("predicted")).drop("predicted")  # a row a bucket
+    score, cum = F.lit(0.0), F.lit(0.0)
+    for k in range(buckets):
+        cum = cum + F.col("__p")[k]
+        d = cum - F.when(F.col("observed_bucket") <= k, 1.0).otherwise(0.0)
+        score = score + d * d
+    return rows.withColumn("rps", score / max(1, buckets - 1)).drop("__p")
+
+
+def portfolio_loss(df: DataFrame, ident: str, actual: str, predicted: str, buckets: int, calibration: DataFrame, tiebreak: float) -> DataFrame:
+    """One row (net_return, mean_rps, loss): the fifth of lowest predictions sold and the fifth of highest ones bought, half
+    of the money on each side; the loss is the return's negative plus ``tiebreak`` times the mean score."""
+    rows = scored_assets(df, ident, actual, predicted, buckets, calibration)
+    n = rows.count()
+    side = max(1, n // 5)
+    placed = numbered(rows, predicted, (ident,), "__i")
+    weight = F.when(F.col("__i") < side, -0.5 / side).otherwise(0.0) + F.when(F.col("__i") >= n - side, 0.5 / side).otherwise(0.0)
+    out = placed.agg(F.sum(weight * F.col(actual)).alias("net_return"), F.avg("rps").alias("mean_rps"))
+    return out.withColumn("loss", -F.col("net_return") + F.col("mean_rps") * tiebreak)
+
+
+def link_scores(df: DataFrame, positive: str, score: str, ident: str) -> DataFrame:
+    """One row (auc, ap) over all rows: ties count half in the AUC; the average precision goes by score, then id.  0 without
+    both classes, or without a positive."""
+    rows = df.withColumn("__p", (F.col(positive) > 0.5).cast("long"))
+    auc = roc_auc(rows, "__p", score)
+    ranked = running(rows.select(F.col(score).cast("double").alias("s"), F.col(ident).alias("i"), "__p"), "s", {"tp": F.col("__p"), "at": F.lit(1).cast("long")}, ("i",), descending=True)
+    ap = ranked.agg(ratio(F.sum(F.when(F.col("__p") == 1, F.col("tp") / F.col("at"))), F.sum("__p"), 0.0).alias("ap"))
+    return auc.crossJoin(ap).select(F.coalesce("auc", F.lit(0.0)).alias("auc"), F.coalesce("ap", F.lit(0.0)).alias("ap"))
+
+
+def spatial_cv_gap(random_scores: DataFrame, spatial_scores: DataFrame, score: str = "score") -> DataFrame:
+    """One row (gap): the mean score over random folds less that over spatial ones."""
+    return random_scores.agg(F.avg(score).alias("a")).crossJoin(spatial_scores.agg(F.avg(score).alias("b"))).select((F.col("a") - F.col("b")).alias("gap"))
+
+
+def jitter_around(df: DataFrame, ident: str, prediction: str, baseline: str, weight: str | None = None) -> DataFrame:
+    """One row: the (weighted) mean over samples of the root mean square of their predictions' distance to the baseline."""
+    w = F.max(weight) if weight else F.lit(1.0)
+    d = F.col(prediction) - F.col(baseline)
+    rows = df.groupBy(ident).agg(F.sqrt(F.avg(d * d)).alias("s"), w.alias("w"))
+    return rows.agg((F.sum(F.col("s") * F.col("w")) / F.sum("w")).alias("volatility"))

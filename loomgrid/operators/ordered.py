@@ -32,3 +32,13 @@ def running(df: DataFrame, value: str, sums: dict[str, Column], ties: tuple[str,
 def numbered(df: DataFrame, value: str, ties: tuple[str, ...] = (), name: str = "i") -> DataFrame:
     """``df`` with its row number from 0 in the order of ``value``, then ``ties``."""
     return running(df, value, {name: F.lit(1).cast("long")}, ties).withColumn(name, F.col(name) - 1)
+
+
+def exact_quantile(df: DataFrame, value: str, weight: Column, level: float) -> float | None:
+    """The least value at which the running weight reaches ``level`` of all weight; values are grouped, then summed in ranges."""
+    rows = df.select(F.col(value).cast("double").alias("v"), weight.cast("double").alias("w")).where("v IS NOT NULL").groupBy("v").agg(F.sum("w").alias("w"))
+    all_weight = rows.agg(F.sum("w")).first()[0]
+    if all_weight is None:
+        return None
+    sums = running(rows, "v", {"upto": F.col("w")})
+    return sums.agg(F.min(F.when(F.col("upto") >= level * all_weight - 1e-9 * abs(all_weight), F.col("v")))).first()[0]

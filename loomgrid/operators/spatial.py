@@ -6,11 +6,12 @@ from math import pi
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgrid.functions.columns import ratio
 from loomgrid.functions.geometry import semivariogram
-from loomgrid.operators.joins import self_pairs, spatial_lag, within
+from loomgrid.operators.joins import nearest, self_pairs, spatial_lag, within
+from loomgrid.operators.ordered import running
 
 MOST_POINTS = 4000  # for what is solved as one dense system on the driver
 
@@ -59,6 +60,32 @@ def morans_i(df: DataFrame, ident: str, value: str, edges: DataFrame) -> DataFra
     return top.crossJoin(var).select((F.col("n") / F.col("w") * F.col("top") / F.col("var")).alias("moran"))
 
 
+def morans_i_inverse(df: DataFrame, ident: str, value: str, x: str = "x", y: str = "y", epsilon: float = 1e-12, block: int = 2000) -> DataFrame:
+    """One row (moran) with weights 1 / max(distance, epsilon) between all rows, for evaluation samples: the work grows
+    with the square of the rows.  Rows meet in pairs of blocks inside tasks, and only each pair's sums leave them."""
+    import pandas as pd
+
+    rows = df.select(F.col(ident).alias("i"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(value).cast("double").alias("z"))
+    n, mean, var = rows.agg(F.count(F.lit(1)), F.avg("z"), F.var_pop("z")).first()
+    blocks = max(1, -(-n // block))
+    own = F.pmod(F.xxhash64("i"), F.lit(blocks))
+    tiles = rows.withColumn("z", F.col("z") - float(mean or 0.0)).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    tiles = tiles.select("x", "y", "z", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        a, b = part[part["own"] == key[0]], part[part["own"] == key[1]]
+        gap = np.sqrt((a["x"].to_numpy()[:, None] - b["x"].to_numpy()) ** 2 + (a["y"].to_numpy()[:, None] - b["y"].to_numpy()) ** 2)
+        w = 1 / np.maximum(gap, epsilon)
+        if key[0] == key[1]:
+            np.fill_diagonal(w, 0.0)
+        twice = 1.0 if key[0] == key[1] else 2.0
+        return pd.DataFrame({"w": [twice * float(w.sum())], "top": [twice * float(a["z"].to_numpy() @ w @ b["z"].to_numpy())]})
+
+    sums = tiles.groupBy("lo", "hi").applyInPandas(run, "w double, top double").agg(F.sum("top").alias("top"), F.sum("w").alias("w"))
+    # The sum of squares is n times the variance.
+    return sums.select(ratio(F.col("top"), F.col("w") * F.lit(float(var or 0.0))).alias("moran"))
+
+
 def variogram(df: DataFrame, ident: str, value: str, bins: int, reach: float) -> DataFrame:
     """(bin, centre, mean_distance, gamma, n) over pairs at most ``reach`` apart; the last bin is closed."""
     pairs = self_pairs(df.select(ident, "x", "y", value), ident, reach)
@@ -219,10 +246,18 @@ def spatial_ml(nodes: DataFrame, edges: DataFrame, node: str, x: list[str], y: s
 
 
 def overlay(points: DataFrame, ident: str, parts: dict[str, float], priority: Column, kernel: Column, alpha: float) -> DataFrame:
-    """(ident, score, rank): the weighted sum times priority and (1 + alpha * kernel), rounded half to even."""
+    """(ident, score, rank): the weighted sum times priority and (1 + alpha * kernel), rounded half to even, ranked from 1 by
+    falling score, then id, in ranges of the score."""
     from loomgrid.functions.columns import total
     from loomgrid.functions.scalars import half_even
 
     raw = total([F.col(c) * w for c, w in parts.items()]) * priority * (1 + kernel * alpha)
     scored = points.select(ident, half_even(raw, 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("score"), ident)))
+    return running(scored, "score", {"rank": F.lit(1).cast("long")}, (ident,), descending=True).withColumn("rank", F.col("rank").cast("int"))
+
+
+def third_nearest(points: DataFrame, ident: str, radius: float, x: str = "x", y: str = "y") -> DataFrame:
+    """(ident, bandwidth): the distance to the third nearest point, the overlay's default bandwidth; to the farthest
+    of fewer within the radius."""
+    near = nearest(points, points, ident, 3, radius, x, y)
+    return near.groupBy(ident).agg(F.max("distance").alias("bandwidth"))

@@ -40,43 +40,6 @@ def boost_sibling_histogram(spark, sf_dir):
     return B.subtract(h(d), h(d.where("l_quantity <= 20"))).select("feature", "bin", "n", rounded("w", 4).alias("w"))
 
 
-STUMP = f"""t AS (SELECT l_quantity::DOUBLE AS x, l_extendedprice / 1000 AS y FROM lineitem), m AS (SELECT avg(y) AS m FROM t), v AS (SELECT x, sum(y - m) AS g, count(*) AS n FROM t, m GROUP BY 1),
-c AS (SELECT (x + lead(x) OVER w) / 2 AS cut, sum(g) OVER w AS lg, sum(n) OVER w AS ln, sum(g) OVER () AS g, sum(n) OVER () AS n FROM v WINDOW w AS (ORDER BY x)),
-s AS (SELECT *, row_number() OVER (ORDER BY lg * lg / (ln + 1) + (g - lg) * (g - lg) / (n - ln + 1) DESC, cut) AS k FROM c WHERE cut IS NOT NULL)"""
-
-
-@query(f"WITH {STUMP} SELECT cut, {r('lg / (ln + 1)', 4)} AS below, {r('(g - lg) / (n - ln + 1)', 4)} AS above FROM s WHERE k = 1")
-def boost_stump(spark, sf_dir):
-    d = _lines(spark, sf_dir).withColumn("x", F.col("l_quantity").cast("double"))
-    t = B.fit(d, B.Spec(["x"], "y", trees=1, depth=1, bins=64, rate=1.0)).trees[0]
-    row = (float(t["splits"]["0"][1]), round(t["leaves"]["1"], 4), round(t["leaves"]["2"], 4))
-    return spark.createDataFrame([row], "cut double, below double, above double")
-
-
-def _boost(name: str, **kw):
-    def run(spark, sf_dir):
-        d = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 97).cast("double").alias("a"), (F.col("c_custkey") * 7 % 89).cast("double").alias("b"), "c_custkey")
-        signal = F.when(F.col("a") + F.col("b") > 90, 3.0).otherwise(1.0) + F.col("a") / 50
-        y = (F.col("a") + F.col("b") > 90).cast("double") if name == "logistic" else F.floor(signal) if name in ("poisson", "tweedie", "negative_binomial") else signal
-        d = B.diagonals(d.withColumn("y", y.cast("double")), "a", "b")
-        model = B.fit(d, B.Spec(["a", "b", "a_plus_b"], "y", loss=name, trees=4, depth=2, bins=16, rate=0.5, **kw))
-        return _out(B.predict(B.Model.from_json(model.to_json()), d).groupBy("y").agg(F.avg("prediction").alias("prediction"), F.count(F.lit(1)).alias("n")))
-
-    run.__name__ = f"boost_{name}"
-    return query()(run)
-
-
-for _loss, _kw in (("l2", {"monotone": {"a": 1}}), ("l1", {}), ("huber", {"alpha": 1.0}), ("logistic", {}), ("poisson", {}), ("negative_binomial", {}), ("tweedie", {})):
-    _boost(_loss, **_kw)
-
-
-@query()
-def boost_quantiles(spark, sf_dir):
-    d = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 97).cast("double").alias("a"), F.col("c_acctbal").alias("y"))
-    models = B.quantile_set(d, B.Spec(["a"], "y", trees=2, depth=2, bins=8, rate=500.0), [0.1, 0.5, 0.9])
-    return _out(B.predict_quantiles(models, d), "c_custkey", "q10", "q50", "q90")
-
-
 CLOSURE = f"""{TREE}, leaf AS (SELECT node FROM tree WHERE node NOT IN (SELECT parent FROM tree WHERE parent IS NOT NULL)), cl AS (SELECT node, node AS leaf FROM leaf UNION ALL SELECT t.parent, cl.leaf FROM cl JOIN tree t ON t.node = cl.node WHERE t.parent IS NOT NULL),
 lv AS (SELECT 'n' || c_nationkey AS leaf, c_mktsegment AS k, sum(c_acctbal) AS mean FROM customer GROUP BY 1, 2), hi AS (SELECT 'n' || c_nationkey AS leaf, count(*)::DOUBLE AS total FROM customer GROUP BY 1)"""
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgrid.functions.columns import rounded
-from loomgrid.operators import boosting as B
 from loomgrid.operators import detectors as D
 from loomgrid.operators import forecasting as X
 from loomgrid.operators import metrics as M
@@ -84,20 +83,3 @@ def filter_sequence(spark, sf_dir):
 @query()
 def split_environmental(spark, sf_dir):
     return S.environmental(V.geo(spark, sf_dir), "id", ["x", "y"], 4)
-
-
-@query("SELECT feature, edge FROM (VALUES " + ", ".join(f"('{c}', {e}::DOUBLE)" for c, es in {"l_linenumber": [1.5, 2.5, 3.5, 4.5, 5.5, 6.5]}.items() for e in es) + ") t(feature, edge)")
-def boost_bin_edges(spark, sf_dir):
-    edges = B.bin_edges(table(spark, sf_dir, "lineitem"), ["l_linenumber"], 16)
-    return spark.createDataFrame([(c, float(e)) for c, es in edges.items() for e in es], "feature string, edge double")
-
-
-@query()
-def boost_hurdle(spark, sf_dir):
-    """Count target by a zero part and a positive part."""
-    s = V.sparse(spark, sf_dir).withColumn("x", F.dayofmonth("ts").cast("double")).withColumn("k", F.col("series_id").cast("double")).withColumn("some", (F.col("y") > 0).cast("double"))
-    spec = {"features": ["x", "k"], "trees": 3, "depth": 2, "bins": 16, "rate": 0.5}
-    zero = B.fit(s, B.Spec(y="some", loss="logistic", **spec))
-    size = B.fit(s.where("y > 0"), B.Spec(y="y", loss="poisson", **spec))
-    made = s.withColumn("prediction", B.transform(zero.spec, B.margin(zero)) * B.transform(size.spec, B.margin(size)))
-    return _out(made, "series_id", "ts", "prediction")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import metric_queries, model_queries, more_queries, panel_queries, scalar_queries, series_queries, space_queries, split_queries  # noqa: F401
+from . import boost_queries, metric_queries, model_queries, more_queries, panel_queries, relation_queries, scalar_queries, series_queries, space_queries, split_queries  # noqa: F401
 from .catalog import QUERIES, SQL
 
 

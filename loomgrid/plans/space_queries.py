@@ -108,11 +108,11 @@ def spatial_s2sls(spark, sf_dir):
     return spark.createDataFrame([(k, float(v)) for k, v in enumerate(S.s2sls(nodes, edges, "node", ["x1"], "y"))], "k int, coefficient double")
 
 
-@query(f"WITH {V.GEO}, s AS (SELECT id, floor((x * 0.6 + y * 0.4) * (1 + id % 3) * (1 + 0.5 * exp(-(x - y) * (x - y) / 200)) * 1000000 + 0.5) / 1000000 AS score FROM geo) SELECT id, {r('score')} AS score FROM s")
+@query(f"WITH {V.GEO}, s AS (SELECT id, floor((x * 0.6 + y * 0.4) * (1 + id % 3) * (1 + 0.5 * exp(-(x - y) * (x - y) / 200)) * 1000000 + 0.5) / 1000000 AS score FROM geo) SELECT id, {r('score')} AS score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM s")
 def spatial_overlay(spark, sf_dir):
     g = V.geo(spark, sf_dir)
     kernel = G.overlay_kernel(F.abs(F.col("x") - F.col("y")), 10.0, "gaussian")
-    return S.overlay(g, "id", {"x": 0.6, "y": 0.4}, 1 + F.col("id") % 3, kernel, 0.5).select("id", rounded("score").alias("score"))
+    return S.overlay(g, "id", {"x": 0.6, "y": 0.4}, 1 + F.col("id") % 3, kernel, 0.5).select("id", rounded("score").alias("score"), "rank")
 
 
 CP = f"{V.DAILY}, ca AS (SELECT series_id AS unit, ts::VARCHAR AS t, y, series_id IN ('purchase') AS tr, ts::VARCHAR >= '2024-01-21' AS po FROM daily)"
@@ -240,16 +240,28 @@ def graph_metapath_walks(spark, sf_dir):
     return N.metapath_walks(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node")), e, ["a", "b"])
 
 
-@query()
+def _walk_step(k: int) -> str:
+    draw = f"md5('time{k}|' || walk || '|' || dst || '|' || timestamp::DECIMAL(38,6)::VARCHAR)"
+    return f"w{k} AS (SELECT walk, m.node, m.tm FROM (SELECT walk, arg_min({{'node': dst, 'tm': timestamp}}, {draw}) AS m FROM w{k - 1} JOIN te ON src = node AND (tm IS NULL OR timestamp > tm + 0.5) GROUP BY 1))"
+
+
+@query(f"""WITH {TE}, w0 AS (SELECT DISTINCT src AS walk, src AS node, NULL::DOUBLE AS tm FROM te), {', '.join(map(_walk_step, (1, 2, 3)))}
+""" + " UNION ALL ".join(f"SELECT walk, {k} AS step, node, {r('tm')} AS \"at\" FROM w{k}" for k in range(4)))
 def graph_temporal_walks(spark, sf_dir):
     e = _timed(spark, sf_dir)
-    return N.temporal_walks(e.select(F.col("src").alias("node")).distinct(), e, 3, 0.5)
+    return _out(N.temporal_walks(e.select(F.col("src").alias("node")).distinct(), e, 3, 0.5))
 
 
-@query()
+NODES = f"{TE}, e AS (SELECT DISTINCT src, dst FROM te), nd AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS index FROM (SELECT src AS node FROM e UNION SELECT dst FROM e)), c AS (SELECT count(*) AS n FROM nd)"
+
+
+@query(f"""WITH {NODES}, s AS (SELECT n, (SELECT max(s) FROM range(1, 100000) t(s) WHERE s <= greatest(1, floor(n * 0.618)) AND gcd(s, n) = 1) AS step FROM c), d AS (SELECT src, count(*) AS d FROM e GROUP BY 1),
+k AS (SELECT e.src, e.dst AS target, unnest(range(least(d + 3, n))) AS k, n, step, ('0x' || left(md5('negstart|' || e.src || '|' || e.dst), 12))::BIGINT AS start FROM e JOIN d ON d.src = e.src, s),
+f AS (SELECT k.src, target, node AS dst, k FROM k JOIN nd ON index = (start % n + k * step) % n WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = k.src AND e.dst = nd.node))
+SELECT src, target, dst FROM f QUALIFY row_number() OVER (PARTITION BY src, target ORDER BY k) <= 3""")
 def graph_negative_edges(spark, sf_dir):
     e = _timed(spark, sf_dir).select("src", "dst").distinct()
-    return N.negative_edges(e, N.indexed(e), 3, 12)
+    return N.negative_edges(e, N.indexed(e), 3)
 
 
 @query(f"WITH {V.FLOWS}, v AS (SELECT n_nationkey AS node, n_regionkey::DOUBLE AS v FROM nation), s AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS s FROM flows), a AS (SELECT v.node, coalesce((SELECT sum(s * u.v) FROM s JOIN v u ON u.node = dst WHERE src = v.node), v.v) AS v FROM v) SELECT a.node, {r('coalesce((SELECT sum(s * u.v) FROM s JOIN a u ON u.node = dst WHERE src = a.node), a.v)')} AS v FROM a")
@@ -270,11 +282,13 @@ def graph_constrained_pick(spark, sf_dir):
     return N.constrained_pick(d, "grp", "id", "score", "pen", F.col("rel") >= 2)
 
 
-@query(f"WITH m AS (SELECT label, avg(embedding[1]) AS a FROM embeddings GROUP BY 1) SELECT vec_id, label < 8 AS known, {r('CASE WHEN label < 8 THEN (SELECT a FROM m WHERE m.label = e.label) ELSE (SELECT avg(a) FROM m WHERE label < 8) END')} AS v0 FROM embeddings e")
+@query(f"""WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings), m AS (SELECT label, k, avg(x) AS a FROM x GROUP BY 1, 2)
+SELECT vec_id, label < 8 AS known, (k - 1)::INTEGER AS k, {r('CASE WHEN label < 8 THEN (SELECT a FROM m WHERE m.label = x.label AND m.k = x.k) ELSE (SELECT avg(a) FROM m WHERE label < 8 AND m.k = x.k) END')} AS v FROM x""")
 def graph_embedding_lookup(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    t = e.where("label < 8").groupBy(F.col("label").alias("key")).agg(F.array(F.avg(F.col("embedding")[0].cast("double"))).alias("v"))
-    return _out(N.embedding_lookup(e.select("vec_id", "label"), "label", t).select("vec_id", "known", F.col("v")[0].alias("v0")))
+    means = e.where("label < 8").select("label", F.posexplode("embedding").alias("k", "x")).groupBy("label", "k").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    t = means.groupBy(F.col("label").alias("key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("v"))
+    return _out(N.embedding_lookup(e.select("vec_id", "label"), "label", t).select("vec_id", "known", F.posexplode("v").alias("k", "v")))
 
 
 @query(f"""WITH e AS (SELECT vec_id AS id, embedding AS v FROM embeddings), p AS (SELECT a.id, b.id AS r_id, list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]) AS c FROM e a JOIN e b ON a.id % 50 = 0 AND a.id <> b.id),
