@@ -5,7 +5,6 @@ from __future__ import annotations
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .columns import col
@@ -40,9 +39,11 @@ def partition_indicators(name: str, values: list) -> dict[str, Column]:
 
 
 def ordinal_map(df: DataFrame, name: str) -> DataFrame:
-    """(category, code): the rank in sorted order, by one window over the distinct categories."""
+    """(category, code): the rank in sorted order, of any number of categories."""
+    from loomgrid.operators.ordered import by_order
+
     distinct = df.select(F.col(name).alias("category")).where("category IS NOT NULL").distinct()
-    return distinct.select("category", (F.row_number().over(W.orderBy("category")) - 1).cast("int").alias("code"))
+    return by_order(distinct, "category", "code").select("category", F.col("code").cast("int").alias("code"))
 
 
 def lookup(df: DataFrame, mapping: DataFrame, name: str, value: str, unknown) -> DataFrame:

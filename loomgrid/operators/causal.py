@@ -65,21 +65,28 @@ def design(df: DataFrame, unit: str, treated: Column, post: Column, y: str, expo
     pre = df.where(~treated & ~post).groupBy(unit).agg(F.avg(y).alias("__m")).crossJoin(F.broadcast(target))
     gap = F.abs(F.col("__m") - F.col("__t"))
     rows = pre.join(exposure, unit, "left").select(unit, F.round(gap, 9).alias("gap"), F.coalesce("exposure", F.lit(0.0)).alias("exposure"))
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("gap", "exposure", unit))).where(F.col("rank") <= k)
+    best = rows.orderBy("gap", "exposure", unit).limit(k)  # k rows
+    return best.withColumn("rank", F.row_number().over(W.orderBy("gap", "exposure", unit)))
 
 
 def exposures(edges: DataFrame, treated: DataFrame) -> DataFrame:
     """(node, exposure): each untreated node's edge weight to treated ones; ``treated`` has (node)."""
     t = treated.select(F.col("node").alias("__t"))
     both = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), "w").unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), "w"))
-    rows = both.join(F.broadcast(t), F.col("other") == F.col("__t"), "left_semi").join(F.broadcast(t), F.col("node") == F.col("__t"), "left_anti")
+    rows = both.join(t, F.col("other") == F.col("__t"), "left_semi").join(t, F.col("node") == F.col("__t"), "left_anti")
     return rows.groupBy("node").agg(F.sum("w").alias("exposure"))
 
 
-def treated_control_distance(units: DataFrame, ident: str) -> DataFrame:
-    """One row: least and mean great-circle distance in km of treated and control units (lat, lng, treated)."""
+def treated_control_distance(units: DataFrame, ident: str, most: int = 10_000) -> DataFrame:
+    """One row: least and mean great-circle distance in km of treated and control units (lat, lng, treated).
+
+    The mean is over all pairs, so treated units, which a design has few of, meet every control; more than ``most`` of them
+    are an error.  Pairs are summed where they are made.
+    """
     t = units.where("treated").select(F.col("lat").alias("a"), F.col("lng").alias("b"))
-    pairs = units.where("NOT treated").crossJoin(F.broadcast(t))  # treated units are the stated, small side
+    if t.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} treated units")
+    pairs = units.where("NOT treated").join(F.broadcast(t))  # counted above
     d = haversine("lat", "lng", "a", "b", EARTH_KM_CAUSAL)
     return pairs.agg(F.min(d).alias("min_km"), F.avg(d).alias("mean_km"))
 
@@ -91,3 +98,42 @@ def centred(df: DataFrame, region: str, columns: list[str]) -> DataFrame:
     out = df.join(w, F.col(region) == F.col("__r")).crossJoin(F.broadcast(g))
     out = out.withColumns({c: F.col(c) - F.col(f"__{c}") + F.col(f"__g_{c}") for c in columns})
     return out.select(*df.columns)
+
+
+def representation_report(df: DataFrame, region: str, features: list[str], y: str, heldout: str, ridge: float = 1.0) -> DataFrame:
+    """One row (raw_rmse, invariant_rmse, improvement, training_loss, domain_loss, risk_penalty, variation): a ridge regression
+    on all regions but one, judged on that one, from the features as they are and less their region's means.
+
+    domain_loss is the mean distance between two regions' mean features, variation the mean absolute step between a row's
+    neighbouring features; both of the features less their regions' means.
+    """
+    moved = centred(df, region, features)
+    out = []
+    for rows in (df, moved):
+        train, test = rows.where(F.col(region) != heldout), rows.where(F.col(region) == heldout)
+        beta = ridge_fit(train, features, y, ridge)
+        fit = F.lit(beta[0])
+        for b, c in zip(beta[1:], features, strict=True):
+            fit = fit + F.col(c) * b
+        mse = lambda d, fit=fit: float(d.agg(F.avg(F.pow(F.col(y) - fit, F.lit(2.0)))).first()[0] or 0.0)
+        out += [mse(test) ** 0.5, mse(train)]
+    raw, _, invariant, loss = out
+    means = moved.groupBy(region).agg(*[F.avg(c).alias(c) for c in features])  # a row a region
+    other = means.select(F.col(region).alias("__r"), *[F.col(c).alias(f"__{c}") for c in features])
+    gap = F.sqrt(sum((F.pow(F.col(c) - F.col(f"__{c}"), F.lit(2.0)) for c in features), F.lit(0.0)))
+    domain = means.join(other, F.col(region) < F.col("__r")).agg(F.avg(gap)).first()[0] or 0.0
+    steps = [F.abs(F.col(b) - F.col(a)) for a, b in zip(features, features[1:], strict=False)]
+    variation = moved.agg(F.avg(sum(steps[1:], steps[0]) / len(steps))).first()[0] if steps else 0.0
+    row = (raw, invariant, raw - invariant, loss, float(domain), abs(raw - invariant), float(variation))
+    return df.sparkSession.createDataFrame([row], "raw_rmse double, invariant_rmse double, improvement double, training_loss double, domain_loss double, risk_penalty double, variation double")
+
+
+def ridge_fit(df: DataFrame, features: list[str], y: str, ridge: float) -> list[float]:
+    """[intercept, coefficients] with a penalty on all but the intercept, from one aggregation."""
+    import numpy as np
+
+    from loomgrid.operators.spatial import normal_equations
+
+    xtx, xty, _, _ = normal_equations(df, features, y)
+    penalty = np.diag([0.0] + [ridge] * len(features))
+    return [float(b) for b in np.linalg.solve(xtx + penalty, xty)]

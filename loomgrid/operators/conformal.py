@@ -10,19 +10,26 @@ from pyspark.sql import functions as F
 
 from loomgrid.operators.joins import nearest
 from loomgrid.operators.metrics import weighted_quantile
+from loomgrid.operators.ordered import bucket_of, running
+from loomgrid.sources.shared import Tables
 
 
 def split_radius(calibration: DataFrame, by: list[str], residual: Column, alpha: float, clamp: bool = False) -> DataFrame:
     """(by, n, radius): the ceil((n + 1)(1 - alpha))-th smallest absolute residual; null, or the largest with
     ``clamp``, where there are too few.
 
-    Residuals are counted by value first, so what is ordered are the distinct ones of a group.
+    Residuals are counted by value first, so what is ordered are the distinct ones of a group; without groups they are
+    ordered in ranges.
     """
     rows = calibration.select(*by, F.abs(residual).alias("__r")).groupBy(*by, "__r").agg(F.count(F.lit(1)).alias("__n"))
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
-    rows = rows.withColumn("__c", F.sum("__n").over(w.orderBy("__r").rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("__n").over(w))
+    if by:
+        w = W.partitionBy(*by)
+        rows = rows.withColumn("__upto", F.sum("__n").over(w.orderBy("__r").rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("__n").over(w))
+    else:
+        whole = rows.agg(F.sum("__n").alias("n"))
+        rows = running(rows, "__r", {"__upto": F.col("__n")}).crossJoin(F.broadcast(whole))  # one row
     k = F.ceil(F.round((F.col("n") + 1) * (1 - alpha), 9))
-    out = rows.groupBy(*by).agg(F.max("n").alias("n"), F.min(F.when(F.col("__c") >= k, F.col("__r"))).alias("radius"), F.max("__r").alias("__top"))
+    out = rows.groupBy(*by).agg(F.max("n").alias("n"), F.min(F.when(F.col("__upto") >= k, F.col("__r"))).alias("radius"), F.max("__r").alias("__top"))
     return out.withColumn("radius", F.coalesce("radius", "__top") if clamp else F.col("radius")).drop("__top")
 
 
@@ -59,27 +66,48 @@ def report(df: DataFrame, by: list[str], y: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(y).between(F.col("lower"), F.col("upper")).cast("double")).alias("coverage"), F.avg(F.col("upper") - F.col("lower")).alias("width"))
 
 
-def isotonic(df: DataFrame, score: str, y: str, most: int = 1_000_000) -> list[tuple[float, float]]:
-    """Pool-adjacent-violators over distinct scores: (largest score of a block, its mean), rising.
+def _pool(blocks: list[list[float]]) -> list[list[float]]:
+    """Adjacent violators pooled: blocks (largest score, sum, count) with rising means."""
+    out: list[list[float]] = []
+    for block in blocks:
+        out.append(list(block))
+        while len(out) > 1 and out[-2][1] / out[-2][2] >= out[-1][1] / out[-1][2]:
+            top, s, n = out.pop()
+            out[-1] = [top, out[-1][1] + s, out[-1][2] + n]
+    return out
 
-    Distinct scores are aggregated first; more than ``most`` of them are an error.
+
+def isotonic(df: DataFrame, score: str, y: str, rows_a_range: int = 50_000) -> DataFrame:
+    """(upto, rate): the blocks of isotonic regression, each with its largest score and mean, rising.
+
+    Distinct scores are counted, and pooled within ranges of the score; the ranges' blocks are pooled again over twice as
+    wide ranges, until one range is left.  Pooling in parts gives the same blocks as pooling at once.  Of noisy labels few
+    blocks are left early on; a rate that rises by itself at every score keeps a block a distinct score, and these meet in
+    the last range's task.
     """
-    rows = df.groupBy(score).agg(F.sum(F.col(y).cast("double")).alias("s"), F.count(F.lit(1)).alias("n")).orderBy(score).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError("too many distinct scores; round them first")
-    blocks: list[list[float]] = []
-    for r in rows:
-        blocks.append([float(r[0]), r.s, r.n])
-        while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
-            top, s, n = blocks.pop()
-            blocks[-1] = [top, blocks[-1][1] + s, blocks[-1][2] + n]
-    return [(top, s / n) for top, s, n in blocks]
+    rows = df.groupBy(F.col(score).cast("double").alias("upto")).agg(F.sum(F.col(y).cast("double")).alias("s"), F.count(F.lit(1)).cast("double").alias("n")).where("upto IS NOT NULL")
+
+    def run(part):
+        import pandas as pd
+
+        part = part.sort_values("upto")
+        made = _pool(part[["upto", "s", "n"]].values.tolist())
+        return pd.DataFrame(made, columns=["upto", "s", "n"]).assign(b=int(part["b"].iloc[0]) // 2)
+
+    ranges = 1 << max(0, (max(1, rows.count()) // rows_a_range).bit_length())
+    rows = rows.withColumn("b", bucket_of(rows, "upto", ranges).cast("int") if ranges > 1 else F.lit(0))
+    while True:
+        rows = rows.groupBy("b").applyInPandas(run, "upto double, s double, n double, b int")
+        if ranges == 1:
+            return rows.select("upto", (F.col("s") / F.col("n")).alias("rate"))
+        ranges //= 2
 
 
 def platt(df: DataFrame, score: str, y: str, rounds: int = 64) -> tuple[float, float]:
     """(a, b) of sigmoid(a score + b) by Newton steps; every step is one aggregation of five sums."""
     a, b = 0.0, 0.0
-    rows = df.groupBy(F.col(score).cast("double").alias("x")).agg(F.sum(F.col(y).cast("double")).alias("s"), F.count(F.lit(1)).cast("double").alias("n")).cache()
+    tables = Tables(df.sparkSession, "platt")
+    rows = tables.save(df.groupBy(F.col(score).cast("double").alias("x")).agg(F.sum(F.col(y).cast("double")).alias("s"), F.count(F.lit(1)).cast("double").alias("n")))
     try:
         for _ in range(rounds):
             p = 1 / (1 + F.exp(-(F.col("x") * a + b)))
@@ -93,7 +121,7 @@ def platt(df: DataFrame, score: str, y: str, rounds: int = 64) -> tuple[float, f
             if max(abs(da), abs(db)) < 1e-10:
                 break
     finally:
-        rows.unpersist()
+        tables.close()
     return a, b
 
 

@@ -163,16 +163,8 @@ auto_arima = _auto("auto_arima", R.arima, ARIMA_GRID)
 
 def intermittent(df: DataFrame, p: Panel, horizon: int) -> DataFrame:
     """Zero, TSB, SBA, Croston or ADIDA, whichever loses least on the holdout (first of equal ones)."""
-    models = [lambda y: 0.0, R.tsb, R.sba, R.croston, R.adida]
-
     def f(y: np.ndarray, h: int) -> np.ndarray:
-        k = R.holdout(len(y))
-        if len(y) <= k:
-            return np.full(h, R.croston(y))
-        train, test = y[:-k], y[-k:]
-        level = np.abs(test).sum()
-        losses = [np.abs(m(train) - test).sum() / level if level else abs(m(train)) * k for m in models]
-        return np.full(h, models[int(np.argmin(losses))](y))
+        return np.full(h, R.intermittent(y))
 
     return per_series(df, p, "intermittent_demand", horizon, f)
 
@@ -214,7 +206,7 @@ def ensemble(members: list[DataFrame], weights: list[float], keys: tuple[str, ..
 
 def validation_weights(scores: DataFrame, by: list[str], score: str = "score", model: str = "model", top: int = 4) -> DataFrame:
     """(by, model, weight): the best ``top`` models, weight as (best / score)^2; all on exact zeros."""
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
+    w = W.partitionBy(*by)  # a group has a row a model
     rows = scores.withColumn("__k", F.row_number().over(w.orderBy(score, model))).where(F.col("__k") <= top).withColumn("__best", F.min(score).over(w))
     raw = F.when(F.col("__best") == 0, F.when(F.col(score) == 0, 1.0).otherwise(0.0)).otherwise(F.pow(F.col("__best") / F.col(score), F.lit(2.0)))
     rows = rows.withColumn("__w", raw)
@@ -271,6 +263,28 @@ def bounded_simplex(w: np.ndarray, low: float, high: float) -> np.ndarray:
     return np.clip(w - (a + b) / 2, low, high)
 
 
+def _seasonal_tail(y: np.ndarray, h: int, season: int, cycles: int = 1) -> np.ndarray:
+    """Means at the same phase over the last cycles; the last value for series shorter than a cycle."""
+    if len(y) < season:
+        return np.full(h, y[-1])
+    tail = y[-season * cycles :][::-1]
+    phase = np.array([tail[k::season].mean() for k in range(season)])[::-1]
+    return phase[np.arange(h) % season]
+
+
+#: Every model as a function of one series' values in time order, for passes that try many of them at once.
+ARRAYS: dict[str, Callable[..., np.ndarray]] = {
+    "naive": lambda y, h: np.full(h, y[-1]), "seasonal_naive": lambda y, h, season=7: _seasonal_tail(y, h, season),
+    "window_average": lambda y, h, size=7: np.full(h, y[-size:].mean()), "seasonal_window_average": lambda y, h, season=7, cycles=3: _seasonal_tail(y, h, season, cycles),
+    "theta": R.theta, "optimized_theta": lambda y, h: R.theta(y, h, **_chosen(y, R.theta, THETA_GRID)), "ets": R.ets, "auto_ets": lambda y, h: R.ets(y, h, **_chosen(y, R.ets, ETS_GRID)),
+    "arima": lambda y, h, order=(1, 0, 0): R.arima(y, h, *order), "auto_arima": lambda y, h: R.arima(y, h, **_chosen(y, R.arima, ARIMA_GRID)),
+    "local_level_kalman": lambda y, h, process=0.1, noise=1.0: np.full(h, R.kalman_level(y, process, noise)[0][-1]),
+    "kalman": lambda y, h, **kw: (lambda s: s[0] + s[1] * np.arange(1, h + 1))(R.kalman_trend(y, **kw)),
+    "croston": lambda y, h, alpha=0.1: np.full(h, R.croston(y, alpha)), "sba": lambda y, h, alpha=0.1: np.full(h, R.sba(y, alpha)),
+    "tsb": lambda y, h, alpha=0.1, beta=0.1: np.full(h, R.tsb(y, alpha, beta)), "adida": lambda y, h, bucket=7, alpha=0.1: np.full(h, R.adida(y, bucket, alpha)),
+    "intermittent_demand": lambda y, h: np.full(h, R.intermittent(y)), "piecewise_linear_seasonal": R.piecewise,
+}
+
 #: The candidates of ``auto_forecast``: name and parameters, fixed values.
 CANDIDATES = [
     ("naive", {}), ("seasonal_naive", {"season": 7}), ("window_average", {"size": 7}), ("seasonal_window_average", {"season": 7, "cycles": 3}), ("theta", {}), ("ets", {}),
@@ -278,27 +292,202 @@ CANDIDATES = [
 ]
 
 
+def run_all(df: DataFrame, p: Panel, horizon: int, candidates: list[tuple[str, dict]], key: str | None = None) -> DataFrame:
+    """(key, ts, horizon, model, mean) of all candidates, tried in one pass over each series' group."""
+    key = key or p.series
+    schema = T.StructType([T.StructField(key, T.StringType()), T.StructField("horizon", T.IntegerType()), T.StructField("model", T.StringType()), T.StructField("mean", T.DoubleType())])
+
+    def run(k: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        y = rows.sort_values(p.ts)[p.y].to_numpy(dtype=float)
+        parts = [pd.DataFrame({key: k[0], "horizon": np.arange(1, horizon + 1, dtype=np.int32), "model": name, "mean": np.asarray(ARRAYS[name](y, horizon, **kw), float)}) for name, kw in candidates]
+        return pd.concat(parts)
+
+    rows = df.where(F.col(p.y).isNotNull() & ~F.isnan(p.y))
+    made = rows.select(key, p.ts, p.y).groupBy(key).applyInPandas(run, schema)
+    last = df.groupBy(key).agg(F.max(p.ts).alias("__last"))
+    return made.join(last, key).select(key, advance(F.col("__last"), p.freq, F.col("horizon")).alias(p.ts), "horizon", "model", "mean")
+
+
+def backtest_all(df: DataFrame, p: Panel, folds: DataFrame, horizon: int, candidates: list[tuple[str, dict]]) -> DataFrame:
+    """(fold_id, series, ts, horizon, model, mean, y): all candidates on each fold's training rows, in one shuffle."""
+    rows = df.join(F.broadcast(folds), p.ts).withColumn("__key", F.concat_ws("\x1f", "fold_id", p.series))
+    made = run_all(rows.where("role = 'train'"), p, horizon, candidates, "__key")
+    test = rows.where("role = 'test'").select("__key", p.ts, p.y, p.series, "fold_id")
+    return made.join(test, ["__key", p.ts]).drop("__key")
+
+
 def auto_forecast(df: DataFrame, p: Panel, horizon: int, folds: DataFrame, candidates: list[tuple[str, dict]] | None = None, top: int = 2) -> DataFrame:
     """The best candidates of a rolling-origin backtest by the mean of relative RMSE and WAPE, blended by their
     validation weights within 0.15..0.85, and not below 0 where the history isn't."""
     from loomgrid.operators.metrics import forecast_metrics
 
-    scored = None
-    for name, kw in candidates or CANDIDATES:
-        part = backtest(df, p, folds, MODELS[name], horizon, **kw)
-        scored = part if scored is None else scored.unionByName(part)
+    scored = backtest_all(df, p, folds, horizon, candidates or CANDIDATES)
     m = forecast_metrics(scored, ["model", "fold_id"]).groupBy("model").agg(F.avg("rmse").alias("r"), F.avg("wape").alias("w"))
     best = m.agg(F.min("r").alias("br"), F.min("w").alias("bw"))
     m = m.crossJoin(best).select("model", (F.col("r") / F.greatest("br", F.lit(1e-12)) + F.col("w") / F.greatest("bw", F.lit(1e-12))).alias("score"))
-    weights = {r.model: r.weight for r in validation_weights(m, [], top=top).collect()}
+    weights = {r.model: r.weight for r in validation_weights(m, [], top=top).collect()}  # a row a candidate
     share = bounded_simplex(np.array(list(weights.values())), 0.15, 0.85) if len(weights) > 1 else np.ones(1)
     params = dict(candidates or CANDIDATES)
-    out = ensemble([MODELS[n](df, p, horizon, **params[n]) for n in weights], list(share), (p.series, p.ts, "horizon"))
+    made = run_all(df, p, horizon, [(n, params[n]) for n in weights])
+    by_model = dict(zip(weights, map(float, share), strict=True))
+    w = F.create_map(*[F.lit(x) for kv in by_model.items() for x in kv])
+    out = made.groupBy(p.series, p.ts, "horizon").agg(F.sum(F.col("mean") * w[F.col("model")]).alias("mean"))
     low = df.groupBy(p.series).agg(F.min(p.y).alias("__low"))
     mean = F.when(F.col("__low") >= 0, F.greatest("mean", F.lit(0.0))).otherwise(F.col("mean"))
     return out.join(low, p.series).select(p.series, p.ts, "horizon", F.lit("auto_forecaster").alias("model"), mean.alias("mean"))
 
 
+def split_last(df: DataFrame, p: Panel, window: int) -> tuple[DataFrame, DataFrame]:
+    """(training, validation): each series' rows but its last ``window``, and those; an error for shorter series."""
+    back = F.row_number().over(W.partitionBy(p.series).orderBy(F.desc(p.ts)))
+    rows = observed(df, p).drop("anchor").withColumn("__back", back)
+    if df.groupBy(p.series).count().where(F.col("count") <= window).take(1):
+        raise ValueError("a series is too short for its validation rows")
+    return rows.where(F.col("__back") > window).drop("__back"), rows.where(F.col("__back") <= window).drop("__back")
+
+
+#: The experts of the classical bank, fixed values.
+EXPERTS = [
+    ("naive", {}), ("seasonal_naive", {"season": 7}), ("window_average", {"size": 7}), ("seasonal_window_average", {"season": 7, "cycles": 3}), ("theta", {}), ("optimized_theta", {}),
+    ("ets", {}), ("auto_ets", {}), ("auto_arima", {}), ("local_level_kalman", {}), ("kalman", {}),
+]
+
+
+def bank_scores(df: DataFrame, p: Panel, window: int, experts: list[tuple[str, dict]] | None = None, objective: str = "mse", season: int = 7) -> DataFrame:
+    """(model, loss, n) over all series' last ``window`` rows: the mean squared error, or the mean of sMAPE and MASE."""
+    from loomgrid.operators.metrics import forecast_metrics, naive_scale
+
+    train, test = split_last(df, p, window)
+    rows = run_all(train, p, window, experts or EXPERTS).join(test.select(p.series, p.ts, F.col(p.y).alias("y")), [p.series, p.ts])
+    if objective == "mse":
+        return rows.groupBy("model").agg(F.avg(F.pow(F.col("mean") - F.col("y"), F.lit(2.0))).alias("loss"), F.count(F.lit(1)).alias("n"))
+    m = forecast_metrics(rows, ["model", p.series], naive=None).join(naive_scale(train, p.series, p.ts, p.y, season, [p.series]), p.series)
+    mase = F.when(F.col("naive_mae") != 0, F.col("mae") / F.col("naive_mae"))
+    return m.groupBy("model").agg(F.avg((F.col("smape") + F.coalesce(mase, F.lit(0.0))) / 2).alias("loss"), F.count(F.lit(1)).alias("n"))
+
+
+def expert_bank(df: DataFrame, p: Panel, horizon: int, window: int, experts: list[tuple[str, dict]] | None = None, objective: str = "mse") -> DataFrame:
+    """The forecast of the expert of least validation loss over all series, the first listed of equal ones."""
+    experts = experts or EXPERTS
+    order = {n: k for k, (n, _) in enumerate(experts)}
+    losses = {r.model: round(r.loss, 9) for r in bank_scores(df, p, window, experts, objective).collect()}  # a row an expert
+    best = min(losses, key=lambda n: (losses[n], order[n]))
+    return run_all(df, p, horizon, [(best, dict(experts)[best])])
+
+
+def lag_plus(df: DataFrame, p: Panel, horizon: int, base: tuple[str, dict], window: int, period: int | None = None, strength: float = 5.0) -> DataFrame:
+    """The base model's forecast plus corrections from the last ``window`` rows: mean residuals by step, then by phase of
+    the day number modulo ``period``, then by series, each shrunk by n / (n + strength).  They are left out where they
+    don't lower the RMSE there."""
+    train, test = split_last(df, p, window)
+    rows = run_all(train, p, window, [base]).join(test.select(p.series, p.ts, F.col(p.y).alias("y")), [p.series, p.ts])
+    phase = F.pmod(F.datediff(p.ts, F.lit("1970-01-01")), F.lit(period or 1))
+    rows = rows.withColumn("__r", F.col("y") - F.col("mean")).withColumn("__phase", phase)
+    shrunk = lambda name: (F.avg("__r") * F.count(F.lit(1)) / (F.count(F.lit(1)) + strength)).alias(name)
+    left = rows
+    tables = []
+    for by, name in (("horizon", "__ch"), *([("__phase", "__cp")] if period else []), (p.series, "__cs")):
+        table = left.groupBy(by).agg(shrunk(name))
+        tables.append((by, name, table))
+        left = left.join(table, by).withColumn("__r", F.col("__r") - F.col(name))
+    before, after = left.agg(F.avg(F.pow(F.col("y") - F.col("mean"), F.lit(2.0))), F.avg(F.pow("__r", F.lit(2.0)))).first()
+    out = run_all(df, p, horizon, [base]).withColumn("__phase", phase)
+    total = F.lit(0.0)
+    if after is not None and after <= before:
+        for by, name, table in tables:
+            out = out.join(table, by, "left")
+            total = total + F.coalesce(name, F.lit(0.0))
+    return out.select(p.series, p.ts, "horizon", F.lit("lag_plus").alias("model"), (F.col("mean") + total).alias("mean"))
+
+
+def scaled(f: Callable[..., DataFrame], least: float = 1e-6) -> Callable[..., DataFrame]:
+    """The model on each series less its mean and over its population deviation (at least ``least``), mapped back."""
+
+    def run(df: DataFrame, p: Panel, horizon: int, **kw) -> DataFrame:
+        stats = observed(df, p).groupBy(p.series).agg(F.avg(p.y).alias("__m"), F.greatest(F.stddev_pop(p.y), F.lit(least)).alias("__s"))
+        made = f(df.join(stats, p.series).withColumn(p.y, (F.col(p.y) - F.col("__m")) / F.col("__s")).drop("__m", "__s"), p, horizon, **kw)
+        return made.join(stats, p.series).select(p.series, p.ts, "horizon", F.concat(F.lit("scaled_"), "model").alias("model"), (F.col("mean") * F.col("__s") + F.col("__m")).alias("mean"))
+
+    return run
+
+
+#: Variances tried by the automatic filters, fixed values.
+KALMAN_GRID = [{"level_noise": a, "trend_noise": b, "noise": c} for a, b, c in product((0.01, 0.1, 1.0), (0.001, 0.01, 0.1), (0.1, 1.0, 10.0))]
+LEVEL_GRID = [{"process": a, "noise": c} for a, c in product((0.01, 0.1, 1.0), (0.1, 1.0, 10.0))]
+
+
+def _auto_filter(df: DataFrame, p: Panel, grid: list[dict], window: int, score: Callable[[np.ndarray, np.ndarray, dict], tuple[float, float]]) -> dict:
+    """The grid's member of least summed predictive negative log-likelihood (then squared error) over all series' last rows."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        y = rows.sort_values(p.ts)[p.y].to_numpy(dtype=float)
+        k = min(window, max(0, len(y) - 2))
+        found = [score(y[: len(y) - k], y[len(y) - k :], g) for g in grid]
+        return pd.DataFrame({"g": range(len(grid)), "nll": [x for x, _ in found], "sse": [x for _, x in found]})
+
+    sums = observed(df, p).select(p.series, p.ts, p.y).groupBy(p.series).applyInPandas(run, "g int, nll double, sse double").groupBy("g").agg(F.sum("nll").alias("nll"), F.sum("sse").alias("sse")).collect()
+    return grid[min(sums, key=lambda r: (round(r.nll, 9), round(r.sse, 9), r.g)).g]
+
+
+def _normal_nll(errors: np.ndarray, variances: np.ndarray) -> float:
+    return float(0.5 * (np.log(2 * np.pi * variances) + errors * errors / variances).sum())
+
+
+def auto_kalman_level(df: DataFrame, p: Panel, horizon: int, window: int = 5, grid: list[dict] | None = None) -> DataFrame:
+    def score(a: np.ndarray, b: np.ndarray, g: dict) -> tuple[float, float]:
+        levels, variances, _ = R.kalman_level(a, **g)
+        err = b - levels[-1]
+        return _normal_nll(err, variances[-1] + g["process"] * np.arange(1, len(b) + 1) + g["noise"]), float((err * err).sum())
+
+    best = _auto_filter(df, p, grid or LEVEL_GRID, window, score)
+    return kalman(df, p, horizon, **best).withColumn("model", F.lit("auto_local_level_kalman"))
+
+
+def auto_kalman_trend(df: DataFrame, p: Panel, horizon: int, window: int = 5, grid: list[dict] | None = None) -> DataFrame:
+    def score(a: np.ndarray, b: np.ndarray, g: dict) -> tuple[float, float]:
+        means, variances = R.trend_distribution(a, len(b), **g)
+        err = b - means
+        return _normal_nll(err, variances), float((err * err).sum())
+
+    best = _auto_filter(df, p, grid or KALMAN_GRID, window, score)
+    return kalman_trend(df, p, horizon, **best).withColumn("model", F.lit("auto_kalman"))
+
+
+def decomposed(df: DataFrame, p: Panel, horizon: int, seasons: list[int], rest: Callable[..., DataFrame], **kw) -> DataFrame:
+    """The seasonal parts' last cycles repeated on a forecast of what they leave, by any model: with one season by STL,
+    with several by MSTL.  Seasons longer than half a series have no part in it."""
+    from loomgrid.operators.detectors import decompose, decompose_multiple
+
+    parts = decompose(observed(df, p).drop("anchor"), p, seasons[0]).withColumnRenamed("seasonal", f"seasonal_{seasons[0]}") if len(seasons) == 1 else decompose_multiple(observed(df, p).drop("anchor"), p, seasons)
+    names = [f"seasonal_{m}" for m in seasons]
+    plain = parts.select(p.series, p.ts, (F.col("trend") + F.col("remainder")).alias(p.y))
+    out = rest(plain, p, horizon, **kw)
+    back = parts.withColumn("__back", F.row_number().over(W.partitionBy(p.series).orderBy(F.desc(p.ts))))
+    mean = F.col("mean")
+    for m, name in zip(seasons, names, strict=True):
+        cycle = back.where(F.col("__back") <= m).select(p.series, F.col("__back").alias(f"__at{m}"), F.col(name).alias(f"__s{m}"))
+        out = out.withColumn(f"__at{m}", m - (F.col("horizon") - 1) % m).join(cycle, [p.series, f"__at{m}"], "left")
+        mean = mean + F.coalesce(f"__s{m}", F.lit(0.0))
+    kind = "stl_" if len(seasons) == 1 else "mstl_"
+    return out.select(p.series, p.ts, "horizon", F.concat(F.lit(kind), "model").alias("model"), mean.alias("mean"))
+
+
+def kriged(df: DataFrame, p: Panel, horizon: int, places: DataFrame, k: int, radius: float, kind: str = "exponential", scale: float = 1.0, sill: float = 1.0, nugget: float = 0.1, window: int = 5, base: tuple[str, dict] = ("naive", {})) -> DataFrame:
+    """The base model's forecast plus its mean residual over each series' last ``window`` rows, kriged from the k nearest
+    series' residuals; ``places`` is (series, x, y).  A series without a neighbour within the radius keeps the base."""
+    from loomgrid.operators.joins import nearest
+    from loomgrid.operators.spatial import krige
+
+    train, test = split_last(df, p, window)
+    rows = run_all(train, p, window, [base]).join(test.select(p.series, p.ts, F.col(p.y).alias("__y")), [p.series, p.ts])
+    level = rows.groupBy(p.series).agg(F.avg(F.col("__y") - F.col("mean")).alias("level"))
+    at = places.join(level, p.series)
+    made = krige(nearest(at, at, p.series, k, radius), p.series, "level", kind, scale, sill, nugget).select(p.series, F.col("mean").alias("__c"))
+    out = run_all(df, p, horizon, [base]).join(made, p.series, "left")
+    name = "kriging" if base[0] == "naive" else f"spatial_{base[0]}"
+    return out.select(p.series, p.ts, "horizon", F.lit(name).alias("model"), (F.col("mean") + F.coalesce("__c", F.lit(0.0))).alias("mean"))
+
+
 def _lag_matrix(y: np.ndarray, lags: list[int], windows: list[int]) -> list[float]:
     return [y[-k] for k in lags] + [y[-w:].mean() for w in windows]
 
@@ -351,4 +540,47 @@ def boosted_direct(df: DataFrame, p: Panel, horizon: int, lags=(1, 7), windows=(
     return out
 
 
-MODELS |= {"boosted_lag": boosted_lags, "boosted_direct": boosted_direct}
+def rectified_lags(df: DataFrame, p: Panel, horizon: int, lags=(1, 7), windows=(7,), keep=None, **spec) -> DataFrame:
+    """Recursive boosted forecasts, each step corrected by a booster of its own: it learns, from the lag features at an
+    origin, how far the recursion from that origin was off at that step."""
+    from loomgrid.operators import boosting as B
+    from loomgrid.operators.windows import lag_features
+
+    lags, windows = list(lags), list(windows)
+    names, need = lag_names(lags, windows), max([*lags, *windows])
+    seen = observed(df, p).drop("anchor").select(p.series, p.ts, p.y)
+    model = B.fit(lag_features(seen, p, lags=lags, means=windows), B.Spec(names, p.y, **spec), keep)
+    value = lambda x: model.init + sum(B.tree_score(t, x) for t in model.trees)
+    fields = [T.StructField(p.series, T.StringType()), T.StructField("origin", T.IntegerType()), T.StructField("step", T.IntegerType()), *[T.StructField(n, T.DoubleType()) for n in names], T.StructField("made", T.DoubleType()), T.StructField("off", T.DoubleType())]
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        y = rows.sort_values(p.ts)[p.y].to_numpy(dtype=float)
+        out = []
+        for origin in range(min(need, len(y)), len(y) + 1):
+            if origin < need:
+                out += [(key[0], origin, s, *[float("nan")] * len(names), y[-1], float("nan")) for s in range(1, horizon + 1)]
+                continue
+            hist = list(y[origin - need : origin])
+            first = _lag_matrix(np.array(hist), lags, windows)
+            for s in range(1, horizon + 1):
+                hist.append(value(dict(zip(names, _lag_matrix(np.array(hist[-need:]), lags, windows), strict=True))))
+                there = origin + s - 1
+                out.append((key[0], origin, s, *first, hist[-1], y[there] - hist[-1] if there < len(y) else float("nan")))
+        return pd.DataFrame(out, columns=[f.name for f in fields])
+
+    from loomgrid.sources.shared import Tables
+
+    tables = Tables(df.sparkSession, "rectified")
+    rows = tables.save(seen.groupBy(p.series).applyInPandas(run, T.StructType(fields)))
+    ends = seen.groupBy(p.series).agg(F.count(F.lit(1)).cast("int").alias("origin"), F.max(p.ts).alias("__last"))
+    now = rows.join(ends, [p.series, "origin"])
+    out = None
+    for step in range(1, horizon + 1):
+        fix = B.fit(rows.where((F.col("step") == step) & ~F.isnan("off")), B.Spec(names, "off", **spec), keep)
+        mean = F.when(F.isnan(names[0]), F.col("made")).otherwise(F.col("made") + B.margin(fix))
+        part = now.where(F.col("step") == step).select(p.series, advance(F.col("__last"), p.freq, F.lit(step)).alias(p.ts), F.lit(step).alias("horizon"), F.lit("rectified_recursive").alias("model"), mean.alias("mean"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+MODELS |= {"boosted_lag": boosted_lags, "boosted_direct": boosted_direct, "rectified_recursive": rectified_lags, "auto_local_level_kalman": auto_kalman_level, "auto_kalman": auto_kalman_trend}

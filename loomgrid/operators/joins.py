@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgrid.functions.geometry import in_polygon, squared_euclidean
+from loomgrid.operators.ordered import bucket_of
+from loomgrid.sources.shared import Tables
 
 
 def _cell(v: str, size: float) -> Column:
@@ -46,12 +48,65 @@ def beyond(df: DataFrame, others: DataFrame, radius: float, ident: str, x: str =
     return df.join(near, ident, "left_anti")
 
 
-def asof(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """``left`` with right's latest ``value`` at or before its time: one union and one window a key."""
+def asof(left: DataFrame, right: DataFrame, key: str, at: str, value: str, ranges: int = 64) -> DataFrame:
+    """``left`` with right's latest ``value`` at or before its time.
+
+    Both sides are cut into ranges of time, so that a key with any share of the rows spreads over tasks; the last value of
+    each key and range, a row each, is carried into the key's later ranges.
+    """
+    when = lambda c: F.col(c).cast("timestamp").cast("double")
     marks = right.select(key, at, F.col(value).alias("__v"), F.lit(0).alias("__side"))
     rows = left.withColumn("__side", F.lit(1)).unionByName(marks, allowMissingColumns=True)
-    w = W.partitionBy(key).orderBy(at, "__side").rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn(value, F.last("__v", ignorenulls=True).over(w)).where("__side = 1").drop("__v", "__side")
+    rows = rows.withColumn("__t", when(at) if "time" in str(left.schema[at].dataType).lower() or "date" in str(left.schema[at].dataType).lower() else F.col(at).cast("double"))
+    rows = rows.withColumn("__range", bucket_of(rows, "__t", ranges))
+    heads = rows.where("__side = 0").groupBy(F.col(key).alias("__k"), F.col("__range").alias("__b")).agg(F.max_by("__v", at).alias("__e"))
+    spans = rows.select(F.col(key).alias("__k"), F.col("__range").alias("__b")).distinct().join(heads, ["__k", "__b"], "left")
+    before = W.partitionBy("__k").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    spans = spans.withColumn("__carried", F.last("__e", ignorenulls=True).over(before)).drop("__e")
+    w = W.partitionBy(key, "__range").orderBy(at, "__side").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("__own", F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
+    rows = rows.join(spans, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__range") == F.col("__b")), "left")
+    return rows.withColumn(value, F.coalesce("__own", "__carried")).drop("__v", "__side", "__t", "__range", "__k", "__b", "__own", "__carried")
+
+
+def nearest_any(left: DataFrame, right: DataFrame, ident: str, k: int, x: str = "x", y: str = "y", least: int = 0, most: float | None = None) -> DataFrame:
+    """Each left row's k nearest right rows at any distance (ties by id, never itself), ranked from 1; with ``most`` only
+    those as near; left rows with fewer than ``least`` are absent.
+
+    Rings: a row with k neighbours within a radius is done, as nothing beyond can be nearer; the others go on with twice the
+    radius.  The first radius is one that holds few rows where they stand densest, so no dense place is paired whole.
+    """
+    tables = Tables(left.sparkSession, "nearest")
+    box = right.agg(F.min(x), F.max(x), F.min(y), F.max(y), F.count(F.lit(1))).first()
+    own = left.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    if not box[4] or own[0] is None:
+        empty = within(left, right, 1.0, x, y).withColumn("rank", F.lit(1))
+        return empty.limit(0)
+    width, height = max(box[1], own[1]) - min(box[0], own[0]), max(box[3], own[3]) - min(box[2], own[2])
+    reach = ((width * width + height * height) ** 0.5 or 1.0) * 1.001
+    cell = reach / 1024
+    crowded = right.groupBy(_cell(x, cell), _cell(y, cell)).count().agg(F.max("count")).first()[0]
+    radius = min(reach, cell * max(1.0, (4.0 * (k + 1) / crowded) ** 0.5))
+    if most is not None:
+        reach, radius = min(reach, most), min(radius, most)
+    w = W.partitionBy(ident)
+    rest, out = left, None
+    while True:
+        pairs = within(rest, right, radius, x, y).where(F.col(ident) != F.col(f"r_{ident}"))
+        found = pairs.withColumn("rank", F.row_number().over(w.orderBy("distance", f"r_{ident}"))).where(F.col("rank") <= k)
+        last = radius >= reach
+        if not last:
+            full = found.groupBy(ident).count().where(F.col("count") >= k).select(ident)
+            found = found.join(full, ident, "left_semi")
+        found = tables.save(found)
+        out = found if out is None else out.unionByName(found)
+        if last:
+            break
+        rest = tables.save(rest.join(found.select(ident).distinct(), ident, "left_anti"))
+        if not rest.take(1):
+            break
+        radius = min(reach, radius * 2)
+    return out if least <= 0 else out.withColumn("__n", F.count(F.lit(1)).over(w)).where(F.col("__n") >= least).drop("__n")
 
 
 def interpolate(x: Column, points: list[tuple[float, float]]) -> Column:
@@ -86,6 +141,31 @@ def in_zones(points: DataFrame, zones: list[tuple[str, list[tuple[float, float]]
     return out
 
 
+def _in_ring(ring: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies in a ring of (x, y) structs, by crossings; on a lower or left edge it does."""
+    closed = F.concat(ring, F.slice(ring, 1, 1))
+    edges = F.zip_with(F.slice(closed, F.lit(1), F.size(ring)), F.slice(closed, F.lit(2), F.size(ring)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    crosses = lambda e: ((e["a"]["y"] > y) != (e["b"]["y"] > y)) & (x < (e["b"]["x"] - e["a"]["x"]) * (y - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) + e["a"]["x"])
+    return F.size(F.filter(edges, crosses)) % 2 == 1
+
+
+def zone_join(points: DataFrame, zones: DataFrame, ident: str, cell: float, strict: bool = False, x: str = "x", y: str = "y") -> DataFrame:
+    """``points`` with the first zone (least ordinal) that holds them; ``zones`` is (zone, ordinal, ring array<struct<x, y>>).
+
+    Zones are entered in every grid cell that their box touches, points in theirs, so a point meets only zones near it.
+    Points outside of all zones have null, or with ``strict`` are an error.
+    """
+    corner = lambda f, c: F.floor(f(F.transform("ring", lambda p: p[c])) / cell).cast("long")
+    spread = zones.select("zone", "ordinal", "ring", F.explode(F.sequence(corner(F.array_min, "x"), corner(F.array_max, "x"))).alias("__cx"), corner(F.array_min, "y").alias("__lo"), corner(F.array_max, "y").alias("__hi"))
+    spread = spread.select("zone", "ordinal", "ring", "__cx", F.explode(F.sequence("__lo", "__hi")).alias("__cy"))
+    placed = points.select(ident, F.col(x).alias("__x"), F.col(y).alias("__y"), _cell(x, cell).alias("__cx"), _cell(y, cell).alias("__cy"))
+    hits = placed.join(spread, ["__cx", "__cy"]).where(_in_ring(F.col("ring"), F.col("__x"), F.col("__y")))
+    out = points.join(hits.groupBy(ident).agg(F.min_by("zone", "ordinal").alias("zone")), ident, "left")
+    if strict and (lost := out.where("zone IS NULL").take(1)):
+        raise ValueError(f"a point is in no zone: {lost[0].asDict()}")
+    return out
+
+
 def touching(edges: DataFrame, treated: DataFrame) -> DataFrame:
     """Edges (src, dst, w) with exactly one treated end; ``treated`` has (node)."""
     s = treated.select(F.col("node").alias("src"), F.lit(True).alias("__s"))

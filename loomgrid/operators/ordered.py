@@ -42,3 +42,17 @@ def exact_quantile(df: DataFrame, value: str, weight: Column, level: float) -> f
         return None
     sums = running(rows, "v", {"upto": F.col("w")})
     return sums.agg(F.min(F.when(F.col("upto") >= level * all_weight - 1e-9 * abs(all_weight), F.col("v")))).first()[0]
+
+
+def by_order(df: DataFrame, value: str, name: str = "i") -> DataFrame:
+    """``df``, whose values of any orderable type are distinct, with their place from 0: rows are dealt to tasks by ranges of
+    the value, placed there, and start from the counts of the ranges before, a row each."""
+    from loomgrid.sources.shared import Tables
+
+    dealt = Tables(df.sparkSession, "order").save(df.repartitionByRange(value).withColumn("__part", F.spark_partition_id()))
+    heads = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # a row a task
+    heads = heads.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    here = F.row_number().over(W.partitionBy("__part").orderBy(value)) - 1
+    rows = dealt.withColumn("__here", here).join(F.broadcast(heads), F.col("__part") == F.col("__p"))
+    return rows.withColumn(name, F.col("__here") + F.col("__start")).drop("__part", "__p", "__here", "__start")

@@ -96,6 +96,18 @@ def adida(y: np.ndarray, bucket: int = 7, alpha: float = 0.1) -> float:
     return croston(y[len(y) - n :].reshape(-1, bucket).sum(1), alpha) / bucket if n else croston(y, alpha)
 
 
+def intermittent(y: np.ndarray) -> float:
+    """Zero, TSB, SBA, Croston or ADIDA, whichever loses least on the holdout (first of equal ones)."""
+    models = [lambda y: 0.0, tsb, sba, croston, adida]
+    k = holdout(len(y))
+    if len(y) <= k:
+        return croston(y)
+    train, test = y[:-k], y[-k:]
+    level = np.abs(test).sum()
+    losses = [np.abs(m(train) - test).sum() / level if level else abs(m(train)) * k for m in models]
+    return models[int(np.argmin(losses))](y)
+
+
 def holdout(n: int, least: int = 5, most: int = 8) -> int:
     """Rows held out to choose parameters: a fifth, from 1 to ``most``."""
     return min(max(n // 5, 1), most)
@@ -171,6 +183,23 @@ def kalman_trend(y: np.ndarray, level_noise: float = 0.1, trend_noise: float = 0
     return float(x[0]), float(x[1])
 
 
+def trend_distribution(y: np.ndarray, horizon: int, level_noise: float = 0.1, trend_noise: float = 0.01, noise: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Means and variances of the next observations of ``kalman_trend``."""
+    x, cov = np.array([y[0], 0.0]), np.eye(2) * noise
+    f, q = np.array([[1.0, 1.0], [0.0, 1.0]]), np.diag([level_noise, trend_noise])
+    for v in y[1:]:
+        x, cov = f @ x, f @ cov @ f.T + q
+        if not np.isnan(v):
+            gain = cov[:, 0] / (cov[0, 0] + noise)
+            x, cov = x + gain * (v - x[0]), cov - np.outer(gain, cov[0])
+    means, variances = [], []
+    for _ in range(horizon):
+        x, cov = f @ x, f @ cov @ f.T + q
+        means.append(x[0])
+        variances.append(cov[0, 0] + noise)
+    return np.array(means), np.array(variances)
+
+
 def cusum(x: np.ndarray, mean: float, drift: float, limit: float) -> list[tuple[float, bool]]:
     """(score, triggered) a value; both sums start again after a trigger."""
     up = down = 0.0

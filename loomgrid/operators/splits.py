@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgrid.operators.joins import within
-from loomgrid.operators.ordered import numbered
+from loomgrid.operators.ordered import by_order, numbered
 
 
 def cutoffs(n: int, horizon: int, step: int, min_train: int, n_splits: int | None = None) -> list[int]:
@@ -18,9 +18,32 @@ def cutoffs(n: int, horizon: int, step: int, min_train: int, n_splits: int | Non
     return found[-n_splits:] if n_splits else found
 
 
-def candidate_cutoffs(n: int, horizon: int, most: int = 3) -> list[int]:
-    """n - k * horizon for k = 1..most, while something is left to train on."""
-    return [n - k * horizon for k in range(1, most + 1) if n - k * horizon > 0]
+#: Origins tried by validation profile, fixed values; other profiles have 2.
+PROFILE_ORIGINS = {None: 3, "rank_portfolio": 3, "classical_competition": 3, "classical_competition_full": 3}
+
+
+def candidate_cutoffs(n: int, horizon: int, profile: str | None = None) -> list[int]:
+    """First test indexes n - k * horizon, rising, for the profile's k, where at least max(horizon, 14) rows are left to train on."""
+    if horizon < 1:
+        raise ValueError("the horizon is positive")
+    found = [n - k * horizon for k in range(PROFILE_ORIGINS.get(profile, 2), 0, -1)]
+    return [c for c in found if c >= max(horizon, 14)] if n > horizon + 2 else []
+
+
+def candidate_folds(df: DataFrame, ts: str, horizon: int, profile: str | None = None) -> DataFrame:
+    """(fold_id, ts, role) of the candidate schedule over the panel's distinct times."""
+    times = df.select(ts).distinct()
+    n = times.count()
+    return _fold_rows(times, ts, [(f"fold_{k:04d}", c - 1) for k, c in enumerate(candidate_cutoffs(n, horizon, profile))], horizon, n)
+
+
+def _fold_rows(times: DataFrame, ts: str, folds: list[tuple[str, int]], horizon: int, width: int) -> DataFrame:
+    """Roles by the times' places: training up to the cutoff, at most ``width`` of them, then ``horizon`` tests."""
+    spec = times.sparkSession.createDataFrame(folds, "fold_id string, c long")  # a row a fold
+    at = times.withColumn("__t", F.col(ts).cast("timestamp").cast("double"))
+    rows = numbered(at, "__t").drop("__t").crossJoin(F.broadcast(spec))
+    role = F.when((F.col("i") <= F.col("c")) & (F.col("i") > F.col("c") - width), "train").when((F.col("i") > F.col("c")) & (F.col("i") <= F.col("c") + horizon), "test")
+    return rows.withColumn("role", role).where("role IS NOT NULL").select("fold_id", ts, "role")
 
 
 def rolling_origin(df: DataFrame, ts: str, horizon: int, step: int, min_train: int, n_splits: int | None = None, max_train: int | None = None) -> DataFrame:
@@ -28,12 +51,7 @@ def rolling_origin(df: DataFrame, ts: str, horizon: int, step: int, min_train: i
     times = df.select(ts).distinct()
     n = times.count()
     folds = [(f"fold_{k:04d}", c) for k, c in enumerate(cutoffs(n, horizon, step, min_train, n_splits))]
-    origins = df.sparkSession.createDataFrame(folds, "fold_id string, c long")
-    times = times.withColumn("i", F.row_number().over(W.orderBy(ts)) - 1)  # a row a distinct time
-    rows = times.crossJoin(F.broadcast(origins))
-    first = F.col("c") - (max_train or n) + 1
-    role = F.when((F.col("i") <= F.col("c")) & (F.col("i") >= first), "train").when((F.col("i") > F.col("c")) & (F.col("i") <= F.col("c") + horizon), "test")
-    return rows.withColumn("role", role).where("role IS NOT NULL").select("fold_id", ts, "role")
+    return _fold_rows(times, ts, folds, horizon, max_train or n)
 
 
 def panel_rolling_origin(df: DataFrame, series: str, ts: str, horizon: int, step: int, min_train: int) -> DataFrame:
@@ -89,12 +107,17 @@ def buffered(df: DataFrame, assigned: DataFrame, ident: str, k: int, radius: flo
 
 def group_folds(df: DataFrame, ident: str, group: str, k: int) -> DataFrame:
     """(ident, fold): the sorted distinct groups in turn."""
-    groups = df.select(group).distinct().withColumn("fold", ((F.row_number().over(W.orderBy(group)) - 1) % k).cast("int"))
-    return df.select(ident, group).join(groups, group).select(ident, "fold")
+    groups = by_order(df.select(F.col(group).alias("__g")).distinct(), "__g", "__i")
+    groups = groups.select("__g", (F.col("__i") % k).cast("int").alias("fold"))
+    return df.select(ident, group).join(groups, F.col(group).eqNullSafe(F.col("__g"))).select(ident, "fold")
 
 
 def balanced_groups(df: DataFrame, ident: str, group: str, k: int, most: int = 1_000_000) -> DataFrame:
-    """(ident, fold): the largest group first, each to the fold with fewest rows (ties: group, then fold)."""
+    """(ident, fold): the largest group first, each to the fold with fewest rows (ties: group, then fold).
+
+    The choice of a group depends on all larger ones, so the sizes are gone through in one place; more than ``most``
+    groups are an error, for which ``group_folds`` is the way.
+    """
     sizes = df.groupBy(group).count().limit(most + 1).collect()
     if len(sizes) > most:
         raise ValueError(f"more than {most} groups")
@@ -155,3 +178,15 @@ def environmental(df: DataFrame, ident: str, features: list[str], k: int, seed:
     rows = VectorAssembler(inputCols=features, outputCol="__v").transform(df.select(ident, *features))
     model = KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="fold").fit(rows)
     return model.transform(rows).select(ident, "fold")
+
+
+def environmental_ordered(df: DataFrame, ident: str, features: list[str], k: int) -> DataFrame:
+    """(ident, fold): k slices as even as can be of the rows in the order of the feature with the widest range, then id."""
+    ends = df.agg(*[x for c in features for x in (F.min(c), F.max(c))]).first()
+    wide = max(range(len(features)), key=lambda j: (ends[2 * j + 1] - ends[2 * j], -j))
+    n = df.count()
+    base, extra = divmod(n, k)
+    rows = numbered(df.select(ident, F.col(features[wide]).cast("double").alias("__v")), "__v", (ident,))
+    cut = extra * (base + 1)  # the first folds are one row longer
+    fold = F.when(F.col("i") < cut, F.floor(F.col("i") / (base + 1))).otherwise(extra + F.floor((F.col("i") - cut) / max(1, base)))
+    return rows.select(ident, fold.cast("int").alias("fold"))

@@ -6,6 +6,8 @@ feature is dropped, not filled.
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,27 +39,36 @@ def lag_features(df: DataFrame, p: Panel, lags=(), means=(), partial_means=(), s
     need = max([0, *lags, *means, *stds, *mins, *maxs, *(k + 1 for k in deltas), *trends, *(1 for _ in (*partial_means, *ewm_percent))])
     df = df.withColumns(out)
     for percent in ewm_percent:
-        df = df.withColumn(f"target_ewm_alpha_{percent:03d}", _ewm(p, percent / 100))
+        df = _ewm(df, p, percent / 100, f"target_ewm_alpha_{percent:03d}")
     return df.where(F.col("calendar_elapsed_index") >= need)
 
 
-def _ewm(p: Panel, alpha: float) -> Column:
-    """e1 = y1; e = alpha y + (1 - alpha) e, over all rows before.
+def _ewm(df: DataFrame, p: Panel, alpha: float, name: str) -> DataFrame:
+    """``df`` (with calendar_elapsed_index) and the smoothed mean of all rows before: e1 = y1; e = alpha y + (1 - alpha) e.
 
-    In closed form: with e' = e / (1-alpha)^t a sum; summed relative to the current row so that no power
-    overflows, which needs the history only to where its weight vanishes.
+    A running sum in stretches short enough that no power of 1 - alpha leaves the range of doubles; the stretches' ends,
+    a row each, pass on what they carry to the next ones, as far as it counts.  So the work grows with the rows only.
     """
-    if alpha >= 1:
-        return F.lag(p.y, 1).over(p.window())
-    import math
-
-    depth = min(4096, max(1, math.ceil(-40 / math.log10(1 - alpha))))  # weights below 1e-40 don't count
-    w = p.window()
-    held = F.collect_list(F.struct(F.col(p.y).alias("y"), F.col("calendar_elapsed_index").alias("i"))).over(w.rowsBetween(-depth, -1))
-    # The first row of all has weight (1-alpha)^k instead of alpha (1-alpha)^k.
-    seed = F.struct(F.lit(0.0).alias("e"), F.lit(False).alias("on"))
-    step = lambda acc, x: F.struct(F.when(acc["on"], x["y"] * alpha + acc["e"] * (1 - alpha)).otherwise(F.when(x["i"] == 0, x["y"]).otherwise(x["y"] * alpha)).alias("e"), F.lit(True).alias("on"))
-    return F.aggregate(held, seed, step, lambda acc: acc["e"])
+    q = 1 - alpha
+    if q <= 0:
+        return df.withColumn(name, F.lag(p.y, 1).over(p.window()))
+    size = max(1, int(14 / -log(q)))  # q ** size is about 1e-6
+    i = F.col("calendar_elapsed_index")
+    at, place = F.floor(i / size), i % size
+    # The first row's weight is q^k instead of alpha q^k.
+    z = F.when(i == 0, F.col(p.y)).otherwise(F.col(p.y) * alpha)
+    rows = df.withColumns({"__at": at, "__place": place})
+    inside = F.sum(z * F.pow(F.lit(q), -F.col("__place"))).over(W.partitionBy(p.series, "__at").orderBy("__place").rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("__local", inside * F.pow(F.lit(q), F.col("__place")))
+    ends = rows.groupBy(F.col(p.series).alias("__s"), F.col("__at").alias("__c")).agg(F.max_by("__local", "__place").alias("__e"))
+    w = W.partitionBy("__s").orderBy("__c")
+    carried = F.lit(0.0)
+    for k in range(1, 8):
+        carried = carried + F.coalesce(F.lag("__e", k).over(w), F.lit(0.0)) * q ** (size * (k - 1))
+    ends = ends.select("__s", "__c", carried.alias("__carried"))
+    rows = rows.join(ends, F.col(p.series).eqNullSafe(F.col("__s")) & (F.col("__at") == F.col("__c")))
+    rows = rows.withColumn("__whole", F.col("__local") + F.col("__carried") * F.pow(F.lit(q), F.col("__place") + 1))
+    return rows.withColumn(name, F.lag("__whole", 1).over(p.window())).drop("__at", "__place", "__local", "__s", "__c", "__carried", "__whole")
 
 
 def indicators(covariate: str, values: list[float]) -> dict[str, Column]:
