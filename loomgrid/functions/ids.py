@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .columns import col
+from .hashing import stable_id
 
 H3_LEVELS, S2_LEVELS = range(16), range(31)
 
@@ -32,6 +33,12 @@ def check_levels(kind: str, level: int, parents: list[int]) -> None:
         raise ValueError(f"{kind} level {level} with parents {parents}")
 
 
+def level_is_valid(kind, level) -> Column:
+    """Whether a level is one of the kind's (h3 or s2)."""
+    k, n = col(kind), col(level)
+    return F.coalesce(((k == "h3") & n.between(H3_LEVELS[0], H3_LEVELS[-1])) | ((k == "s2") & n.between(S2_LEVELS[0], S2_LEVELS[-1])), F.lit(False))
+
+
 def scaffold_parent(cell, level: int, parent: int) -> Column:
     """A synthetic parent id, not a real cell's: top bit, parent level at bit 56, and the cell shifted by 3 bits a level.
 
@@ -83,9 +90,9 @@ def zip_sets(origin, destination, prefixes: tuple[int, ...] = (3, 2)) -> dict[st
 
 
 def geo_id(x, namespace: str) -> Column:
-    """Integers as they are; other text hashed with its namespace (64 bits, non-negative)."""
+    """Integers as they are; other text hashed with its namespace (60 bits)."""
     t = F.trim(col(x).cast("string"))
-    return F.when(t.rlike("^[0-9]{1,18}$"), t.cast("long")).otherwise(F.xxhash64(F.concat(F.lit(namespace + ":"), t)).bitwiseAND(F.lit((1 << 63) - 1)))
+    return F.when(t.rlike("^[0-9]{1,18}$"), t.cast("long")).otherwise(stable_id(t, namespace))
 
 
 def route_points(x) -> Column:

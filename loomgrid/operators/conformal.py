@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgrid.operators.joins import nearest
+from loomgrid.operators.joins import nearest, nearest_any
 from loomgrid.operators.metrics import weighted_quantile
 from loomgrid.operators.ordered import bucket_of, running
 from loomgrid.sources.shared import Tables
@@ -43,9 +43,9 @@ def weighted_radius(calibration: DataFrame, by: list[str], residual: Column, wei
     return weighted_quantile(calibration.withColumn("__r", F.abs(residual)), by, "__r", weight, 1 - alpha)
 
 
-def nearest_radius(test: DataFrame, calibration: DataFrame, ident: str, residual: str, k: int, distance: float, alpha: float) -> DataFrame:
-    """(ident, radius): as ``split_radius``, clamped, over the k nearest calibration points."""
-    near = nearest(test, calibration, ident, k, distance)
+def nearest_radius(test: DataFrame, calibration: DataFrame, ident: str, residual: str, k: int, distance: float | None, alpha: float) -> DataFrame:
+    """(ident, radius): as ``split_radius``, clamped, over the k nearest calibration points, within a distance or any."""
+    near = nearest_any(test, calibration, ident, k) if distance is None else nearest(test, calibration, ident, k, distance)
     return split_radius(near, [ident], F.col(f"r_{residual}"), alpha, clamp=True).select(ident, "radius")
 
 

@@ -177,3 +177,28 @@ def temporal_rollup(df: DataFrame, p: Panel, factor: int) -> DataFrame:
     """(series, block, y): sums of ``factor`` rows in order; series whose length the factor doesn't divide are absent."""
     rows = df.select(p.series, p.y, (F.row_number().over(p.window()) - 1).alias("i"), F.count(F.lit(1)).over(W.partitionBy(p.series)).alias("n")).where(F.col("n") % factor == 0)
     return rows.groupBy(p.series, F.floor(F.col("i") / factor).alias("block")).agg(F.sum(p.y).alias(p.y))
+
+
+def roles(p: Panel) -> list[tuple[str, str]]:
+    """(covariate, role): static, known_future or historical; names and roles are checked when a panel is made."""
+    return [(c, role) for role in ("static", "known_future", "historical") for c in getattr(p, role)]
+
+
+def varying_statics(df: DataFrame, p: Panel) -> DataFrame:
+    """(series, covariate, n): static covariates that have several values in a series."""
+    counts = df.groupBy(p.series).agg(*[F.count_distinct(c).alias(c) for c in p.static])
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("covariate"), F.col(c).alias("n")) for c in p.static])).alias("x")
+    return counts.select(p.series, pairs).select(p.series, "x.*").where("n > 1") if p.static else df.select(p.series, F.lit("").alias("covariate"), F.lit(0).cast("long").alias("n")).limit(0)
+
+
+def missing_future(future: DataFrame, p: Panel) -> DataFrame:
+    """(series, ts, covariate): known-future covariates that a future row lacks.  Historical ones aren't asked for; those
+    that a future frame has anyway are an error."""
+    if known := [c for c in p.historical if c in future.columns]:
+        raise ValueError(f"historical covariates {known} aren't known ahead")
+    if absent := [c for c in p.known_future if c not in future.columns]:
+        raise ValueError(f"no columns {absent}")
+    if not p.known_future:
+        return future.select(p.series, p.ts, F.lit("").alias("covariate")).limit(0)
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("covariate"), (F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias("bad")) for c in p.known_future])).alias("x")
+    return future.select(p.series, p.ts, pairs).where("x.bad").select(p.series, p.ts, "x.covariate")

@@ -58,11 +58,6 @@ def split_groups(spark, sf_dir):
     return S.group_folds(V.geo(spark, sf_dir), "id", "grp", 3)
 
 
-@query()
-def split_balanced_groups(spark, sf_dir):
-    return S.balanced_groups(V.geo(spark, sf_dir), "id", "grp", 3)
-
-
 ORDERED = "o AS (SELECT o_orderkey AS id, epoch(o_orderdate)::BIGINT AS at, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)"
 
 

@@ -39,9 +39,12 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """(kind, x, y, ring, properties): points and the outer rings of polygons; the geometry may be under ``geometry``
     or ``cartometry``."""
     schema = f"features array<struct<geometry:{GEOMETRY},cartometry:{GEOMETRY},properties:string>>"
-    f = spark.read.json(path, schema=schema, multiLine=True).select(F.explode("features").alias("f"))
-    g = F.coalesce("f.geometry", "f.cartometry")
-    rows = f.select(g["type"].alias("kind"), g["coordinates"].alias("at"), F.col("f.properties").alias("properties"))
+    return _shapes(spark.read.json(path, schema=schema, multiLine=True).select(F.explode("features").alias("f")).select("f.*"))
+
+
+def _shapes(f: DataFrame) -> DataFrame:
+    g = F.coalesce("geometry", "cartometry")
+    rows = f.select(g["type"].alias("kind"), g["coordinates"].alias("at"), "properties")
     point = F.from_json("at", "array<double>")
     ring = F.transform(F.from_json("at", "array<array<array<double>>>")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
     isp, isq = F.col("kind") == "Point", F.col("kind") == "Polygon"
@@ -87,3 +90,35 @@ def run_specs(df: DataFrame, p: Panel, horizon: int, specs: list[dict]) -> DataF
         made = MODELS[spec["name"]](df, p, horizon, **{k: v for k, v in spec.items() if k != "name"})
         out = made if out is None else out.unionByName(made)
     return out
+
+
+def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read_geojson``, of files with a feature a line, which split over tasks."""
+    schema = f"geometry {GEOMETRY}, cartometry {GEOMETRY}, properties string"
+    return _shapes(spark.read.json(path, schema=schema))
+
+
+def save_model(spark: SparkSession, model, path: str) -> None:
+    """A fitted booster as one JSON line."""
+    spark.createDataFrame([(model.to_json(),)], "value string").coalesce(1).write.text(path)
+
+
+def load_model(spark: SparkSession, path: str):
+    from loomgrid.operators.boosting import Model
+
+    return Model.from_json(spark.read.text(path).first()[0])
+
+
+def save_weights(spark: SparkSession, model, path: str) -> None:
+    """A booster's trees and first margin alone, without what it was fitted with."""
+    spark.createDataFrame([(json.dumps({"version": 2, "init": model.init, "trees": model.trees}),)], "value string").coalesce(1).write.text(path)
+
+
+def load_weights(spark: SparkSession, path: str, spec):
+    """The saved trees as a model of the given specification."""
+    from loomgrid.operators.boosting import Model
+
+    d = json.loads(spark.read.text(path).first()[0])
+    if d.get("version") != 2:
+        raise ValueError("an unknown version of weights")
+    return Model(spec, d["init"], d["trees"])
