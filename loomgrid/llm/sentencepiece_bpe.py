@@ -40,8 +40,8 @@ CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: As CHUNK, and between a letter and anything else; for texts without the characters that a model joins across this.
 PART = re.compile(rf"{MARK}*[^\W\d_]+|{MARK}*[\W\d_](?:(?!{MARK})[\W\d_])*")
 LETTER = re.compile(r"[^\W\d_]")
-REMEMBERED = 60_000  # in each of two generations
-REMEMBERED_PAIRS = 150_000
+REMEMBERED = 120_000  # in each of two generations
+REMEMBERED_PAIRS = 300_000
 LONG = 48
 MODEL_NAME = "piece_bpe_32k.model"
 
@@ -102,8 +102,7 @@ class MergeEncoder:
             if MARK not in pair and len(letters) == 1:
                 across.add(letters[0] if not letters[0].isalpha() else next(c for c in pair if c not in letters))
         self.glue = re.compile(f"[{re.escape(''.join(sorted(across)))}]") if across else None
-        self.known_ids = Memory(lambda chunk: array("I", self.chunk_ids(chunk)).tobytes())
-        self.known_bytes = Memory(lambda ids: self._bytes(array("I", ids).tolist()))
+        self.known = Memory(self._chunk)
         own = [x for x in self.id if len(x) == 1 or self.merge(x) == [x]]
         self.words = ahocorasick.Automaton()
         for x in own:
@@ -196,20 +195,23 @@ class MergeEncoder:
             start = end
         return ids
 
+    def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
+        """A chunk's ids as bytes, and what these ids decode to."""
+        ids = self.chunk_ids(chunk)
+        return array("I", ids).tobytes(), self._bytes(ids)
+
     def both(self, text: str) -> tuple[bytes, bytes]:
         """Ids as little-endian unsigned 32-bit integers, with begin and end, and the decoded text in UTF-8."""
         if not text:
             return self.ends[0] + self.ends[1], b""
         marked = MARK + text.encode("utf-8", "replace").decode().replace(" ", MARK)
         cut = CHUNK if self.glue and self.glue.search(marked) else PART
-        ids = list(map(self.known_ids.__getitem__, cut.findall(marked)))
-        said = b"".join(map(self.known_bytes.__getitem__, ids))
-        return self.ends[0] + b"".join(ids) + self.ends[1], said[1:]
+        found = list(map(self.known.__getitem__, cut.findall(marked)))
+        return self.ends[0] + b"".join([ids for ids, _ in found]) + self.ends[1], b"".join([said for _, said in found])[1:]
 
     def forget(self) -> None:
-        for memory in (self.known_ids, self.known_bytes):
-            memory.clear()
-            memory.old = {}
+        self.known.clear()
+        self.known.old = {}
         self.pairs.clear()
 
     def encode(self, text: str) -> list[int]:
