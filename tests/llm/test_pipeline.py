@@ -52,3 +52,32 @@ def test_stages_keep_columns_and_odd_rows(spark, at):
     assert stage(spark, docs, FOLDER).columns == docs.columns
     assert stage(spark, docs, FOLDER).count() == (4 if name == "minhash" else 5)
     assert stage(spark, docs.limit(0), FOLDER).count() == 0
+
+
+CLASHING = ["id", "hash", "host", "boilerplate", "left", "n_lines", "n_dropped", "comp", "node", "key", "row", "score", "predicted", "held_out", "allowed", "item_id", "lost", "__id", "a.b"]
+
+
+@pytest.mark.parametrize("at", range(len(corpus_pipeline.STAGES)))
+def test_stages_take_columns_of_any_name(spark, at):
+    name, stage = corpus_pipeline.STAGES[at]
+    rows = [(k, f"some words that {k} says in a line of its own here\nanother line {k}", "en", "s", 1, *range(len(CLASHING))) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", `{c}` int" for c in CLASHING))
+    made = stage(spark, docs, FOLDER)
+    assert made.count() == 6
+    if name != "sentencepiece":
+        assert made.columns == docs.columns
+        assert {tuple(r)[5:] for r in made.collect()} == {tuple(range(len(CLASHING)))}
+
+
+def test_ties_repeats_and_long_texts(spark):
+    long = " ".join(f"w{k % 977}x{k % 13}" for k in range(60_000))
+    same = "one two three four five six seven eight"
+    rows = [(5, long), (4, long + " end"), (9, same), (7, same), (7, same), (8, same.upper()), (7, "a different text under the same id as before"), (None, same), (10, None)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", 0) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, FOLDER)
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        assert sorted((r.doc_id or 0, len(r.text or "")) for r in docs.collect() if r.doc_id != 7 or r.text != same)[:1] == [(0, len(same))], name
+    assert sorted((r.doc_id or 0, (r.text or "")[:9]) for r in docs.collect()) == [(0, same[:9]), (4, long[:9]), (7, "a differe"), (7, same[:9]), (10, "")]
+    assert max(len(r.text or "") for r in docs.collect()) == len(long) + 4
+    assert corpus_pipeline.STAGES[4][1](spark, docs, FOLDER).count() == 5

@@ -457,3 +457,48 @@ def test_documents_are_encoded_whole(spark, library):
         ids = library.encode(text or "", add_bos=True, add_eos=True)
         assert got[i] == (ids, library.decode(ids))
     assert sp.digest_documents(docs.limit(0)).count() == 0
+
+
+# All operators
+
+
+def test_every_operator_is_registered():
+    import __spark_entry__
+
+    names = ["op1_minhash", "op2_language", "op3_decontam", "op4_url_filter", "op5_chat", "op6_audio", "op7_toxicity", "op8_warc", "op9_line_dedup", "op10_sentencepiece", "pipeline"]
+    assert set(names) <= set(__spark_entry__.queries())
+
+
+def test_operators_take_columns_of_any_name(spark):
+    """Extra columns with the names of an operator's own."""
+    import itertools
+
+    names = ["id", "hash", "row", "key", "sig", "n", "band", "value", "node", "comp", "host", "path", "rule", "trust", "ll", "suffix", "declared", "lang2", "payload", "digest", "refers_to", "media", "feature", "ids", "decoded", "held_out", "score"]
+    extra = "".join(f", `{c}` int" for c in names)
+    docs = spark.createDataFrame([(k, f"words of text number {k} that stand here", "en", "s", 1, *range(len(names))) for k in range(5)], SCHEMA + extra)
+    pages = spark.createDataFrame([(k, f"http://h{k}.com/en/", f"<html lang=en><p>words {k}", *range(len(names))) for k in range(5)], "page_id long, url string, html string" + extra)
+    bench = spark.createDataFrame([(1, "words of text number 3 that stand here")], "item_id long, text string")
+    from loomgrid.llm import audio, minhash, warc
+
+    scratch = Scratch(spark, "t")
+    made = [
+        minhash.near_components(docs, scratch), decontam.contaminated(docs, bench).select("doc_id").distinct(), language.identify(pages, docs, scratch), url_filter.judge(pages, scratch),
+        audio.digest(audio.audio_tensors(audio.store_media(docs, scratch))), toxicity.score(docs, toxicity.Model()), warc.read_archives(warc.write_archives(pages, scratch)), sp.digest_documents(docs), sp.encode_documents(docs),
+    ]
+    assert [x.count() for x in made] == [5, 1, *itertools.repeat(5, 7)]
+
+
+def test_very_long_and_repeated_pages(spark):
+    long = "<p>" + "les mots de la page " * 100_000
+    rows = [(1, "http://a.fr/", long), (1, "http://a.fr/", long), (2, "http://a.fr/", "<a href='http://b.net/es/'>x</a>" * 20_000), (3, "http://b.net/es/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = language.identify(pages, table(spark, FOLDER, "documents"), Scratch(spark, "t")).collect()
+    assert sorted(r.page_id for r in found) == [1, 1, 2, 3] and {r.lang for r in found if r.page_id == 1} == {"fr"}
+    assert len({(r.lang, r.confidence) for r in found if r.page_id == 1}) == 1
+    judged = {(r.page_id, r.verdict) for r in url_filter.judge(pages, Scratch(spark, "t")).collect()}
+    assert (3, "block") in judged and len(judged) == 3
+
+
+def test_equally_likely_languages_go_by_name(spark):
+    scored = spark.createDataFrame([(1, "h", "h", "h", "", [0.0, 0.0])], "page_id long, host string, domain string, suffix string, declared string, ll array<double>")
+    assert language.fuse(scored, ["de", "en"], Scratch(spark, "t")).first().lang == "de"
