@@ -90,6 +90,18 @@ def kernel(a: str, b: str) -> float:
     return sum(v * y.get(k, 0.0) for k, v in x.items())
 
 
+def _norms(wide: np.ndarray) -> np.ndarray:
+    """The norms of equally long strings' explicit features."""
+    keys = _keys(wide)
+    order = np.argsort(keys, axis=1)
+    keys, weights = np.take_along_axis(keys, order, 1), _places(wide.shape[1])[1][order]
+    new = np.ones(keys.shape, bool)
+    new[:, 1:] = keys[:, 1:] != keys[:, :-1]
+    starts = np.flatnonzero(new)
+    sums = np.add.reduceat(weights.ravel(), starts)
+    return np.sqrt(np.bincount(starts // keys.shape[1], weights=sums * sums, minlength=len(keys))).astype(np.float32)
+
+
 class Landmarks:
     """Kernel values of words with all landmarks."""
 
@@ -110,11 +122,12 @@ class Landmarks:
         wide = np.array(keys, np.int64)
         triples = [self.letter[(wide >> s) & ((1 << 21) - 1)].astype(np.int64) for s in (42, 21, 0)]
         self.known = (triples[0] * self.base + triples[1]) * self.base + triples[2]  # rises with the key
+        self.most = self.weights.max(1) if words else np.zeros(1, np.float32)
         self.place = None
         if self.base <= DENSE:
             self.place = np.zeros(self.base**ORDER, np.int32)
             self.place[self.known] = np.arange(1, len(keys) + 1)
-        self.most = self.weights.max(1) if words else np.zeros(1, np.float32)
+            self.most_of = self.most[self.place]
 
     def rows(self, keys: np.ndarray) -> np.ndarray:
         """The keys' rows in ``weights``."""
@@ -141,23 +154,23 @@ class Landmarks:
             for start in range(0, len(group), some):
                 part = group[start : start + some]
                 wide = codes("".join(part)).reshape(len(part), n)
-                place = self.rows(_keys(self.letter[wide].astype(np.int64), self.base))
+                keys = _keys(self.letter[wide].astype(np.int32 if self.place is not None else np.int64), self.base)
                 # No landmark's value can exceed this, so most words end here.
-                may = np.flatnonzero(self.most[place] @ weight >= SUPPORT * least - 1e-9)
+                most = self.most_of[keys] if self.place is not None else self.most[self.rows(keys)]
+                may = np.flatnonzero(most @ weight.astype(np.float32) >= SUPPORT * least * (1 - 1e-5))
                 # Nor this, a landmark at a time; the norm itself is left for those that remain.
                 sums = np.zeros((len(may), len(self.words)), np.float32)
-                at = place[may]
+                at = self.rows(keys[may])
                 row, col = np.nonzero(at)
                 if len(row):
                     first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
                     sums[row[first]] = np.add.reduceat(self.weights[at[row, col]] * weight[col, None].astype(np.float32), first, axis=0)
-                for r in np.flatnonzero(sums.max(1) >= SUPPORT * least * (1 - 1e-5)):
-                    i = may[r]
-                    _, same = np.unique(_keys(wide[i : i + 1])[0], return_inverse=True)
-                    x = np.bincount(same, weights=weight)
-                    values = sums[r] / np.sqrt((x * x).sum())
-                    if values.max() >= SUPPORT:
-                        out[part[i]] = np.where(values >= SUPPORT, values, 0.0)
+                left = np.flatnonzero(sums.max(1) >= SUPPORT * least * (1 - 1e-5))
+                if len(left):
+                    values = sums[left] / _norms(wide[may[left]])[:, None]
+                    high = np.flatnonzero(values.max(1) >= SUPPORT)
+                    values = np.where(values >= SUPPORT, values, np.float32(0))
+                    out |= {part[may[left[r]]]: values[r] for r in high}
         return out
 
 
@@ -191,33 +204,46 @@ def spelled(tokens: list[str]) -> list[str]:
 
 
 class Matcher:
-    """Finds the tokens of texts that resemble a landmark; remembers those seen."""
+    """Finds the tokens of texts that resemble a landmark; remembers those seen.
+
+    Tokens without a resemblance are remembered in two generations: a full one becomes the old one, whose tokens come
+    back when they are met again, so that a flood of unique tokens doesn't wash out the common ones.
+    """
 
     def __init__(self, landmarks: Landmarks):
         self.landmarks = landmarks
         self.cold: set[str] = set()
+        self.aged: set[str] = set()
         self.hot: dict[str, np.ndarray] = {}
         self.singles: set[str] = set()  # tokens that ``spelled`` takes for a single character
         self.chars = 0
 
     def fresh(self, tokens: set[str]) -> set[str]:
-        """Those of the tokens that must be learnt; a full memory is emptied before, so that none of them gets lost."""
-        if len(self.cold) + len(self.hot) > REMEMBERED or self.chars > REMEMBERED_CHARS:
-            self.cold.clear()
+        """Those of the tokens that must be learnt.  Memories are emptied before, so that none of the tokens gets lost."""
+        if len(self.cold) > REMEMBERED // 2 or self.chars > REMEMBERED_CHARS // 2:
+            self.aged, self.cold, self.chars = self.cold, set(), 0
+            self.singles &= self.aged
+        if len(self.hot) > REMEMBERED // 10:
             self.hot.clear()
-            self.singles.clear()
-            self.chars = 0
-        return {t for t in tokens if t not in self.cold and t not in self.hot}
+        back = tokens & self.aged
+        self.cold |= back
+        self.aged -= back
+        self.chars += sum(map(len, back))
+        return tokens.difference(self.cold, self.hot)
 
     def learn(self, tokens: set[str]) -> None:
-        held = {t: strings(t) for t in tokens}
-        found = self.landmarks.values(list({s for x in held.values() for s in x}))
+        plain = {t for t in tokens if t.isalnum() and len(t) <= LONGEST}  # these are their only string
+        held = {t: strings(t) for t in tokens.difference(plain)}
+        found = self.landmarks.values(list({s for x in held.values() for s in x}.union(t for t in plain if len(t) >= ORDER)))
         for t, x in held.items():
             if rows := [found[s] for s in x if s in found]:
                 self.hot[t] = np.max(rows, axis=0)
-        self.cold |= tokens.difference(self.hot)
-        self.chars += sum(map(len, tokens))
-        self.singles |= {t for t in tokens if len(t.strip(EDGES)) == 1}
+        self.hot |= {s: row for s, row in found.items() if s in plain}
+        cold = tokens.difference(self.hot)
+        self.cold |= cold
+        self.chars += sum(map(len, cold))
+        self.singles |= {t for t in plain if len(t) == 1}
+        self.singles |= {t for t in held if len(t.strip(EDGES)) == 1}
 
     def pieces(self, text: str) -> list[list[str]]:
         """The sentences' tokens; between two single characters no sentence ends ("i. d. i. o. t.")."""
