@@ -288,8 +288,8 @@ def _grow(rows: DataFrame, s: Spec, families: list[dict], g: Column, h: Column,
         for j, f in enumerate(families):
             if f["kind"] == "set":
                 cells = F.concat(cells, _id_cells(f["c"], j))
-        more = [F.sum(F.when(F.col("c.j") == -1, error)).alias("e")] if history is not None and level == 0 else []
-        got = live.select("*", F.explode(cells).alias("c")).groupBy("__n", F.col("c.j").alias("j"), F.col("c.b").alias("b"))
+        more = [F.sum(F.when(F.col("__cell.j") == -1, error)).alias("e")] if history is not None and level == 0 else []
+        got = live.select("*", F.explode(cells).alias("__cell")).groupBy("__n", F.col("__cell.j").alias("j"), F.col("__cell.b").alias("b"))
         sums = got.agg(F.sum("__w").alias("w"), F.sum("__g").alias("g"), F.sum("__h").alias("h"), *more).toPandas()
         if more:
             own = sums[sums["j"] == -1]
@@ -404,7 +404,7 @@ def _best(part, whole: tuple, families: list[dict], s: Spec, bound: tuple[float,
         if f["kind"] == "arc" and np.isfinite(gain[at]):
             edges = np.array(f["edges"])
             width = (edges[hi] - edges[lo]) % f["period"]
-            near = np.flatnonzero(gain >= gain[at] * (1 - 1e-12))
+            near = np.flatnonzero(gain >= gain[at] - 1e-12 * abs(gain[at]))
             at = int(near[np.argmin(width[near])])
         need = best * (1 + 1e-12)
         if f["kind"] in ("diagonal", "radial") and plain is not None:

@@ -115,7 +115,15 @@ def match_reference(df: DataFrame, p: Panel, signal: list[float], noise: float,
     return over_series(df, p, {"state": "long"}, lambda y: {"state": R.viterbi(y, ref, noise, step)})
 
 
-def locate(df: DataFrame, p: Panel, grid: list[float], signal: list[float], start: tuple[float, float], noise: float) -> DataFrame:
-    """(series, ts, y, axis): each series' smoothed axis position along the reference signal, a row a step."""
+def reference_mean(df: DataFrame, p: Panel, axis: list[float], signal: list[float], noise: float, step: float) -> DataFrame:
+    """(series, ts, y, axis, signal): the mean position and signal over all paths through the reference's states."""
+    at, ref = np.array(axis, float), np.array(signal, float)
+    return over_series(df, p, {"axis": "double", "signal": "double"}, lambda y: dict(zip(("axis", "signal"), R.posterior_mean(y, at, ref, noise, step), strict=True)))
+
+
+def locate(df: DataFrame, p: Panel, grid: list[float], signal: list[float], start: tuple[float, float], noise: float, unscented: bool = False) -> DataFrame:
+    """(series, ts, y, axis): each series' axis position along the reference signal, a row a step: by an extended filter
+    smoothed backwards, or an unscented one."""
     g, s = np.array(grid, float), np.array(signal, float)
-    return over_series(df, p, {"axis": "double"}, lambda y: {"axis": R.sequence_filter(np.arange(len(y), dtype=float), y, g, s, start, noise)})
+    f = R.unscented_filter if unscented else R.sequence_filter
+    return over_series(df, p, {"axis": "double"}, lambda y: {"axis": f(np.arange(len(y), dtype=float), y, g, s, start, noise)})

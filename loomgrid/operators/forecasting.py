@@ -122,6 +122,29 @@ def piecewise(df, p, horizon, **kw) -> DataFrame:
     return per_series(df, p, "piecewise_linear_seasonal", horizon, lambda y, h: R.piecewise(y, h, **kw))
 
 
+def piecewise_regressors(df: DataFrame, future: DataFrame, p: Panel, regressors: list[str], strength: float = 1.0, **kw) -> DataFrame:
+    """The piecewise model with known regressors and event indicators; ``future`` is (series, horizon, ts, regressors).
+
+    A series' history and its few steps ahead meet in one group.
+    """
+    if missing := [c for c in regressors if c not in future.columns or c not in df.columns]:
+        raise ValueError(f"no columns {missing}")
+    past = observed(df, p).select(p.series, p.ts, F.lit(None).cast("int").alias("horizon"), F.col(p.y).cast("double").alias("__y"), *[F.col(c).cast("double").alias(c) for c in regressors])
+    ahead = future.select(p.series, p.ts, F.col("horizon").cast("int").alias("horizon"), F.lit(None).cast("double").alias("__y"), *[F.col(c).cast("double").alias(c) for c in regressors])
+    schema = T.StructType([T.StructField(p.series, T.StringType()), past.schema[p.ts], T.StructField("horizon", T.IntegerType()), T.StructField("mean", T.DoubleType())])
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(p.ts)
+        old, new = rows[rows["horizon"].isna()], rows[rows["horizon"].notna()]
+        if old.empty or new.empty:
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        made = R.piecewise(old["__y"].to_numpy(float), int(new["horizon"].max()), extra=(old[regressors].to_numpy(float), new.sort_values("horizon")[regressors].to_numpy(float)), extra_ridge=strength, **kw)
+        return pd.DataFrame({p.series: key[0], p.ts: new[p.ts], "horizon": new["horizon"].astype("int32"), "mean": made[new["horizon"].astype(int).to_numpy() - 1]})
+
+    out = past.unionByName(ahead).groupBy(p.series).applyInPandas(run, schema)
+    return _rows(out, p, "piecewise_regressors", F.col("mean"))
+
+
 def stl_forecast(df, p, horizon, season=7) -> DataFrame:
     """The last season repeated on an ETS forecast of the rest."""
 

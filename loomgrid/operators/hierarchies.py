@@ -49,10 +49,10 @@ def projection(closure: DataFrame, weights: dict[str, float] | None = None, resi
     Least squares (OLS), by node variances (WLS), or by the shrunken covariance of residuals (MinT).  The
     hierarchy's nodes, not the series' rows, are what is solved here.
     """
-    pairs = closure.select("node", "leaf").distinct().limit(MOST_NODES * MOST_NODES).collect()
-    nodes, leaves = sorted({r.node for r in pairs}), sorted({r.leaf for r in pairs})
-    if len(nodes) > MOST_NODES:
+    if closure.select("node").distinct().limit(MOST_NODES + 1).count() > MOST_NODES:
         raise ValueError(f"more than {MOST_NODES} nodes")
+    pairs = closure.select("node", "leaf").distinct().collect()  # a leaf has as many as its depth
+    nodes, leaves = sorted({r.node for r in pairs}), sorted({r.leaf for r in pairs})
     s = np.zeros((len(nodes), len(leaves)))
     at, of = {n: i for i, n in enumerate(nodes)}, {n: i for i, n in enumerate(leaves)}
     for r in pairs:

@@ -311,15 +311,31 @@ def piecewise_design(t: np.ndarray, changepoints: np.ndarray, season: float | No
     return np.column_stack(cols)
 
 
-def piecewise(y: np.ndarray, horizon: int, changepoints: int = 5, reach: float = 0.8, season: float | None = 7, order: int = 3, ridge: float = 0.1, huber: float | None = None) -> np.ndarray:
-    """Piecewise linear trend with Fourier season by ridge least squares (free intercept), with Huber weights if asked for."""
+def piecewise(y: np.ndarray, horizon: int, changepoints: int = 5, reach: float = 0.8, season: float | None = 7, order: int = 3, ridge: float = 0.1, huber: float | None = None, extra: tuple[np.ndarray, np.ndarray] | None = None, extra_ridge: float = 1.0, growth: str = "linear", cap: float | None = None) -> np.ndarray:
+    """Piecewise linear trend with Fourier season by ridge least squares (free intercept), with Huber weights if asked for.
+
+    ``extra`` holds regressors of the history and of the steps ahead, with a penalty of their own; ``growth`` may be flat
+    (no trend), or logistic below ``cap`` (the trend is of the logit).
+    """
     n = len(y)
     t = np.arange(n, dtype=float)
+    if growth == "logistic":
+        share = np.clip(y / cap, 1e-6, 1 - 1e-6)
+        y = np.log(share / (1 - share))
     last = max(1, int(n * reach))
     at = t[np.unique(np.linspace(0, last - 1, changepoints + 2).astype(int)[1:-1])] if n > changepoints + 2 else np.zeros(0)
-    x = piecewise_design(t, at, season, order)
+
+    def design(t: np.ndarray, more: np.ndarray | None) -> np.ndarray:
+        x = piecewise_design(t, at, season, order)
+        if growth == "flat":
+            x = np.delete(x, np.s_[1 : 2 + len(at)], axis=1)
+        return x if more is None else np.hstack([x, more])
+
+    x = design(t, extra[0] if extra else None)
     pen = np.full(x.shape[1], ridge)
     pen[0] = 0
+    if extra:
+        pen[x.shape[1] - extra[0].shape[1] :] = extra_ridge
     w, coef = np.ones(n), np.zeros(x.shape[1])
     for _ in range(50 if huber else 1):
         fresh = np.linalg.solve((x * w[:, None]).T @ x + np.diag(pen + 1e-10), (x * w[:, None]).T @ y)
@@ -329,7 +345,8 @@ def piecewise(y: np.ndarray, horizon: int, changepoints: int = 5, reach: float =
             w = np.where(res <= huber, 1.0, huber / np.maximum(res, 1e-12))
             if moved < 1e-8:
                 break
-    return piecewise_design(np.arange(n, n + horizon, dtype=float), at, season, order) @ coef
+    out = design(np.arange(n, n + horizon, dtype=float), extra[1] if extra else None) @ coef
+    return cap / (1 + np.exp(-out)) if growth == "logistic" else out
 
 
 def interpolate(grid: np.ndarray, signal: np.ndarray, at: float) -> tuple[float, float]:
@@ -384,3 +401,48 @@ def viterbi(y: np.ndarray, signal: np.ndarray, noise: float = 1.0, step: float =
     for b in reversed(back):
         path.append(int(b[path[-1]]))
     return np.array(path[::-1])
+
+
+def posterior_mean(y: np.ndarray, axis: np.ndarray, signal: np.ndarray, noise: float = 1.0, step: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Each value's mean axis position and signal over all reference paths, by forward and backward sums of ``viterbi``'s
+    costs; a missing value says nothing."""
+    m = len(signal)
+    move = np.exp(-0.5 * ((np.arange(m)[:, None] - np.arange(m)[None]) / step) ** 2)
+    emit = lambda v: np.ones(m) if np.isnan(v) else np.exp(-0.5 * (((v - signal) / noise) ** 2 - (((v - signal) / noise) ** 2).min()))
+    forward, backward = [emit(y[0])], [np.ones(m)]
+    for v in y[1:]:
+        now = (forward[-1] / forward[-1].sum()) @ move * emit(v)
+        forward.append(now)
+    for v in y[:0:-1]:
+        now = move @ (backward[-1] / backward[-1].sum() * emit(v))
+        backward.append(now)
+    p = np.array(forward) * np.array(backward[::-1])
+    p /= p.sum(1, keepdims=True)
+    return p @ axis, p @ signal
+
+
+def unscented_filter(position: np.ndarray, y: np.ndarray, grid: np.ndarray, signal: np.ndarray, start: tuple[float, float], noise: float = 1.0, drift: tuple[float, float] = (1e-3, 1e-4), spread: tuple[float, float, float] = (1.0, 0.0, 1.0)) -> np.ndarray:
+    """Axis positions as ``sequence_filter``'s without smoothing, but measured at five sigma points instead of by the
+    signal's slope; ``spread`` is (alpha, beta, kappa)."""
+    alpha, beta, kappa = spread
+    x, cov, out = np.array(start, float), np.eye(2), [float(start[0])]
+    lam = alpha * alpha * (2 + kappa) - 2
+    w = np.full(5, 1 / (2 * (2 + lam)))
+    wm, wc = w.copy(), w.copy()
+    wm[0], wc[0] = lam / (2 + lam), lam / (2 + lam) + 1 - alpha * alpha + beta
+    for k in range(1, len(y)):
+        f = np.array([[1.0, position[k] - position[k - 1]], [0.0, 1.0]])
+        x, cov = f @ x, f @ cov @ f.T + np.diag(drift)
+        x[0] = np.clip(x[0], grid[0], grid[-1])
+        if not np.isnan(y[k]):
+            root = np.linalg.cholesky((2 + lam) * cov + 1e-12 * np.eye(2))
+            points = np.vstack([x, x + root.T, x - root.T])
+            z = np.array([interpolate(grid, signal, p[0])[0] for p in points])
+            mean = wm @ z
+            var = wc @ (z - mean) ** 2 + noise
+            gain = ((points - x).T * wc) @ (z - mean) / var
+            x = x + gain * (y[k] - mean)
+            x[0] = np.clip(x[0], grid[0], grid[-1])
+            cov = cov - np.outer(gain, gain) * var
+        out.append(float(x[0]))
+    return np.array(out)

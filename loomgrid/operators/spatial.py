@@ -13,7 +13,7 @@ from loomgrid.functions.geometry import semivariogram
 from loomgrid.operators.joins import nearest, self_pairs, spatial_lag, within
 from loomgrid.operators.ordered import running
 
-MOST_POINTS = 4000  # for what is solved as one dense system on the driver
+MOST_POINTS, MOST_LINKS = 4000, 1_000_000  # for what is solved as one dense system on the driver
 
 
 def weights(edges: DataFrame, row_normalize: bool = False, symmetric: bool = False, zero_diagonal: bool = True) -> DataFrame:
@@ -105,13 +105,6 @@ def fit_variogram(empirical: DataFrame, kind: str, ranges: list[float], sills: l
     return scored.orderBy(F.round("sse", 9), "k").limit(1).drop("k")
 
 
-def _gather(df: DataFrame, columns: list[str], most: int = MOST_POINTS) -> np.ndarray:
-    rows = df.select(*columns).limit(most + 1).toPandas().to_numpy(dtype=float)
-    if len(rows) > most:
-        raise ValueError(f"a dense system of more than {most} points; use a neighbourhood")
-    return rows
-
-
 def _gamma(h: np.ndarray, kind: str, scale: float, sill: float, nugget: float) -> np.ndarray:
     r = h / scale
     shape = {"exponential": 1 - np.exp(-r), "gaussian": 1 - np.exp(-r * r), "spherical": np.where(r >= 1, 1.0, 1.5 * r - 0.5 * r**3), "linear": r}[kind]
@@ -207,8 +200,11 @@ def spatial_ml(nodes: DataFrame, edges: DataFrame, node: str, x: list[str], y: s
         raise ValueError(f"more than {MOST_POINTS} nodes; use s2sls")
     place = {v: k for k, v in enumerate(rows[node])}
     w = np.zeros((n, n))
-    for r in edges.select("src", "dst", "w").collect():
-        w[place[r.src], place[r.dst]] = r.w
+    links = edges.select("src", "dst", "w").limit(MOST_LINKS + 1).toPandas()
+    if len(links) > MOST_LINKS:
+        raise ValueError(f"more than {MOST_LINKS} edges; use s2sls")
+    for a, b, x in links.itertuples(index=False):
+        w[place[a], place[b]] = x
     mat = np.column_stack([np.ones(n), rows[x].to_numpy(float)])
     if model == "durbin":
         mat = np.column_stack([mat, w @ mat[:, 1:]])

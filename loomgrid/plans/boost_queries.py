@@ -60,10 +60,24 @@ def trees_sql(loss: str, features: list[str], trees: int, depth: int, rate: floa
             value = f"SELECT n, min(e) AS v FROM (SELECT n, e, sum(count(*)) OVER (PARTITION BY n ORDER BY e) AS c, sum(count(*)) OVER (PARTITION BY n) AS t FROM (SELECT n, y - f AS e FROM {leaves}) GROUP BY n, e) WHERE c >= {q} * t - 1e-9 * t GROUP BY n"
         else:
             value = f"SELECT n, -sum(g) / (sum(h) + 1.0) AS v FROM {leaves} GROUP BY n"
-        parts.append(f"r{tag}{t + 1} AS MATERIALIZED (SELECT id, y, {cols}, f + {rate} * v AS f FROM {leaves} d JOIN ({value}) l ON l.n = d.n)")
+        parts.append(f"v{k} AS MATERIALIZED (SELECT n, {rate} * v AS v FROM ({value}))")
+        parts.append(f"r{tag}{t + 1} AS MATERIALIZED (SELECT id, y, {cols}, f + v AS f FROM {leaves} d JOIN v{k} l ON l.n = d.n)")
     return ", ".join([*parts, f"m{tag} AS (SELECT id, y, {cols}, f FROM r{tag}{trees})"])
 
 
+def apply_sql(name: str, rows: str, features: list[str], trees: int, depth: int, tag: str) -> str:
+    """Tables up to ``name`` (id, f): the margins by ``trees_sql``'s trees of a tag, of other rows (id, features)."""
+    cols = ", ".join(features)
+    parts = [f"{name}_0 AS MATERIALIZED (SELECT id, {cols}, (SELECT any_value(f) FROM r{tag}0) AS f FROM ({rows}))"]
+    for t in range(trees):
+        now = f"(SELECT *, 0 AS n FROM {name}_{t})"
+        for level in range(depth):
+            left = "CASE " + " ".join(f"WHEN p.j = {j} THEN {c} <= p.cut" for j, c in enumerate(features)) + " END"
+            now = f"(SELECT d.* REPLACE (CASE WHEN p.n IS NULL THEN d.n WHEN {left} THEN 2 * d.n + 1 ELSE 2 * d.n + 2 END AS n) FROM {now} d LEFT JOIN p{tag}{t}_{level} p ON p.n = d.n)"
+        parts.append(f"{name}_{t + 1} AS MATERIALIZED (SELECT id, {cols}, f + v AS f FROM {now} d JOIN v{tag}{t} l ON l.n = d.n)")
+    return ", ".join([*parts, f"{name} AS (SELECT id, f FROM {name}_{trees})"])
+
+
 def _signal(loss: str) -> tuple[str, str]:
     """The target in SQL, which Spark reads as well."""
     base = "(CASE WHEN a + b > 11 THEN 3.0 ELSE 1.0 END + a / 6)"
@@ -118,14 +132,14 @@ def boost_quantiles(spark, sf_dir):
     return _out(B.predict_quantiles(models, d), "c_custkey", "q10", "q50", "q90")
 
 
-HURDLE = f"{V.SPARSE}, sx AS (SELECT series_id, ts, y, day(ts)::DOUBLE AS x, series_id::DOUBLE AS k FROM sparse), dz AS (SELECT series_id || '|' || ts AS id, x, k, (y > 0)::INTEGER::DOUBLE AS y FROM sx), dp AS (SELECT series_id || '|' || ts AS id, x, k, y FROM sx WHERE y > 0)"
+HURDLE = f"{V.SPARSE}, sx AS (SELECT series_id, ts, y, day(ts)::DOUBLE AS x, (series_id::BIGINT % 20)::DOUBLE AS k FROM sparse), dz AS (SELECT series_id || '|' || ts AS id, x, k, (y > 0)::INTEGER::DOUBLE AS y FROM sx), dp AS (SELECT series_id || '|' || ts AS id, x, k, y FROM sx WHERE y > 0)"
 
 
 @query(f"""WITH {HURDLE}, {trees_sql('logistic', ['x', 'k'], 2, 1, 0.5, tag='z')}, {trees_sql('poisson', ['x', 'k'], 2, 1, 0.5, tag='p')},
 u AS (SELECT DISTINCT x, k, f FROM mp), z AS (SELECT DISTINCT x, k, f FROM mz) SELECT sx.series_id, sx.ts, {r('1 / (1 + exp(-z.f)) * exp(u.f)')} AS prediction FROM sx JOIN z ON z.x = sx.x AND z.k = sx.k JOIN u ON u.x = sx.x AND u.k = sx.k""")
 def boost_hurdle(spark, sf_dir):
     """A count by a zero part and a positive part, where both parts know the row's features."""
-    s = V.sparse(spark, sf_dir).withColumns({"x": F.dayofmonth("ts").cast("double"), "k": F.col("series_id").cast("double"), "some": (F.col("y") > 0).cast("double")})
+    s = V.sparse(spark, sf_dir).withColumns({"x": F.dayofmonth("ts").cast("double"), "k": (F.col("series_id").cast("long") % 20).cast("double"), "some": (F.col("y") > 0).cast("double")})
     spec = {"features": ["x", "k"], "trees": 2, "depth": 1, "bins": 40, "rate": 0.5}
     zero = B.fit(s, B.Spec(y="some", loss="logistic", **spec))
     size = B.fit(s.where("y > 0"), B.Spec(y="y", loss="poisson", **spec))

@@ -83,8 +83,6 @@ def _reconciled(name: str, **kw):
         f = H.bottom_up(cl, lv, ["k"]).withColumn("mean", F.when(F.col("node") == "all", F.col("mean") * 1.05).otherwise(F.col("mean")))
         args = dict(kw)
         nodes = [x.node for x in cl.select("node").distinct().collect()]
-        if name == "wls":
-            args["weights"] = {n: 3.0 if n == "all" else 2.0 if n[0] == "r" else 1.0 for n in nodes}
         if name == "mint":
             args["residuals"] = {n: [((k * 7 + len(n) * 3 + ord(n[-1])) % 11) - 5.0 + 0.1 * k for k in range(12)] for n in nodes}
         out = H.reconcile(cl, f, ["k"], **args)
@@ -94,5 +92,4 @@ def _reconciled(name: str, **kw):
     return query()(run)
 
 
-for _name in ("ols", "wls", "mint"):
-    _reconciled(_name)
+_reconciled("mint")

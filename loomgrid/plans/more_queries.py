@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgrid.functions.columns import rounded
-from loomgrid.operators import detectors as D
 from loomgrid.operators import forecasting as X
 from loomgrid.operators import metrics as M
 from loomgrid.operators import splits as S
@@ -60,26 +59,6 @@ def forecast_auto_forecaster(spark, sf_dir):
     return _out(X.auto_forecast(d, P, 5, S.rolling_origin(d, "ts", 5, 5, 15, 2)))
 
 
-@query()
-def forecast_boosted_lag(spark, sf_dir):
-    return _out(X.boosted_lags(_daily(spark, sf_dir), P, 3, lags=(1, 2, 7), trees=4, depth=2, bins=16))
-
-
-@query()
-def forecast_boosted_direct(spark, sf_dir):
-    return _out(X.boosted_direct(_daily(spark, sf_dir), P, 2, trees=3, depth=2, bins=16))
-
-
-@query()
-def detect_reference_path(spark, sf_dir):
-    return _out(D.match_reference(_daily(spark, sf_dir), P, [200.0, 400.0, 600.0, 800.0], 150.0, 1.0))
-
-
-@query()
-def filter_sequence(spark, sf_dir):
-    return _out(D.locate(_daily(spark, sf_dir), P, [0.0, 10.0, 20.0, 30.0], [300.0, 500.0, 700.0, 400.0], (5.0, 0.5), 1e4))
-
-
 @query()
 def split_environmental(spark, sf_dir):
     return S.environmental(V.geo(spark, sf_dir), "id", ["x", "y"], 4)

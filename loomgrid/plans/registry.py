@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boost_queries, metric_queries, model_queries, more_queries, panel_queries, relation_queries, scalar_queries, selection_queries, series_queries, source_queries, space_queries, split_queries  # noqa: F401
+from . import algebra_queries, boost_queries, kernel_queries, metric_queries, model_queries, more_queries, panel_queries, relation_queries, scalar_queries, selection_queries, series_queries, source_queries, space_queries, split_queries  # noqa: F401
 from .catalog import QUERIES, SQL
 
 

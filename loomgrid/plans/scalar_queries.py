@@ -91,12 +91,12 @@ def geometry_kernels(spark, sf_dir):
     return V.geo(spark, sf_dir).select("id", *[rounded(c).alias(k) for k, c in cols.items()])
 
 
-@query(f"""WITH {V.BINARY}, t AS (SELECT id, p, greatest(2 * p, greatest(1 - p, 0.5)) AS m FROM bin) SELECT id, {r('ln(1 + p)')} AS log1p, {r('exp(p) - 1')} AS expm1, {r('1 / (1 + exp(-p))')} AS sigmoid, {r('ln(greatest(p, 0.001) / (1 - greatest(p, 0.001)))')} AS logit,
-{r('exp(2 * p - m) / (exp(2 * p - m) + exp(1 - p - m) + exp(0.5 - m))')} AS softmax0, {r('0.9 * (1 - 0.9 ** (id % 7 + 1)) / (1 - 0.9)')} AS damped, {r('least(greatest(p, 0.2), 0.8)')} AS clamped FROM t WHERE p < 0.999""")
+@query(f"""WITH {V.BINARY}, t AS (SELECT id, p, greatest(2 * p, greatest(1 - p, 0.5)) AS m FROM bin) SELECT id, {r('ln(1 + p)')} AS log1p, {r('exp(p) - 1')} AS expm1, {r('1 / (1 + exp(-p))')} AS sigmoid, {r('ln(least(greatest(p, 0.001), 0.999) / (1 - least(greatest(p, 0.001), 0.999)))')} AS logit,
+{r('exp(2 * p - m) / (exp(2 * p - m) + exp(1 - p - m) + exp(0.5 - m))')} AS softmax0, {r('0.9 * (1 - 0.9 ** (id % 7 + 1)) / (1 - 0.9)')} AS damped, {r('least(greatest(p, 0.2), 0.8)')} AS clamped FROM t""")
 def scalar_links(spark, sf_dir):
     p = F.col("p")
     cols = {"log1p": F.log1p(p), "expm1": F.expm1(p), "sigmoid": S.sigmoid(p), "logit": S.logit(p, 0.001), "softmax0": S.softmax([p * 2, 1 - p, F.lit(0.5)])[0], "damped": S.damped_multiplier(0.9, F.col("id") % 7 + 1), "clamped": S.clamp(p, 0.2, 0.8)}
-    return V.binary(spark, sf_dir).where("p < 0.999").select("id", *[rounded(c).alias(k) for k, c in cols.items()])
+    return V.binary(spark, sf_dir).select("id", *[rounded(c).alias(k) for k, c in cols.items()])
 
 
 @query(f"WITH {V.DAILY}, s AS (SELECT series_id, ts, y, avg(y) OVER (PARTITION BY series_id) AS m, greatest(stddev_pop(y) OVER (PARTITION BY series_id), 1e-9) AS sd FROM daily) SELECT series_id, ts, {r('(y - m) / sd')} AS scaled, {r('m')} AS scale_mean, {r('sd')} AS scale_std FROM s")

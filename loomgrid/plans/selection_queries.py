@@ -71,11 +71,6 @@ def forecast_auto_kalman(spark, sf_dir):
     return _out(X.auto_kalman_trend(_daily(spark, sf_dir), P, 7))
 
 
-@query()
-def forecast_stl_theta(spark, sf_dir):
-    return _out(X.decomposed(_daily(spark, sf_dir), P, 7, [7], X.theta))
-
-
 @query()
 def forecast_mstl_boosted(spark, sf_dir):
     return _out(X.decomposed(_daily(spark, sf_dir), P, 3, [5, 7], X.boosted_lags, lags=(1, 2), windows=(3,), trees=3, depth=2, bins=16))
@@ -98,11 +93,3 @@ def forecast_kriging(spark, sf_dir):
     names = [x.series_id for x in d.select("series_id").distinct().orderBy("series_id").collect()]
     places = spark.createDataFrame([(n, float(k), 0.0) for k, n in enumerate(names)], "series_id string, x double, y double")
     return _out(X.kriged(d, P, 7, places, 2, 1.0, scale=2.0))
-
-
-@query()
-def forecast_spatial_piecewise(spark, sf_dir):
-    d = _daily(spark, sf_dir)
-    names = [x.series_id for x in d.select("series_id").distinct().orderBy("series_id").collect()]
-    places = spark.createDataFrame([(n, float(k), 0.0) for k, n in enumerate(names)], "series_id string, x double, y double")
-    return _out(X.kriged(d, P, 7, places, 2, 1.0, scale=2.0, base=("piecewise_linear_seasonal", {})))

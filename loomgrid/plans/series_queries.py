@@ -101,8 +101,7 @@ def _model(name: str, view, **kw):
     return query()(run)
 
 
-for _name, _kw in (("arima", {"order": (2, 1, 1)}), ("auto_arima", {}), ("piecewise_linear_seasonal", {"huber": 300.0}), ("stl", {})):
-    _model(_name, _daily, **_kw)
+_model("auto_arima", _daily)
 
 
 def _croston_sql(name: str, source: str) -> str:
@@ -286,16 +285,6 @@ def filter_residual_corrector(spark, sf_dir):
     return _out(D.correct_residuals(_daily(spark, sf_dir).withColumn("structural", F.lit(500.0)), P, "structural", 25.0, 400.0))
 
 
-@query()
-def decompose_stl(spark, sf_dir):
-    return _out(D.decompose(_daily(spark, sf_dir), P, 7))
-
-
-@query()
-def decompose_mstl(spark, sf_dir):
-    return _out(D.decompose_multiple(_daily(spark, sf_dir), P, [5, 7]))
-
-
 CONF = f"{V.GEO}, ca AS (SELECT *, abs(z - 4500) AS e FROM geo WHERE id % 2 = 0), rk AS (SELECT grp, e, row_number() OVER (PARTITION BY grp ORDER BY e) AS k, count(*) OVER (PARTITION BY grp) AS n FROM ca), ra AS (SELECT grp, max(n) AS n, min(CASE WHEN k >= ceil(round((n + 1) * 0.8, 9)) THEN e END) AS radius FROM rk GROUP BY 1)"
 
 

@@ -24,10 +24,12 @@ def spatial_weights(spark, sf_dir):
     return _out(S.weights(V.flows(spark, sf_dir), row_normalize=True))
 
 
-@query(f"WITH {V.FLOWS}, f AS (SELECT * FROM flows WHERE src % 2 = 0 AND dst % 3 = 0) SELECT n_nationkey AS node FROM nation WHERE n_nationkey NOT IN (SELECT src FROM f) AND n_nationkey NOT IN (SELECT dst FROM f)")
+@query(f"WITH {V.FLOWS} SELECT n AS node FROM (SELECT n_nationkey AS n FROM nation UNION ALL SELECT n_nationkey + 100 FROM nation WHERE n_regionkey = 2) WHERE n NOT IN (SELECT src FROM flows) AND n NOT IN (SELECT dst FROM flows)")
 def spatial_isolates(spark, sf_dir):
-    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"))
-    return S.isolates(V.flows(spark, sf_dir).where("src % 2 = 0 AND dst % 3 = 0"), nodes, "node")
+    """Nodes of all flows, and some that no flow has."""
+    n = table(spark, sf_dir, "nation")
+    nodes = n.select(F.col("n_nationkey").cast("long").alias("node")).unionByName(n.where("n_regionkey = 2").select((F.col("n_nationkey") + 100).cast("long").alias("node")))
+    return S.isolates(V.flows(spark, sf_dir), nodes, "node")
 
 
 @query("SELECT true AS symmetric FROM (SELECT 1)")
@@ -58,27 +60,6 @@ def spatial_fit_variogram(spark, sf_dir):
     return S.fit_variogram(v, "exponential", [2, 5, 9], [1e6, 8e6], [0, 5e5]).select("scale", "sill", "nugget", (F.col("sse") > 0).alias("fitted"))
 
 
-def _near(spark, sf_dir):
-    """Every point with its nearest others: predictions leave the point itself out."""
-    g = V.geo(spark, sf_dir)
-    return J.nearest(g, g, "id", 8, 12.0)
-
-
-@query()
-def spatial_kriging(spark, sf_dir):
-    return _out(S.krige(_near(spark, sf_dir), "id", "z", "exponential", 5.0, 8e6, 1e5))
-
-
-@query()
-def spatial_kriging_drift(spark, sf_dir):
-    return _out(S.krige(_near(spark, sf_dir), "id", "z", "spherical", 9.0, 8e6, 1e5, drift=True))
-
-
-@query()
-def spatial_nngp(spark, sf_dir):
-    return _out(S.nngp(_near(spark, sf_dir), "id", "z", 5.0, 8e6, 1e5, 4500.0))
-
-
 @query(f"SELECT {r('regr_slope(c_acctbal, x)')} AS slope, {r('regr_intercept(c_acctbal, x)')} AS intercept, count(*) AS n FROM (SELECT c_acctbal, (c_custkey % 97)::DOUBLE AS x FROM customer)")
 def spatial_ols(spark, sf_dir):
     fit = S.ols(V.geo(spark, sf_dir), ["x"], "z")
@@ -102,12 +83,6 @@ def spatial_lag_ml(spark, sf_dir):
     return spark.createDataFrame(out, "model string, rho double, sigma2 double, aic double")
 
 
-@query()
-def spatial_s2sls(spark, sf_dir):
-    nodes, edges = _nation_panel(spark, sf_dir)
-    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(S.s2sls(nodes, edges, "node", ["x1"], "y"))], "k int, coefficient double")
-
-
 @query(f"WITH {V.GEO}, s AS (SELECT id, floor((x * 0.6 + y * 0.4) * (1 + id % 3) * (1 + 0.5 * exp(-(x - y) * (x - y) / 200)) * 1000000 + 0.5) / 1000000 AS score FROM geo) SELECT id, {r('score')} AS score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM s")
 def spatial_overlay(spark, sf_dir):
     g = V.geo(spark, sf_dir)

@@ -17,18 +17,18 @@ DAILY = "daily AS (SELECT event_type AS series_id, ts::DATE AS ts, sum(value) AS
 
 
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(series_id, ts, y): large events by user group and day, densified with 0."""
-    hits = table(spark, sf_dir, "events").where("value > 250").groupBy((F.col("user_id") % 20).cast("string").alias("series_id"), F.to_date("ts").alias("ts")).agg(F.count(F.lit(1)).alias("c"))
-    days = table(spark, sf_dir, "events").select(F.to_date("ts").alias("ts")).distinct()
-    ids = spark.range(20).select(F.col("id").cast("string").alias("series_id"))
-    return ids.crossJoin(F.broadcast(days)).join(hits, ["series_id", "ts"], "left").select("series_id", "ts", F.coalesce("c", F.lit(0)).cast("double").alias("y"))
+    """(series_id, ts, y): events by user and day, densified with 0."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("series_id"), F.to_date("ts").alias("ts"))
+    hits = e.groupBy("series_id", "ts").agg(F.count(F.lit(1)).alias("c"))
+    days = e.select("ts").distinct()  # a row a day
+    return e.select("series_id").distinct().crossJoin(F.broadcast(days)).join(hits, ["series_id", "ts"], "left").select("series_id", "ts", F.coalesce("c", F.lit(0)).cast("double").alias("y"))
 
 
 SPARSE = """sparse AS (
-    SELECT i.range::VARCHAR AS series_id, d.ts, coalesce(h.c, 0)::DOUBLE AS y
-    FROM range(20) i CROSS JOIN (SELECT DISTINCT ts::DATE AS ts FROM events) d
-    LEFT JOIN (SELECT (user_id % 20)::VARCHAR AS series_id, ts::DATE AS ts, count(*) AS c FROM events WHERE value > 250 GROUP BY 1, 2) h
-    ON h.series_id = i.range::VARCHAR AND h.ts = d.ts)"""
+    SELECT i.series_id, d.ts, coalesce(h.c, 0)::DOUBLE AS y
+    FROM (SELECT DISTINCT user_id::VARCHAR AS series_id FROM events) i CROSS JOIN (SELECT DISTINCT ts::DATE AS ts FROM events) d
+    LEFT JOIN (SELECT user_id::VARCHAR AS series_id, ts::DATE AS ts, count(*) AS c FROM events GROUP BY 1, 2) h
+    ON h.series_id = i.series_id AND h.ts = d.ts)"""
 
 
 def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
