@@ -203,8 +203,8 @@ def spatial_ml(nodes: DataFrame, edges: DataFrame, node: str, x: list[str], y: s
     links = edges.select("src", "dst", "w").limit(MOST_LINKS + 1).toPandas()
     if len(links) > MOST_LINKS:
         raise ValueError(f"more than {MOST_LINKS} edges; use s2sls")
-    for a, b, x in links.itertuples(index=False):
-        w[place[a], place[b]] = x
+    for a, b, v in links.itertuples(index=False):
+        w[place[a], place[b]] = v
     mat = np.column_stack([np.ones(n), rows[x].to_numpy(float)])
     if model == "durbin":
         mat = np.column_stack([mat, w @ mat[:, 1:]])
