@@ -33,6 +33,12 @@ def slices(batches: Iterable[pa.RecordBatch], column: str | int, rows: int = 512
             at = stop
 
 
+def numbered_columns(df: DataFrame, *names: str) -> tuple[DataFrame, list[str], list[str]]:
+    """``df`` with columns c0, c1... instead of names that Spark may read as paths; the old names; the given ones' new names."""
+    old = df.columns
+    return df.toDF(*[f"c{k}" for k in range(len(old))]), old, [f"c{old.index(n)}" for n in names]
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores put before them until no column of ``df`` has them."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import numbered_columns, slices, table
 
 RATE = 0.05
 GRAM, LEAST = 8, 12
@@ -225,17 +225,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rate: float = RATE) -> DataFrame:
     """``docs`` without the rows whose text holds an item; all columns are kept."""
-    spark, names = docs.sparkSession, docs.columns
+    docs, names, (text,) = numbered_columns(docs, text_col)
+    spark = docs.sparkSession
     for block in item_blocks(benchmark):
         sent = spark.sparkContext.broadcast(tuple(sorted(block, key=lambda x: (x[0] is None, x))))
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(sent.value, rate)
-            for batch in slices(batches, names.index(text_col)):
-                yield batch.filter(pa.array([not matcher.find(t.as_py()) for t in batch.column(names.index(text_col))], pa.bool_()))
+            for batch in slices(batches, text):
+                yield batch.filter(pa.array([not matcher.find(t.as_py()) for t in batch.column(text)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.toDF(*names)
 
 
 def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

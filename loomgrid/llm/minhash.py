@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, claim, slices, table, unused
+from .common import Scratch, claim, numbered_columns, slices, table, unused
 
 WORDS = 5
 NUM, DEN = 75, 100  # the similarity, as a fraction
@@ -389,6 +389,7 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component of linked texts, that of its least id; rows without an id stay."""
+    docs, names, (id_col, text_col) = numbered_columns(docs, id_col, text_col)
     signed, classes, comps, more = _classes(docs, scratch, id_col, text_col)
     heads = _joined(comps, more, classes, scratch)
     first = heads.groupBy("comp").agg(F.min(F.struct("doc_id", "row", "node")).alias("first"))
@@ -404,6 +405,6 @@ def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     own = (F.col(id_col).cast("long") == F.col(i)) & (F.xxhash64(text_col) == F.col(h))
     kept = docs.join(few(gone), own, "left_anti")
     if not again.take(1):
-        return kept
+        return kept.toDF(*names)
     once = kept.join(few(again), own, "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(few(again), own, "left_anti").unionByName(once)
+    return kept.join(few(again), own, "left_anti").unionByName(once).toDF(*names)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, claim, slices, table
+from .common import Scratch, claim, numbered_columns, slices, table
 
 ORDER, DECAY, SUPPORT = 3, 0.6, 0.5
 LONGEST = 20
@@ -532,14 +532,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows predicted toxic."""
-    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    docs, names, (text,) = numbered_columns(docs, text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, at):
-            s = _scores(sent.value, [x or "" for x in batch.column(at).to_pylist()])
+        for batch in slices(batches, text):
+            s = _scores(sent.value, [x or "" for x in batch.column(text).to_pylist()])
             yield batch.filter(pa.array([x < 0.5 for x in s], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema).toDF(*names)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
