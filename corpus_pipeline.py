@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on too many documents of a source go from their texts; a text may be left blank, and its row stays."""
-    return line_dedup.drop_boilerplate(docs, Scratch(spark, "pipeline-lines")).select(*docs.columns)
+    return line_dedup.drop_boilerplate(docs, Scratch(spark, "pipeline-lines")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
