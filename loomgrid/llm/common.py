@@ -70,16 +70,15 @@ def claim(name: str, free: Callable[[], None]) -> None:
 
     Workers are reused from stage to stage, so without this a pipeline's memory would be the sum of its stages'.
     """
-    others = [k for k in _HOLDERS if k != name]
-    for other in others:
+    for other in [k for k in _HOLDERS if k != name]:
         _HOLDERS.pop(other)()
-    if others:
-        _give_back()
+    _give_back()
     _HOLDERS[name] = free
 
 
 def _give_back() -> None:
-    """Asks the C library to hand freed memory back to the system, where it can."""
+    """Hands memory that earlier tasks freed back to the system, where the libraries can."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
