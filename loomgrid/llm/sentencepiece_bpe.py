@@ -40,7 +40,7 @@ CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: As CHUNK, and between a letter and anything else; for texts without the characters that a model joins across this.
 PART = re.compile(rf"{MARK}*[^\W\d_]+|{MARK}*[\W\d_](?:(?!{MARK})[\W\d_])*")
 LETTER = re.compile(r"[^\W\d_]")
-REMEMBERED = 120_000  # in each of two generations
+REMEMBERED = 100_000  # in each of two generations
 REMEMBERED_PAIRS = 300_000
 LONG = 48
 MODEL_NAME = "piece_bpe_32k.model"

@@ -45,7 +45,7 @@ LONGEST = 20
 LANDMARKS, CONTRAST = 96, 24
 SAMPLE = 6000
 VIRTUAL = 0.15  # weight of the virtual examples together, against that of the toxic sentences
-REMEMBERED, REMEMBERED_CHARS = 100_000, 1_000_000
+REMEMBERED, REMEMBERED_CHARS = 60_000, 600_000
 DENSE = 100  # characters in landmarks up to which a table of all their triples is held
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 WORD = re.compile(r"[^\W_]+")
