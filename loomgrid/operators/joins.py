@@ -36,10 +36,7 @@ def self_pairs(df: DataFrame, ident: str, radius: float, x: str = "x", y: str =
 def nearest(left: DataFrame, right: DataFrame, ident: str, k: int, radius: float, x: str = "x", y: str = "y", least: int = 0) -> DataFrame:
     """Each left row's k nearest right rows within ``radius`` (ties by id, never itself), ranked from 1; left rows
     with fewer than ``least`` are absent."""
-    pairs = within(left, right, radius, x, y).where(F.col(ident) != F.col(f"r_{ident}"))
-    w = W.partitionBy(ident)
-    out = pairs.withColumn("rank", F.row_number().over(w.orderBy("distance", f"r_{ident}"))).where(F.col("rank") <= k)
-    return out if least <= 0 else out.withColumn("__n", F.count(F.lit(1)).over(w)).where(F.col("__n") >= least).drop("__n")
+    return nearest_any(left, right, ident, k, x, y, least, radius)
 
 
 def beyond(df: DataFrame, others: DataFrame, radius: float, ident: str, x: str = "x", y: str = "y") -> DataFrame:
@@ -71,42 +68,51 @@ def asof(left: DataFrame, right: DataFrame, key: str, at: str, value: str, range
 
 def nearest_any(left: DataFrame, right: DataFrame, ident: str, k: int, x: str = "x", y: str = "y", least: int = 0, most: float | None = None) -> DataFrame:
     """Each left row's k nearest right rows at any distance (ties by id, never itself), ranked from 1; with ``most`` only
-    those as near; left rows with fewer than ``least`` are absent.
+    those as near; left rows with fewer than ``least`` are absent.  ``ident`` is unique on either side.
 
-    Rings: a row with k neighbours within a radius is done, as nothing beyond can be nearer; the others go on with twice the
-    radius.  The first radius is one that holds few rows where they stand densest, so no dense place is paired whole.
+    Rows of one place share their neighbours but for themselves, so places are searched for k + 1, and of right's rows at
+    one place only the k + 1 of least id can be among them: copies of a place make no pairs.
+
+    Rings: a place with k + 1 neighbours within a radius is done, as nothing beyond can be nearer; the others go on with
+    twice the radius.  The first radius is one that holds few rows where they stand densest, so no dense place is paired whole.
     """
     tables = Tables(left.sparkSession, "nearest")
-    box = right.agg(F.min(x), F.max(x), F.min(y), F.max(y), F.count(F.lit(1))).first()
-    own = left.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    real = lambda df: df.where(~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
+    few = real(right).where(F.col(ident).isNotNull()).withColumn("__k", F.row_number().over(W.partitionBy(x, y).orderBy(ident))).where(F.col("__k") <= k + 1).drop("__k")
+    few, rest = tables.save(few), tables.save(real(left).select(F.col(x).alias("__x"), F.col(y).alias("__y")).distinct())
+    box = few.agg(F.min(x), F.max(x), F.min(y), F.max(y), F.count(F.lit(1))).first()
+    own = rest.agg(F.min("__x"), F.max("__x"), F.min("__y"), F.max("__y")).first()
     if not box[4] or own[0] is None:
         empty = within(left, right, 1.0, x, y).withColumn("rank", F.lit(1))
         return empty.limit(0)
     width, height = max(box[1], own[1]) - min(box[0], own[0]), max(box[3], own[3]) - min(box[2], own[2])
     reach = ((width * width + height * height) ** 0.5 or 1.0) * 1.001
     cell = reach / 1024
-    crowded = right.groupBy(_cell(x, cell), _cell(y, cell)).count().agg(F.max("count")).first()[0]
+    crowded = few.groupBy(_cell(x, cell), _cell(y, cell)).count().agg(F.max("count")).first()[0]
     radius = min(reach, cell * max(1.0, (4.0 * (k + 1) / crowded) ** 0.5))
     if most is not None:
         reach, radius = min(reach, most), min(radius, most)
-    w = W.partitionBy(ident)
-    rest, out = left, None
+    w = W.partitionBy("__x", "__y").orderBy("distance", f"r_{ident}")
+    other = few.withColumnsRenamed({x: "__x", y: "__y"})
+    found = None
     while True:
-        pairs = within(rest, right, radius, x, y).where(F.col(ident) != F.col(f"r_{ident}"))
-        found = pairs.withColumn("rank", F.row_number().over(w.orderBy("distance", f"r_{ident}"))).where(F.col("rank") <= k)
+        pairs = within(rest, other, radius, "__x", "__y").withColumnsRenamed({"r___x": f"r_{x}", "r___y": f"r_{y}"})
+        ring = pairs.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= k + 1)
+        near = F.struct("__k", "distance", *[F.col(f"r_{c}") for c in right.columns])
+        ring = ring.groupBy("__x", "__y").agg(F.array_sort(F.collect_list(near), lambda a, b: a["__k"] - b["__k"]).alias("__near"))
         last = radius >= reach
-        if not last:
-            full = found.groupBy(ident).count().where(F.col("count") >= k).select(ident)
-            found = found.join(full, ident, "left_semi")
-        found = tables.save(found)
-        out = found if out is None else out.unionByName(found)
+        ring = tables.save(ring if last else ring.where(F.size("__near") > k))
+        found = ring if found is None else found.unionByName(ring)
         if last:
             break
-        rest = tables.save(rest.join(found.select(ident).distinct(), ident, "left_anti"))
+        rest = tables.save(rest.join(ring, ["__x", "__y"], "left_anti"))
         if not rest.take(1):
             break
         radius = min(reach, radius * 2)
-    return out if least <= 0 else out.withColumn("__n", F.count(F.lit(1)).over(w)).where(F.col("__n") >= least).drop("__n")
+    rows = left.join(found, (F.col(x) == F.col("__x")) & (F.col(y) == F.col("__y")))
+    rows = rows.withColumn("__near", F.slice(F.filter("__near", lambda c: c[f"r_{ident}"] != F.col(ident)), 1, k)).where(F.size("__near") >= least)
+    rows = rows.select(*left.columns, F.posexplode("__near").alias("__at", "__c"))
+    return rows.select(*left.columns, *[F.col("__c")[f"r_{c}"].alias(f"r_{c}") for c in right.columns], F.col("__c")["distance"].alias("distance"), (F.col("__at") + 1).alias("rank"))
 
 
 def interpolate(x: Column, points: list[tuple[float, float]]) -> Column:

@@ -168,3 +168,33 @@ def test_streaming_cusum_keeps_state_between_batches(spark, tmp_path):
     q.stop()
     got = [(r.score, r.triggered) for r in spark.table("cusum_out").orderBy("ts").collect()]
     assert got == R.cusum(np.array(y), 2.0, 0.5, 4.0)
+
+
+def _crowd(spark, places: int, copies: int):
+    """(id, x, y, z): copies of few places."""
+    n = places * copies
+    return spark.range(n).select("id", (F.col("id") % places % 5).cast("double").alias("x"), F.floor(F.col("id") % places / 5).cast("double").alias("y"), (F.col("id") * 37 % 101).cast("double").alias("z"))
+
+
+def _counted(monkeypatch, module):
+    """Pairs that ``within`` makes from here on."""
+    made, within = [], module.within
+    monkeypatch.setattr(module, "within", lambda *a, **k: made.append(within(*a, **k)) or made[-1])
+    return lambda: sum(p.count() for p in made)
+
+
+@pytest.mark.parametrize("radius", [1.0, None])
+def test_nearest_of_copies_makes_few_pairs(spark, monkeypatch, radius):
+    g = _crowd(spark, 20, 50)
+    pairs = _counted(monkeypatch, joins)
+    left, right = g.where("id % 3 > 0"), g.where("id % 2 = 0")
+    near = joins.nearest_any(left, right, "id", 30) if radius is None else joins.nearest(left, right, "id", 30, radius, least=3)
+    got = {(r.id, r.r_id, r["rank"]) for r in near.collect()}
+    rows = [tuple(r) for r in g.collect()]
+    want = set()
+    for i, x, y, _ in rows:
+        if i % 3:
+            others = sorted(((x - u) ** 2 + (y - v) ** 2, j) for j, u, v, _ in rows if j % 2 == 0 and j != i)
+            want |= {(i, j, k + 1) for k, (d, j) in enumerate(others[:30]) if radius is None or d <= 1.0}
+    assert got == want
+    assert pairs() < 20 * 20 * 31 * 3
