@@ -111,45 +111,70 @@ def _gamma(h: np.ndarray, kind: str, scale: float, sill: float, nugget: float) -
     return np.where(h == 0, 0.0, nugget + sill * shape)
 
 
-def krige(near: DataFrame, ident: str, value: str, kind: str, scale: float, sill: float, nugget: float, drift: bool = False) -> DataFrame:
-    """(ident, mean, variance) of each target from its neighbours (``nearest`` rows): the system of one target is of
-    its neighbourhood's size, so all targets are solved side by side on the executors."""
+def _solved(near: DataFrame, ident: str, value: str, solve) -> DataFrame:
+    """(ident, mean, variance) of each target by ``solve(xy, at, z)`` of stacks of targets with equally many neighbours: an
+    array of neighbours a target goes to Python, so a batch is a few calls of linear algebra and not one a target."""
     import pandas as pd
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        xy, z = part[["r_x", "r_y"]].to_numpy(float), part[f"r_{value}"].to_numpy(float)
-        at = part[["x", "y"]].iloc[0].to_numpy(float)
-        n = len(z)
-        gap = lambda a, b: np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
-        f = np.column_stack([np.ones(n), xy]) if drift and n > 3 else np.ones((n, 1))
-        g = np.concatenate([[1.0], at]) if drift and n > 3 else np.ones(1)
-        m = f.shape[1]
-        a = np.zeros((n + m, n + m))
-        a[:n, :n] = _gamma(gap(xy, xy), kind, scale, sill, nugget)
-        a[:n, n:], a[n:, :n] = f, f.T
-        b = np.concatenate([_gamma(gap(xy, at[None])[:, 0], kind, scale, sill, nugget), g])
-        w = np.linalg.lstsq(a, b, rcond=None)[0]
-        return pd.DataFrame({ident: [part[ident].iloc[0]], "mean": [float(w[:n] @ z)], "variance": [max(0.0, float(w @ b))]})
+    by = F.array_sort(F.collect_list(F.struct(F.col("r_x").cast("double").alias("x"), F.col("r_y").cast("double").alias("y"), F.col(f"r_{value}").cast("double").alias("z"))))
+    part = lambda c: F.transform("__near", lambda s: s[c])
+    rows = near.groupBy(ident).agg(F.first("x").cast("double").alias("__x"), F.first("y").cast("double").alias("__y"), by.alias("__near"))
+    rows = rows.select(ident, "__x", "__y", *[part(c).alias(f"__r{c}") for c in "xyz"])
+
+    def run(batches):
+        for batch in batches:
+            sizes = batch["__rz"].map(len).to_numpy()
+            for n in np.unique(sizes):
+                at = np.flatnonzero(sizes == n)
+                for some in np.array_split(at, -(-len(at) * int(n) ** 2 // 1_000_000)):
+                    own = batch.iloc[some]
+                    xy = np.stack([np.stack(own["__rx"].tolist()), np.stack(own["__ry"].tolist())], -1).astype(float)
+                    mean, variance = solve(xy, own[["__x", "__y"]].to_numpy(float), np.stack(own["__rz"].tolist()).astype(float))
+                    yield pd.DataFrame({ident: own[ident].to_numpy(), "mean": mean, "variance": variance})
 
     kind_of = near.schema[ident].dataType.simpleString()
-    return near.groupBy(ident).applyInPandas(run, f"{ident} {kind_of}, mean double, variance double")
+    return rows.mapInPandas(run, f"{ident} {kind_of}, mean double, variance double")
+
+
+def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(((a[:, :, None] - b[:, None]) ** 2).sum(-1))
+
+
+def krige(near: DataFrame, ident: str, value: str, kind: str, scale: float, sill: float, nugget: float, drift: bool = False) -> DataFrame:
+    """(ident, mean, variance) of each target from its neighbours (``nearest`` rows): the system of one target is of
+    its neighbourhood's size, so all targets are solved side by side on the executors; the least weights where copies of a
+    place leave them open."""
+    unit = (nugget + sill) or 1.0  # semivariances of about 1 beside the borders of 1
+
+    def solve(xy: np.ndarray, at: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        t, n = z.shape
+        one = np.ones((t, n, 1))
+        f = np.concatenate([one, xy], -1) if drift and n > 3 else one
+        g = np.concatenate([one[:, 0], at], -1) if drift and n > 3 else one[:, 0]
+        m = f.shape[2]
+        a = np.zeros((t, n + m, n + m))
+        a[:, :n, :n] = _gamma(_gaps(xy, xy), kind, scale, sill, nugget) / unit
+        a[:, :n, n:], a[:, n:, :n] = f, f.transpose(0, 2, 1)
+        b = np.concatenate([_gamma(_gaps(xy, at[:, None])[:, :, 0], kind, scale, sill, nugget) / unit, g], -1)
+        u, s, v = np.linalg.svd(a)
+        s = np.where(s > s[:, :1] * (np.finfo(float).eps * (n + m)), s, np.inf)
+        w = (v.transpose(0, 2, 1) @ (u.transpose(0, 2, 1) @ b[:, :, None] / s[:, :, None]))[:, :, 0]
+        return (w[:, :n] * z).sum(-1), np.maximum(0.0, (w * b).sum(-1) * unit)
+
+    return _solved(near, ident, value, solve)
 
 
 def nngp(near: DataFrame, ident: str, value: str, scale: float, sill: float, nugget: float, mean: float) -> DataFrame:
     """(ident, mean, variance) by an exponential covariance over each target's neighbours."""
-    import pandas as pd
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        xy, z = part[["r_x", "r_y"]].to_numpy(float), part[f"r_{value}"].to_numpy(float)
-        at = part[["x", "y"]].iloc[0].to_numpy(float)
+    def solve(xy: np.ndarray, at: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cov = lambda h: sill * np.exp(-h / scale)
-        k = cov(np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1))) + nugget * np.eye(len(z))
-        c = cov(np.sqrt(((xy - at) ** 2).sum(-1)))
-        w = np.linalg.solve(k, c)
-        return pd.DataFrame({ident: [part[ident].iloc[0]], "mean": [float(mean + w @ (z - mean))], "variance": [float(sill + nugget - w @ c)]})
+        k = cov(_gaps(xy, xy)) + nugget * np.eye(z.shape[1])
+        c = cov(_gaps(xy, at[:, None])[:, :, 0])
+        w = np.linalg.solve(k, c[:, :, None])[:, :, 0]
+        return mean + (w * (z - mean)).sum(-1), sill + nugget - (w * c).sum(-1)
 
-    kind_of = near.schema[ident].dataType.simpleString()
-    return near.groupBy(ident).applyInPandas(run, f"{ident} {kind_of}, mean double, variance double")
+    return _solved(near, ident, value, solve)
 
 
 def normal_equations(df: DataFrame, x: list[str], y: str) -> tuple[np.ndarray, np.ndarray, float, int]:

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomgrid.operators import boosting as B
-from loomgrid.operators import conformal, forecasting, hierarchies, joins, metrics, ordered, splits, windows
+from loomgrid.operators import conformal, forecasting, hierarchies, joins, metrics, ordered, spatial, splits, windows
 from loomgrid.operators import recurrences as R
 from loomgrid.operators.panel import Panel, series_diagnostics, validate
 from loomgrid.sources import files
@@ -198,3 +198,28 @@ def test_nearest_of_copies_makes_few_pairs(spark, monkeypatch, radius):
             want |= {(i, j, k + 1) for k, (d, j) in enumerate(others[:30]) if radius is None or d <= 1.0}
     assert got == want
     assert pairs() < 20 * 20 * 31 * 3
+
+
+def test_kriging_over_copies_of_places(spark):
+    """Copies of a place share its weight, as the system of distinct places has it."""
+    g = _crowd(spark, 20, 3)
+    rows = {r.id: (r.x, r.y, r.z) for r in g.collect()}
+    near = joins.nearest(g, g, "id", 8, 12.0)
+    by: dict = {}
+    for r in near.collect():
+        by.setdefault(r.id, []).append((r.r_x, r.r_y, r.r_z))
+    gamma = lambda h: np.where(h == 0, 0.0, 1e5 + 8e6 * (1 - np.exp(-h / 5)))
+    made = {r.id: r for r in spatial.krige(near, "id", "z", "exponential", 5.0, 8e6, 1e5).collect()}
+    assert set(made) == set(rows)
+    for i, found in by.items():
+        at = np.array(rows[i][:2])
+        xy = np.array(sorted({f[:2] for f in found}))
+        z = np.array([np.mean([f[2] for f in found if f[:2] == tuple(p)]) for p in xy])
+        n = len(xy)
+        a = np.ones((n + 1, n + 1))
+        a[:n, :n] = gamma(np.sqrt(((xy[:, None] - xy) ** 2).sum(-1))) / 8.1e6
+        a[n, n] = 0.0
+        b = np.append(gamma(np.sqrt(((xy - at) ** 2).sum(-1))) / 8.1e6, 1.0)
+        w = np.linalg.solve(a, b)
+        assert made[i].mean == pytest.approx(w[:n] @ z, abs=1e-7)
+        assert made[i].variance == pytest.approx(max(0.0, w @ b * 8.1e6), abs=1e-3)
