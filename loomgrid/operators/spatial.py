@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions.columns import ratio
 from loomgrid.functions.geometry import semivariogram
-from loomgrid.operators.joins import nearest, self_pairs, spatial_lag, within
+from loomgrid.operators.joins import nearest, spatial_lag, within
 from loomgrid.operators.ordered import running
 
 MOST_POINTS, MOST_LINKS = 4000, 1_000_000  # for what is solved as one dense system on the driver
@@ -60,26 +60,48 @@ def morans_i(df: DataFrame, ident: str, value: str, edges: DataFrame) -> DataFra
     return top.crossJoin(var).select((F.col("n") / F.col("w") * F.col("top") / F.col("var")).alias("moran"))
 
 
+def _places(df: DataFrame, value: str, x: str = "x", y: str = "y") -> DataFrame:
+    """A row a place (x, y): its rows __n, values __m, their mean __a, variance __v and sum __s."""
+    z = F.col(value).cast("double")
+    return df.groupBy(x, y).agg(F.count(F.lit(1)).cast("double").alias("__n"), F.count(z).cast("double").alias("__m"), F.coalesce(F.avg(z), F.lit(0.0)).alias("__a"), F.coalesce(F.var_pop(z), F.lit(0.0)).alias("__v"), F.coalesce(F.sum(z), F.lit(0.0)).alias("__s"))
+
+
+def morans_i_within(df: DataFrame, value: str, radius: float) -> DataFrame:
+    """One row (moran): ``morans_i`` with ``radius_weights``, from sums a place, so copies of a place make no pairs."""
+    mean = df.agg(F.avg(value).alias("__m"))
+    z = df.crossJoin(F.broadcast(mean)).select("x", "y", (F.col(value) - F.col("__m")).alias("z"))
+    at = _places(z, "z").select("x", "y", "__n", "__s")
+    top = within(at, at, radius).where("distance > 0").agg(F.sum(F.col("__s") * F.col("r___s")).alias("top"), F.sum(F.col("__n") * F.col("r___n")).alias("w"))
+    var = z.agg(F.sum(F.col("z") * F.col("z")).alias("var"), F.count(F.lit(1)).alias("n"))
+    return top.crossJoin(var).select((F.col("n") / F.col("w") * F.col("top") / F.col("var")).alias("moran"))
+
+
 def morans_i_inverse(df: DataFrame, ident: str, value: str, x: str = "x", y: str = "y", epsilon: float = 1e-12, block: int = 2000) -> DataFrame:
     """One row (moran) with weights 1 / max(distance, epsilon) between all rows, for evaluation samples: the work grows
-    with the square of the rows.  Rows meet in pairs of blocks inside tasks, and only each pair's sums leave them."""
+    with the square of the places.  Places meet in pairs of blocks inside tasks, and only each pair's sums leave them; rows of
+    one place are counted and summed before."""
     import pandas as pd
 
-    rows = df.select(F.col(ident).alias("i"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(value).cast("double").alias("z"))
+    rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(value).cast("double").alias("z"))
     n, mean, var = rows.agg(F.count(F.lit(1)), F.avg("z"), F.var_pop("z")).first()
-    blocks = max(1, -(-n // block))
-    own = F.pmod(F.xxhash64("i"), F.lit(blocks))
-    tiles = rows.withColumn("z", F.col("z") - float(mean or 0.0)).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    tiles = tiles.select("x", "y", "z", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    known = rows.where("x IS NOT NULL AND y IS NOT NULL").withColumn("z", F.col("z") - float(mean or 0.0))
+    at = known.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("n"), F.coalesce(F.sum("z"), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col("z") * F.col("z")), F.lit(0.0)).alias("q"))
+    blocks = max(1, -(-at.count() // block))
+    own = F.pmod(F.xxhash64("x", "y"), F.lit(blocks))
+    tiles = at.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    tiles = tiles.select("x", "y", "n", "s", "q", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         a, b = part[part["own"] == key[0]], part[part["own"] == key[1]]
         gap = np.sqrt((a["x"].to_numpy()[:, None] - b["x"].to_numpy()) ** 2 + (a["y"].to_numpy()[:, None] - b["y"].to_numpy()) ** 2)
         w = 1 / np.maximum(gap, epsilon)
-        if key[0] == key[1]:
-            np.fill_diagonal(w, 0.0)
-        twice = 1.0 if key[0] == key[1] else 2.0
-        return pd.DataFrame({"w": [twice * float(w.sum())], "top": [twice * float(a["z"].to_numpy() @ w @ b["z"].to_numpy())]})
+        sums = lambda c: float(a[c].to_numpy() @ w @ b[c].to_numpy())
+        if key[0] != key[1]:
+            return pd.DataFrame({"w": [2 * sums("n")], "top": [2 * sums("s")]})
+        # Of a place with itself the pairs of different rows are left.
+        np.fill_diagonal(w, 0.0)
+        same, cross = float((a["n"] * (a["n"] - 1)).sum()), float((a["s"] * a["s"] - a["q"]).sum())
+        return pd.DataFrame({"w": [sums("n") + same / epsilon], "top": [sums("s") + cross / epsilon]})
 
     sums = tiles.groupBy("lo", "hi").applyInPandas(run, "w double, top double").agg(F.sum("top").alias("top"), F.sum("w").alias("w"))
     # The sum of squares is n times the variance.
@@ -87,11 +109,20 @@ def morans_i_inverse(df: DataFrame, ident: str, value: str, x: str = "x", y: str
 
 
 def variogram(df: DataFrame, ident: str, value: str, bins: int, reach: float) -> DataFrame:
-    """(bin, centre, mean_distance, gamma, n) over pairs at most ``reach`` apart; the last bin is closed."""
-    pairs = self_pairs(df.select(ident, "x", "y", value), ident, reach)
-    half = F.pow(F.col(value) - F.col(f"r_{value}"), F.lit(2.0)) / 2
+    """(bin, centre, mean_distance, gamma, n) over pairs at most ``reach`` apart; the last bin is closed.
+
+    Of the pairs of two places, or of one, the squared differences sum up from means and variances, so copies of a place
+    make no pairs."""
+    at = _places(df.where(F.col(ident).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()), value)
+    pairs = within(at, at, reach).where((F.col("x") < F.col("r_x")) | ((F.col("x") == F.col("r_x")) & (F.col("y") < F.col("r_y"))))
+    m = F.col("__m") * F.col("r___m")
+    square = F.pow(F.col("__a") - F.col("r___a"), F.lit(2.0)) + F.col("__v") + F.col("r___v")
+    apart = pairs.select("distance", (F.col("__n") * F.col("r___n")).alias("n"), m.alias("m"), (m * square / 2).alias("g"))
+    here = lambda c: F.col(c) * (F.col(c) - 1) / 2
+    alike = at.where("__n > 1 AND NOT isnan(x) AND NOT isnan(y)").select(F.lit(0.0).alias("distance"), here("__n").alias("n"), here("__m").alias("m"), (F.col("__m") * F.col("__m") * F.col("__v") / 2).alias("g"))
     b = F.least(F.floor(F.col("distance") / (reach / bins)), F.lit(bins - 1)).cast("int")
-    out = pairs.groupBy(b.alias("bin")).agg(F.avg("distance").alias("mean_distance"), F.avg(half).alias("gamma"), F.count(F.lit(1)).alias("n"))
+    sums = apart.unionByName(alike).groupBy(b.alias("bin")).agg(F.sum(F.col("distance") * F.col("n")).alias("d"), F.sum("g").alias("g"), F.sum("m").alias("m"), F.sum("n").alias("n"))
+    out = sums.select("bin", (F.col("d") / F.col("n")).alias("mean_distance"), ratio(F.col("g"), F.col("m")).alias("gamma"), F.col("n").cast("long").alias("n"))
     return out.withColumn("centre", (F.col("bin") + 0.5) * (reach / bins))
 
 

@@ -40,8 +40,7 @@ def spatial_symmetry(spark, sf_dir):
 @query(f"""WITH {V.GEO}, z AS (SELECT id, x, y, z - avg(z) OVER () AS z FROM geo), p AS (SELECT sum(a.z * b.z) AS t, count(*) AS w FROM z a JOIN z b ON a.id <> b.id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 BETWEEN 1e-12 AND 9)
 SELECT {r('(SELECT count(*) FROM z) / w * t / (SELECT sum(z * z) FROM z)')} AS moran FROM p""")
 def spatial_morans_i(spark, sf_dir):
-    g = V.geo(spark, sf_dir)
-    return _out(S.morans_i(g, "id", "z", S.radius_weights(g, "id", 3.0)))
+    return _out(S.morans_i_within(V.geo(spark, sf_dir), "z", 3.0))
 
 
 VG = f"{V.GEO}, p AS (SELECT sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, (a.z - b.z) ** 2 / 2 AS g FROM geo a JOIN geo b ON a.id < b.id AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 100), vg AS (SELECT least(floor(d / 2), 4)::INTEGER AS bin, avg(d) AS mean_distance, avg(g) AS gamma, count(*) AS n FROM p GROUP BY 1)"

@@ -223,3 +223,32 @@ def test_kriging_over_copies_of_places(spark):
         w = np.linalg.solve(a, b)
         assert made[i].mean == pytest.approx(w[:n] @ z, abs=1e-7)
         assert made[i].variance == pytest.approx(max(0.0, w @ b * 8.1e6), abs=1e-3)
+
+
+def test_statistics_of_copies_make_few_pairs(spark, monkeypatch):
+    g = _crowd(spark, 20, 50)
+    pairs = _counted(monkeypatch, spatial)
+    v = {r.bin: r for r in spatial.variogram(g, "id", "z", 3, 3.0).collect()}
+    moran = spatial.morans_i_within(g, "z", 1.5).first()[0]
+    assert pairs() <= 2 * 20 * 20
+    inverse = spatial.morans_i_inverse(g, "id", "z", epsilon=1e-3, block=7).first()[0]
+    x, y, z = (np.array(c) for c in zip(*[(r.x, r.y, r.z) for r in g.orderBy("id").collect()], strict=True))
+    d = np.sqrt((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2)
+    i, j = np.triu_indices(len(x), 1)
+    near, half = d[i, j] <= 3.0, (z[i] - z[j]) ** 2 / 2
+    at = np.minimum(np.floor(d[i, j]), 2)
+    for b in range(3):
+        some = near & (at == b)
+        assert v[b].n == some.sum() and v[b].gamma == pytest.approx(half[some].mean()) and v[b].mean_distance == pytest.approx(d[i, j][some].mean())
+    c = z - z.mean()
+    index = lambda w: len(z) / w.sum() * (c @ w @ c) / (c @ c)
+    assert moran == pytest.approx(index(((d > 0) & (d <= 1.5)).astype(float)))
+    w = 1 / np.maximum(d, 1e-3)
+    np.fill_diagonal(w, 0.0)
+    assert inverse == pytest.approx(index(w))
+
+
+def test_inverse_moran_counts_copies_before_they_meet(spark):
+    """A block holds places: 60,000 rows of 20 places are one block, where a block of rows would hold their square."""
+    g = _crowd(spark, 20, 3000)
+    assert spatial.morans_i_inverse(g, "id", "z", epsilon=1e-3, block=100_000).first()[0] is not None
