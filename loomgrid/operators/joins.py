@@ -29,8 +29,16 @@ def within(left: DataFrame, right: DataFrame, radius: float, x: str = "x", y: st
 
 
 def self_pairs(df: DataFrame, ident: str, radius: float, x: str = "x", y: str = "y") -> DataFrame:
-    """Pairs with ident < r_ident at most ``radius`` apart."""
-    return within(df, df, radius, x, y).where(F.col(ident) < F.col(f"r_{ident}"))
+    """Pairs with ident < r_ident at most ``radius`` apart.
+
+    Places are paired first, once each, and their rows looked up, so every pair that is made and not kept is one of a kept
+    one's other order."""
+    spots = df.select(F.col(x).alias("__x"), F.col(y).alias("__y")).distinct()
+    near = within(spots, spots, radius, "__x", "__y").withColumnRenamed("distance", "__d")
+    other = df.select(*[F.col(c).alias(f"r_{c}") for c in df.columns])
+    rows = df.join(near, (F.col(x) == F.col("__x")) & (F.col(y) == F.col("__y"))).drop("__x", "__y")
+    out = rows.join(other, (F.col("r___x") == F.col(f"r_{x}")) & (F.col("r___y") == F.col(f"r_{y}")) & (F.col(ident) < F.col(f"r_{ident}")))
+    return out.select(*df.columns, *other.columns, F.col("__d").alias("distance"))
 
 
 def nearest(left: DataFrame, right: DataFrame, ident: str, k: int, radius: float, x: str = "x", y: str = "y", least: int = 0) -> DataFrame:
@@ -40,9 +48,10 @@ def nearest(left: DataFrame, right: DataFrame, ident: str, k: int, radius: float
 
 
 def beyond(df: DataFrame, others: DataFrame, radius: float, ident: str, x: str = "x", y: str = "y") -> DataFrame:
-    """Rows farther than ``radius`` from every row of ``others``."""
-    near = within(df.select(ident, x, y), others.select(x, y), radius, x, y).select(ident).distinct()
-    return df.join(near, ident, "left_anti")
+    """Rows farther than ``radius`` from every row of ``others``; places are compared, once each."""
+    spots = df.select(x, y).distinct()
+    near = within(spots, others.select(x, y).distinct(), radius, x, y).select(F.col(x).alias("__x"), F.col(y).alias("__y")).distinct()
+    return df.join(near, (F.col(x) == F.col("__x")) & (F.col(y) == F.col("__y")), "left_anti")
 
 
 def asof(left: DataFrame, right: DataFrame, key: str, at: str, value: str, ranges: int = 64) -> DataFrame:

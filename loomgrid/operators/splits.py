@@ -100,8 +100,9 @@ def folds_of(assigned: DataFrame, ident: str, k: int) -> DataFrame:
 def buffered(df: DataFrame, assigned: DataFrame, ident: str, k: int, radius: float, x: str = "x", y: str = "y") -> DataFrame:
     """Folds whose training rows within ``radius`` of any test row are dropped."""
     placed = df.select(ident, x, y).join(assigned, ident)
-    near = within(placed, placed, radius, x, y).where("fold <> r_fold")
-    near = near.select(F.format_string("fold_%04d", F.col("r_fold")).alias("fold_id"), ident).distinct()
+    spots = placed.select("fold", x, y).distinct()
+    near = within(spots, spots, radius, x, y).where("fold <> r_fold").select(F.col("r_fold").alias("__r"), F.col("fold").alias("__f"), F.col(x).alias("__x"), F.col(y).alias("__y")).distinct()
+    near = placed.join(near, (F.col("fold") == F.col("__f")) & (F.col(x) == F.col("__x")) & (F.col(y) == F.col("__y"))).select(F.format_string("fold_%04d", F.col("__r")).alias("fold_id"), ident).distinct()
     return folds_of(assigned, ident, k).join(near, ["fold_id", ident], "left_anti")
 
 

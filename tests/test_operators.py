@@ -252,3 +252,23 @@ def test_inverse_moran_counts_copies_before_they_meet(spark):
     """A block holds places: 60,000 rows of 20 places are one block, where a block of rows would hold their square."""
     g = _crowd(spark, 20, 3000)
     assert spatial.morans_i_inverse(g, "id", "z", epsilon=1e-3, block=100_000).first()[0] is not None
+
+
+def test_distance_joins_of_copies_make_few_pairs(spark, monkeypatch):
+    g = _crowd(spark, 20, 50)
+    pairs = _counted(monkeypatch, joins)
+    far = {r.id for r in joins.beyond(g, g.where("x = 0"), 2.0, "id").collect()}
+    assert far == {r.id for r in g.where("x > 2").collect()}
+    got = joins.self_pairs(g, "id", 1.0).agg(F.count(F.lit(1)), F.countDistinct("id", "r_id"), F.max(F.abs(F.col("x") - F.col("r_x")) + F.abs(F.col("y") - F.col("r_y"))), F.max(F.col("id") - F.col("r_id"))).first()
+    # 31 neighbouring pairs of places in a lattice of 5 by 4, and each place with itself.
+    assert tuple(got)[:3] == (31 * 50 * 50 + 20 * 50 * 49 // 2,) * 2 + (1.0,) and got[3] < 0
+    assert pairs() <= 2 * 20 * 20
+
+
+def test_buffered_folds_of_copies_make_few_pairs(spark, monkeypatch):
+    g = _crowd(spark, 20, 50)
+    assigned = g.select("id", (F.col("x") % 2).cast("int").alias("fold"))
+    pairs = _counted(monkeypatch, splits)
+    made = splits.buffered(g, assigned, "id", 2, 1.0)
+    assert made.where("role = 'train'").count() == 0 and made.where("role = 'test'").count() == 1000
+    assert pairs() <= 20 * 20
