@@ -80,15 +80,17 @@ def exposures(edges: DataFrame, treated: DataFrame) -> DataFrame:
 def treated_control_distance(units: DataFrame, ident: str, most: int = 10_000) -> DataFrame:
     """One row: least and mean great-circle distance in km of treated and control units (lat, lng, treated).
 
-    The mean is over all pairs, so treated units, which a design has few of, meet every control; more than ``most`` of them
-    are an error.  Pairs are summed where they are made.
+    The mean is over all pairs of places, each counted as often as it has units, so the work grows with the treated places
+    times the control places.  More than ``most`` treated places are not sent to every task, but meet the controls in
+    pairs of parts.  Pairs are summed where they are made.
     """
-    t = units.where("treated").select(F.col("lat").alias("a"), F.col("lng").alias("b"))
-    if t.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} treated units")
-    pairs = units.where("NOT treated").join(F.broadcast(t))  # counted above
+    places = lambda rows, n: rows.where("lat IS NOT NULL AND lng IS NOT NULL").groupBy("lat", "lng").agg(F.count(F.lit(1)).cast("double").alias(n))
+    t = places(units.where("treated"), "m").withColumnsRenamed({"lat": "a", "lng": "b"})
+    u = places(units.where("NOT treated"), "n")
+    pairs = u.crossJoin(F.broadcast(t)) if t.limit(most + 1).count() <= most else u.hint("shuffle_replicate_nl").crossJoin(t)
     d = haversine("lat", "lng", "a", "b", EARTH_KM_CAUSAL)
-    return pairs.agg(F.min(d).alias("min_km"), F.avg(d).alias("mean_km"))
+    pairs = pairs.select(d.alias("d"), (F.col("n") * F.col("m")).alias("w"))
+    return pairs.agg(F.min("d").alias("min_km"), (F.sum(F.col("d") * F.col("w")) / F.sum("w")).alias("mean_km"))
 
 
 def centred(df: DataFrame, region: str, columns: list[str]) -> DataFrame:

@@ -272,3 +272,19 @@ def test_buffered_folds_of_copies_make_few_pairs(spark, monkeypatch):
     made = splits.buffered(g, assigned, "id", 2, 1.0)
     assert made.where("role = 'train'").count() == 0 and made.where("role = 'test'").count() == 1000
     assert pairs() <= 20 * 20
+
+
+def test_distance_report_of_many_treated_units(spark):
+    from loomgrid.operators import causal
+
+    u = spark.range(12_300).select("id", (F.col("id") % 40).cast("double").alias("lat"), (F.col("id") % 3).cast("double").alias("lng"), (F.col("id") % 41 > 0).alias("treated"))
+    by_copies = causal.treated_control_distance(u, "id").first()
+    parted = causal.treated_control_distance(u, "id", most=5).first()
+    rows = [tuple(r) for r in u.groupBy("lat", "lng", "treated").count().collect()]
+    t, c = ([r for r in rows if r[2] == k] for k in (True, False))
+    a, b = (np.radians(np.array([r[:2] for r in k])) for k in (t, c))
+    h = np.sin((a[:, None, 0] - b[:, 0]) / 2) ** 2 + np.cos(a[:, None, 0]) * np.cos(b[:, 0]) * np.sin((a[:, None, 1] - b[:, 1]) / 2) ** 2
+    d = 2 * 6371.0088 * np.arcsin(np.sqrt(h))
+    w = np.outer([r[3] for r in t], [r[3] for r in c])
+    for made in (by_copies, parted):
+        assert made.min_km == pytest.approx(d.min(), abs=1e-6) and made.mean_km == pytest.approx((d * w).sum() / w.sum())
