@@ -288,3 +288,14 @@ def test_distance_report_of_many_treated_units(spark):
     w = np.outer([r[3] for r in t], [r[3] for r in c])
     for made in (by_copies, parted):
         assert made.min_km == pytest.approx(d.min(), abs=1e-6) and made.mean_km == pytest.approx((d * w).sum() / w.sum())
+
+
+def test_intermittent_takes_the_first_of_losses_that_differ_by_rounding(monkeypatch):
+    """Three holdout values above the levels and three below: every level between them loses the same, but for rounding."""
+    y = np.array([1.0] * 24 + [0.1, 0.7, 0.3, 2.1, 2.2, 2.3])
+    levels = {"tsb": 1.1, "sba": 1.3, "croston": 1.7, "adida": 1.9}
+    losses = {n: np.abs(v - y[24:]).sum() / y[24:].sum() for n, v in levels.items()}
+    assert len(set(losses.values())) > 1 and min(losses, key=losses.get) != "tsb"
+    for n, v in levels.items():
+        monkeypatch.setattr(R, n, lambda y, v=v: v)
+    assert R.intermittent(y) == 1.1
