@@ -10,11 +10,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+STEP = 32  # edges between two of the first search
 
 def bucket_of(df: DataFrame, value: str, buckets: int = 64) -> Column:
-    """The value's bucket, rising with it; equal values share one."""
-    edges = sorted(set(df.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.005)))
-    return F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col(value))) if edges else F.lit(0)
+    """The value's bucket, rising with it; equal values share one.
+
+    The value is worked out once and not once an edge; many edges are searched in two steps."""
+    edges = sorted({float(e) for e in df.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.005)})
+    if not edges:
+        return F.lit(0)
+    every = F.array(*[F.lit(e) for e in edges])
+    below = lambda some, v: F.size(F.filter(some, lambda e: e < v))
+    if len(edges) <= 2 * STEP:
+        return F.transform(F.array(F.col(value)), lambda v: below(every, v))[0]
+    coarse = F.array(*[F.lit(e) for e in edges[STEP - 1 :: STEP]])
+    first = F.transform(F.array(F.col(value)), lambda v: F.struct(v.alias("v"), (below(coarse, v) * STEP).alias("n")))
+    return F.transform(first, lambda c: c["n"] + below(F.slice(every, c["n"] + 1, STEP), c["v"]))[0]
 
 
 def running(df: DataFrame, value: str, sums: dict[str, Column], ties: tuple[str, ...] = (), descending: bool = False, buckets: int = 64) -> DataFrame:

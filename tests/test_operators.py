@@ -200,29 +200,33 @@ def test_nearest_of_copies_makes_few_pairs(spark, monkeypatch, radius):
     assert pairs() < 20 * 20 * 31 * 3
 
 
-def test_kriging_over_copies_of_places(spark):
+@pytest.mark.parametrize("drift", [False, True])
+def test_kriging_over_copies_of_places(spark, drift):
     """Copies of a place share its weight, as the system of distinct places has it."""
-    g = _crowd(spark, 20, 3)
-    rows = {r.id: (r.x, r.y, r.z) for r in g.collect()}
-    near = joins.nearest(g, g, "id", 8, 12.0)
+    g = _crowd(spark, 25, 2).select("id", ((F.col("x") * 13 + F.col("y") * 5) % 23 + 60).alias("x"), ((F.col("x") * 7 + F.col("y") * 11) % 19 + 50).alias("y"), F.col("z") * 100)
+    g = g.toDF("id", "x", "y", "z")
+    rows = {r.id: (r.x, r.y) for r in g.collect()}
+    near = joins.nearest(g, g, "id", 8, 40.0)
     by: dict = {}
     for r in near.collect():
         by.setdefault(r.id, []).append((r.r_x, r.r_y, r.r_z))
-    gamma = lambda h: np.where(h == 0, 0.0, 1e5 + 8e6 * (1 - np.exp(-h / 5)))
-    made = {r.id: r for r in spatial.krige(near, "id", "z", "exponential", 5.0, 8e6, 1e5).collect()}
+    shape = (lambda h: np.where(h >= 9, 1.0, h / 6 - (h / 9) ** 3 / 2)) if drift else (lambda h: 1 - np.exp(-h / 5))
+    gamma = lambda h: np.where(h == 0, 0.0, 1e5 + 8e6 * shape(h)) / 8.1e6
+    solved = spatial.krige(near, "id", "z", "spherical" if drift else "exponential", 9.0 if drift else 5.0, 8e6, 1e5, drift)
+    assert "GroupsInPandas" not in solved._jdf.queryExecution().optimizedPlan().toString()  # no call a target
+    made = {r.id: r for r in solved.collect()}
     assert set(made) == set(rows)
     for i, found in by.items():
-        at = np.array(rows[i][:2])
+        at = np.array(rows[i])
         xy = np.array(sorted({f[:2] for f in found}))
         z = np.array([np.mean([f[2] for f in found if f[:2] == tuple(p)]) for p in xy])
-        n = len(xy)
-        a = np.ones((n + 1, n + 1))
-        a[:n, :n] = gamma(np.sqrt(((xy[:, None] - xy) ** 2).sum(-1))) / 8.1e6
-        a[n, n] = 0.0
-        b = np.append(gamma(np.sqrt(((xy - at) ** 2).sum(-1))) / 8.1e6, 1.0)
+        n, f = len(xy), np.column_stack([np.ones(len(xy)), *((xy - at).T if drift else [])])
+        a = np.zeros((n + f.shape[1],) * 2)
+        a[:n, :n], a[:n, n:], a[n:, :n] = gamma(np.sqrt(((xy[:, None] - xy) ** 2).sum(-1))), f, f.T
+        b = np.concatenate([gamma(np.sqrt(((xy - at) ** 2).sum(-1))), [1.0, 0.0, 0.0][: f.shape[1]]])
         w = np.linalg.solve(a, b)
-        assert made[i].mean == pytest.approx(w[:n] @ z, abs=1e-7)
-        assert made[i].variance == pytest.approx(max(0.0, w @ b * 8.1e6), abs=1e-3)
+        assert made[i].mean == pytest.approx(w[:n] @ z, abs=1e-6)
+        assert made[i].variance == pytest.approx(max(0.0, w @ b * 8.1e6), abs=1e-2)
 
 
 def test_statistics_of_copies_make_few_pairs(spark, monkeypatch):
@@ -299,3 +303,14 @@ def test_intermittent_takes_the_first_of_losses_that_differ_by_rounding(monkeypa
     for n, v in levels.items():
         monkeypatch.setattr(R, n, lambda y, v=v: v)
     assert R.intermittent(y) == 1.1
+
+
+@pytest.mark.parametrize("buckets", [8, 700])
+def test_bucket_of_works_a_value_out_once(spark, buckets):
+    df = spark.range(5000).select("id", F.when(F.col("id") != 7, F.exp(F.col("id") * 37 % 1009 / 100)).alias("v"))
+    out = df.select("id", "v", ordered.bucket_of(df, "v", buckets).alias("b"))
+    assert "< CASE" not in out.select("b")._jdf.queryExecution().optimizedPlan().toString()
+    edges = sorted(set(df.approxQuantile("v", [i / buckets for i in range(1, buckets)], 0.005)))
+    assert (len(edges) > 64) == (buckets > 64)
+    for r in out.collect():
+        assert r.b == (0 if r.v is None else np.searchsorted(edges, r.v, "left"))
