@@ -8,10 +8,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgrid.operators.metrics import laplacian_penalty
 from loomgrid.operators.ordered import bucket_of
+from loomgrid.sources.shared import Tables
 
 #: Kinds of relations, fixed values; ``no_smooth_group`` takes no part in edges, features or penalties.
 KINDS = (
@@ -118,21 +120,36 @@ def monotone_penalty(df: DataFrame, feature: str, prediction: str, sign: int, ro
     against the order that ``sign`` asks for.
 
     No pair is made.  Rows are cut into ranges of the feature and of the prediction: pairs of rows that differ in both
-    ranges come from sums over the cells of ranges, pairs within a range from a sorted merge in that range's task.
+    ranges come from sums over the cells of ranges, pairs within a range from a sorted merge in that range's task.  The
+    cells' sums run along the prediction within halves of ever smaller spans of the feature's ranges: two ranges are in
+    different halves of one span.
     """
     name = F.lit(f"monotone_feature_{feature}").alias("name")
     if sign == 0:
         return df.sparkSession.range(1).select(name, F.lit(0.0).alias("penalty"))
+    tables = Tables(df.sparkSession, "penalty")
     rows = df.groupBy((F.col(feature) * float(sign)).alias("f"), F.col(prediction).cast("double").alias("p")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    rows = tables.save(rows.where("f IS NOT NULL AND p IS NOT NULL"))
     buckets = max(2, -(-rows.count() // rows_a_bucket))
-    rows = rows.withColumn("fb", bucket_of(rows, "f", buckets)).withColumn("pb", bucket_of(rows, "p", buckets))
+    rows = tables.save(rows.withColumn("fb", bucket_of(rows, "f", buckets)).withColumn("pb", bucket_of(rows, "p", buckets)))
     cells = rows.groupBy("fb", "pb").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("p")).alias("s"))
-    left = cells.select(F.col("fb").alias("a"), F.col("pb").alias("x"), F.col("n").alias("m"), F.col("s").alias("t"))
-    far = cells.join(left, (F.col("a") < F.col("fb")) & (F.col("x") > F.col("pb"))).agg(F.sum(F.col("n") * F.col("t") - F.col("m") * F.col("s")).alias("penalty"))
-    inner = lambda by, f: rows.groupBy(by).applyInPandas(lambda g: pd.DataFrame({"penalty": [_inversions(g[f].to_numpy(float), g["p"].to_numpy(), g["n"].to_numpy())]}), "penalty double")
+    last = rows.agg(F.max("fb")).first()[0] or 0
+    spans = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(last.bit_length()))))
+    high = F.expr("shiftright(fb, level) & 1 = 1")
+    side = lambda c, of: F.sum(F.when(of, F.col(c)).otherwise(0.0))
+    spans = spans.groupBy("level", F.expr("shiftright(fb, level + 1)").alias("span"), "pb").agg(side("n", high).alias("n"), side("s", high).alias("s"), side("n", ~high).alias("m"), side("s", ~high).alias("t"))
+    above = W.partitionBy("level", "span").orderBy(F.desc("pb")).rowsBetween(W.unboundedPreceding, -1)
+    spans = spans.select((F.col("n") * F.sum("t").over(above) - F.col("s") * F.sum("m").over(above)).alias("penalty"))
+
+    def inner(by: str, f: str) -> DataFrame:
+        mixed = rows.groupBy(by).agg((F.min(f) < F.max(f)).alias("a"), (F.min("p") < F.max("p")).alias("b")).where("a AND b").select(by)
+        return rows.join(F.broadcast(mixed), by, "left_semi").groupBy(by).applyInPandas(lambda g: pd.DataFrame({"penalty": [_inversions(g[f].to_numpy(float), g["p"].to_numpy(), g["n"].to_numpy())]}), "penalty double")  # a row a range
+
     # Within a range of predictions only pairs from different ranges of the feature are left.
-    parts = far.unionByName(inner("fb", "f")).unionByName(inner("pb", "fb"))
-    return parts.agg(F.coalesce(F.sum("penalty"), F.lit(0.0)).alias("penalty")).select(name, "penalty")
+    parts = spans.unionByName(inner("fb", "f")).unionByName(inner("pb", "fb"))
+    penalty = float(parts.agg(F.sum("penalty")).first()[0] or 0.0)
+    tables.close()
+    return df.sparkSession.range(1).select(name, F.lit(penalty).alias("penalty"))
 
 
 def interaction_penalty(groups: list[list[str]], active: list[str]) -> float:

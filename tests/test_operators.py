@@ -314,3 +314,14 @@ def test_bucket_of_works_a_value_out_once(spark, buckets):
     assert (len(edges) > 64) == (buckets > 64)
     for r in out.collect():
         assert r.b == (0 if r.v is None else np.searchsorted(edges, r.v, "left"))
+
+
+@pytest.mark.parametrize("sign", [1, -1])
+def test_monotone_penalty_of_many_ranges_and_missing_values(spark, sign):
+    from loomgrid.operators import relations
+
+    df = spark.range(900).select("id", F.when(F.col("id") % 11 > 0, F.col("id") * 37 % 211).cast("double").alias("x"), F.when(F.col("id") % 13 > 0, F.col("id") * 53 % 307).cast("double").alias("z"))
+    rows = [(r.x, r.z) for r in df.collect() if r.x is not None and r.z is not None]
+    x, z = np.array(rows).T
+    pairs = (sign * x[:, None] < sign * x) * np.maximum(0.0, z[:, None] - z)
+    assert relations.monotone_penalty(df, "x", "z", sign, rows_a_bucket=5).first().penalty == pytest.approx(pairs.sum())
