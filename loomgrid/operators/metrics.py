@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgrid.functions.columns import ratio, total
-from loomgrid.operators.ordered import numbered, running
+from loomgrid.operators.ordered import dealt, numbered, running
 
 
 def aligned(forecast: DataFrame, actual: DataFrame, keys: list[str], strict: bool = True) -> DataFrame:
@@ -141,7 +141,7 @@ def ece(df: DataFrame, y: str, p: str, buckets: int) -> DataFrame:
 
 def _ranked(df: DataFrame, group: str, rel: str, score: str, ident: str) -> DataFrame:
     w = W.partitionBy(group)
-    return df.withColumn("pos", F.row_number().over(w.orderBy(F.desc(score), ident))).withColumn("ideal", F.row_number().over(w.orderBy(F.desc(rel), ident)))
+    return dealt(df, group).withColumn("pos", F.row_number().over(w.orderBy(F.desc(score), ident))).withColumn("ideal", F.row_number().over(w.orderBy(F.desc(rel), ident)))
 
 
 def ranking_metrics(df: DataFrame, group: str, rel: str, score: str, ident: str, k: int) -> DataFrame:
@@ -157,7 +157,7 @@ def ranking_metrics(df: DataFrame, group: str, rel: str, score: str, ident: str,
 
 def link_metrics(df: DataFrame, group: str, positive: str, score: str, ident: str, k: int) -> DataFrame:
     """One row: recall@k, hit@k and MRR as means over the groups that have a positive."""
-    rows = df.withColumn("pos", F.row_number().over(W.partitionBy(group).orderBy(F.desc(score), ident)))
+    rows = dealt(df, group).withColumn("pos", F.row_number().over(W.partitionBy(group).orderBy(F.desc(score), ident)))
     hit = F.col(positive) > 0
     groups = rows.groupBy(group).agg(F.sum(hit.cast("long")).alias("n"), F.sum((hit & (F.col("pos") <= k)).cast("long")).alias("top"), F.min(F.when(hit, F.col("pos"))).alias("first")).where("n > 0")
     return groups.agg(F.avg(F.col("top") / F.col("n")).alias("recall"), F.avg((F.col("top") > 0).cast("double")).alias("hit"), F.avg(1 / F.col("first")).alias("mrr"), F.count(F.lit(1)).alias("groups"))

@@ -11,6 +11,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 STEP = 32  # edges between two of the first search
+ROWS_A_TASK = 500_000
+
+
+def tasks_of(df: DataFrame) -> int:
+    """As many tasks as hold ROWS_A_TASK rows each, and no fewer than there are cores."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_A_TASK))
+
+
+def dealt(df: DataFrame, *keys: str, tasks: int | None = None) -> DataFrame:
+    """``df`` dealt by keys to ``tasks_of`` it: a task's sorts hold as many rows however many there are, where Spark's own
+    number of tasks stays or shrinks by the size of compressed blocks."""
+    return df.repartition(tasks or tasks_of(df), *keys)
 
 def bucket_of(df: DataFrame, value: str, buckets: int = 64) -> Column:
     """The value's bucket, rising with it; equal values share one.

@@ -325,3 +325,17 @@ def test_monotone_penalty_of_many_ranges_and_missing_values(spark, sign):
     x, z = np.array(rows).T
     pairs = (sign * x[:, None] < sign * x) * np.maximum(0.0, z[:, None] - z)
     assert relations.monotone_penalty(df, "x", "z", sign, rows_a_bucket=5).first().penalty == pytest.approx(pairs.sum())
+
+
+def test_ranking_groups_are_dealt_to_tasks_by_counted_rows(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_A_TASK", 50)
+    df = spark.range(1000).select((F.col("id") % 300).alias("grp"), "id", (F.col("id") % 4).cast("int").alias("rel"), (F.col("id") * 37 % 101).cast("double").alias("score"))
+    assert metrics._ranked(df, "grp", "rel", "score", "id").rdd.getNumPartitions() == 20
+    made = B.pair_gradients(df, "grp", "id", "rel", "score")
+    assert made.rdd.getNumPartitions() == 20 and made.count() == 1000
+
+
+def test_pair_gradients_keep_rows_without_a_pair(spark):
+    df = spark.createDataFrame([(1, 1, 0.0, 0.5), (1, 2, 0.0, 0.1), (2, 1, 1.0, 0.0), (2, 2, 0.0, 0.0)], "grp long, id long, rel double, f double")
+    got = {(r.grp, r.id): (r.g, r.h) for r in B.pair_gradients(df, "grp", "id", "rel", "f").collect()}
+    assert got == {(1, 1): (0.0, 1e-12), (1, 2): (0.0, 1e-12), (2, 1): (-0.5, 0.25), (2, 2): (0.5, 0.25)}
