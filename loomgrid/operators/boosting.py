@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgrid.functions.columns import total
-from loomgrid.operators.ordered import exact_quantile
+from loomgrid.operators.ordered import dealt, exact_quantile, tasks_of
 from loomgrid.sources.shared import Tables
 
 LOSSES = ("l2", "l1", "huber", "quantile", "log_l2", "logistic", "poisson", "negative_binomial", "tweedie")
@@ -637,21 +637,21 @@ def pair_gradients(rows: DataFrame, group: str, ident: str, y: str, f: str, weig
 
     A group is one query's candidates.  Pairs stream from the join into a row's sums.
     """
-    wide = rows.select(F.col(group).alias("q"), F.col(ident).alias("i"), F.col(y).cast("double").alias("t"), F.col(f).alias("f"), (weight if weight is not None else F.lit(1.0)).alias("w"))
+    wide = dealt(rows, group).select(F.col(group).alias("q"), F.col(ident).alias("i"), F.col(y).cast("double").alias("t"), F.col(f).alias("f"), (weight if weight is not None else F.lit(1.0)).alias("w"))
     ww = W.partitionBy("q")
     gain = F.pow(F.lit(2.0), F.col("t")) - 1
     wide = wide.withColumn("gain", gain).withColumn("disc", 1 / F.log2(F.row_number().over(ww.orderBy(F.desc("f"), "i")) + 1.0))
     wide = wide.withColumn("best", 1 / F.log2(F.row_number().over(ww.orderBy(F.desc("t"), "i")) + 1.0)).withColumn("ideal", F.sum(F.col("gain") * F.col("best")).over(ww))
     other = wide.select(F.col("q").alias("p"), *[F.col(c).alias(f"o_{c}") for c in ("t", "f", "w", "gain", "disc")])
-    pairs = wide.join(other, (F.col("q") == F.col("p")) & (F.col("t") != F.col("o_t")))
+    pairs = wide.join(other, (F.col("q") == F.col("p")) & (F.col("t") != F.col("o_t")), "left")  # rows without a pair stay
     sign = F.when(F.col("t") > F.col("o_t"), -1.0).otherwise(1.0)  # the higher target's gradient falls
     rho = 1 / (1 + F.exp(F.when(F.col("t") > F.col("o_t"), F.col("f") - F.col("o_f")).otherwise(F.col("o_f") - F.col("f"))))
     size = (F.col("w") + F.col("o_w")) / 2
     if by_ndcg:
         swap = F.abs(F.col("gain") - F.col("o_gain")) * F.abs(F.col("disc") - F.col("o_disc"))
         size = size * F.when(F.col("ideal") > 0, swap / F.col("ideal")).otherwise(1.0)
-    sums = pairs.groupBy("q", "i").agg(F.sum(sign * size * rho).alias("g"), F.sum(size * rho * (1 - rho)).alias("h"))
-    out = wide.select("q", "i").join(sums, ["q", "i"], "left").na.fill(0.0, ["g", "h"])
+    apart = F.col("p").isNotNull()
+    out = pairs.groupBy("q", "i").agg(F.sum(F.when(apart, sign * size * rho)).alias("g"), F.sum(F.when(apart, size * rho * (1 - rho))).alias("h")).na.fill(0.0, ["g", "h"])
     return out.select(F.col("q").alias(group), F.col("i").alias(ident), "g", F.greatest("h", F.lit(1e-12)).alias("h"))
 
 
@@ -662,9 +662,10 @@ def fit_ranker(df: DataFrame, s: Spec, group: str, ident: str, by_ndcg: bool = T
     plain = Spec(**(s.__dict__ | {"loss": "l2"}))
     cols = [F.col(group).alias("__q"), F.col(ident).alias("__i"), F.col(s.y).cast("double").alias("__y"), w.alias("__v"), F.lit(1.0).alias("__w"), F.lit(0.0).alias("__f")]
     m, model = _Margins(_binned(df, s, families, *cols), keep), Model(s, 0.0, [])
+    tasks = tasks_of(m.rows)
     for _ in range(s.trees):
         pairs = pair_gradients(m.rows, "__q", "__i", "__y", "__f", F.col("__v"), by_ndcg).withColumnsRenamed({"g": "__pg", "h": "__ph"})
-        rows = m.keep(m.rows.join(pairs, ["__q", "__i"]))
+        rows = m.keep(dealt(m.rows, "__q", "__i", tasks=tasks).join(dealt(pairs, "__q", "__i", tasks=tasks), ["__q", "__i"]))
         model.trees.append(_grow(rows, plain, families, F.col("__pg"), F.col("__ph")))
         if m.tables:
             m.tables.drop(rows)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.functions.columns import rounded
 from loomgrid.operators import boosting as B
+from loomgrid.operators.ordered import dealt
 from loomgrid.plans import views as V
 from loomgrid.plans.catalog import query, r
 from loomgrid.sources.tables import table
@@ -177,7 +178,7 @@ s AS (SELECT k, i, -rho AS g, rho * (1 - rho) AS h, -n * rho AS gn, n * rho * (1
 
 
 def _candidates(spark, sf_dir):
-    return V.ranking(spark, sf_dir).groupBy("grp", "id").agg(F.max("rel").alias("rel"), F.max("score").alias("score"))
+    return dealt(V.ranking(spark, sf_dir), "grp").groupBy("grp", "id").agg(F.max("rel").alias("rel"), F.max("score").alias("score"))
 
 
 @query(f"WITH {PAIR}, {PAIR_SUMS} SELECT t.k, t.i, " + ", ".join(f"{r(f'coalesce(sum({x}), 0)')} AS {x}" for x in ("g", "h", "gn", "hn")) + " FROM t LEFT JOIN s ON s.k = t.k AND s.i = t.i GROUP BY 1, 2")
